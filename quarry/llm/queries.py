@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, near_dup
 from .runtime import table
 
 
@@ -17,6 +17,11 @@ def _fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -56,6 +61,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dup": op2_near_dup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
     "op7_byte_bpe": op7_byte_bpe,
