@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def _predict(model: dict[str, bytes], level: int, block: int, margin: int):
     langs = sorted(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packers = []
+        packers = []  # one of each language for the whole task
         for lang in langs:
             d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(model[lang]), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -115,3 +116,22 @@ def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", te
     cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = cols.schema["id"].dataType.simpleString()
     return cols.mapInArrow(_predict(model, level, block, margin), f"id {kind}, lang_pred string, score double, rejected boolean, margin_bytes long")
+
+
+def keep_known(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", **how) -> DataFrame:
+    """docs without the rows that are rejected; all columns stay and nothing is shuffled."""
+    run = _predict(model, how.get("level", LEVEL), how.get("block", BLOCK), how.get("margin", MIN_MARGIN))
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = []
+
+        def asked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                waiting.append(batch)
+                yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["id", "text"])
+
+        for found in run(asked()):
+            yield waiting.pop(0).filter(pc.invert(found.column("rejected")))
+
+    return docs.mapInArrow(kept, docs.schema)

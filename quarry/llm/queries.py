@@ -12,7 +12,7 @@ from . import byte_bpe, compress_langid, decontaminate, exact_dedup, near_dup
 from .runtime import table
 
 
-def _fold(n: int):
+def fold(n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
@@ -36,7 +36,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = _fold(4) == 2
+    held = fold(4) == 2
     model = compress_langid.fit(docs.filter(~held).select("doc_id", "text", "lang"))
     found = compress_langid.predict(docs.select("doc_id", "text"), model)
     found = found.withColumnRenamed("id", "doc_id")
