@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, near_dup
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, near_dup
 from .runtime import table
 
 
@@ -17,6 +17,12 @@ def fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = katz.score(docs, fold(5) != 1)
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("train_tokens").cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.groups(table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.withColumnRenamed("id", "doc_id")
@@ -61,6 +67,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": op1_katz,
     "op2_near_dup": op2_near_dup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
