@@ -21,7 +21,6 @@ import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .words import slices
 
-CACHE = 150_000  # entries of each of two generations
+CACHE = 100_000  # entries of each of two generations
 _L, _N, _P, _S, _SP, _Q, _A, _B, _E, _K = range(10)
 START, L, N, P, S, SP, Q, QB, QK, C = range(10)
 _WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -205,8 +204,8 @@ def _join(left: np.ndarray, right: np.ndarray, keys: np.ndarray, joined: np.ndar
     return np.where((keys[at] == key) & (right >= 0) & (left >= 0), joined[at], _NONE)
 
 
-def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
-    """merge() of many short pre-tokens: each round joins one pair of every piece that still has one."""
+def merge_many(pieces: list[bytes], path: str) -> list[bytes]:
+    """merge() of many short pre-tokens, as 32-bit ids: each round joins one pair of every piece that still has one."""
     byte_ids, keys, joined = _pairs(path)
     sizes = np.array([len(x) for x in pieces])
     tokens = np.full((len(pieces), int(sizes.max()) + 1), -1, np.int32)
@@ -219,8 +218,11 @@ def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
         at = ranked.argmin(axis=1)
         best = ranked[np.arange(len(rows)), at]
         over = best == _NONE
-        for r, row in zip(rows[over].tolist(), tokens[over].tolist()):
-            out[r] = tuple(row[: row.index(-1)])
+        if over.any():
+            ready = np.ascontiguousarray(tokens[over])
+            flat, step = ready.tobytes(), 4 * ready.shape[1]
+            for k, (r, n) in enumerate(zip(rows[over].tolist(), (4 * (ready >= 0).sum(1)).tolist())):
+                out[r] = flat[k * step : k * step + n]
         go = ~over
         rows, at, best, tokens, ranked = rows[go], at[go], best[go], tokens[go], ranked[go]
         if not len(rows):
@@ -246,12 +248,12 @@ def merge_many(pieces: list[bytes], path: str) -> list[tuple[int, ...]]:
 
 
 class _Cache:
-    """Pre-token to ids, in two generations of CACHE entries: what is used again stays."""
+    """Pre-token to its 32-bit ids, in two generations of CACHE entries: what is used again stays."""
 
     def __init__(self, path: str):
         self.path, self.young, self.old = path, {}, {}
 
-    def of(self, pieces: list[str]) -> list[tuple[int, ...]]:
+    def of(self, pieces: list[str]) -> list[bytes]:
         young, short = self.young, []
         for piece in set(pieces).difference(young):
             if (got := self.old.get(piece)) is not None:
@@ -259,7 +261,7 @@ class _Cache:
             elif len(raw := piece.encode()) <= SHORT:
                 short.append((piece, raw))
             else:
-                young[piece] = merge(raw, ranks(self.path))
+                young[piece] = np.array(merge(raw, ranks(self.path)), np.int32).tobytes()
         for at in range(0, len(short), 8192):
             part = short[at : at + 8192]
             young.update(zip([x for x, _ in part], merge_many([x for _, x in part], self.path)))
@@ -276,65 +278,80 @@ def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
 _CACHES: dict[str, _Cache] = {}
 
 
-def _encode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Codec:
+    """Encoder and decoder of one rank file, in a task."""
+
+    def __init__(self, path: str):
         rank = ranks(path)
-        memo = _CACHES.setdefault(path, _Cache(path))
-        width = np.zeros(max(rank.values()) + 1, np.int64)
-        for token, k in rank.items():
-            width[k] = len(token)
+        self.memo = _CACHES.setdefault(path, _Cache(path))
+        token = [b""] * (max(rank.values()) + 1)
+        for x, k in rank.items():
+            token[k] = x
+        self.width = np.array([len(x) for x in token], np.int64)
+        self.place = np.cumsum(self.width) - self.width
+        self.bytes = np.frombuffer(b"".join(token), np.uint8)
+
+    def encode(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [x or "" for x in part.column("text").to_pylist()]
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(x) for x in texts], np.int64)
+        ends = np.cumsum(sizes)
+        cuts = boundaries(codes, (ends - sizes)[sizes > 0])
+        edges = [*cuts.tolist(), len(joined)]
+        upto = np.searchsorted(cuts, ends).tolist()
+        got = self.memo.of([joined[a:b] for a, b in zip(edges, edges[1:])]) if joined else []
+        ids = np.frombuffer(b"".join(got), np.int32)
+        through = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)) // 4)))
+        counts = np.diff(through[[0, *upto]])
+        over = np.concatenate(([0], np.cumsum(self.width[ids])))
+        offs = over[:-1] - np.repeat(over[through[[0, *upto[:-1]]]], counts)
+        return pa.RecordBatch.from_arrays([part.column("id"), _lists(ids, counts, pa.int32()), _lists(offs.astype(np.int32), counts, pa.int32())], ["id", "ids", "offsets"])
+
+    def decode(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Each id's bytes go where its offset says, counted from the first byte of its row."""
+        out = []
+        for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            lists = part.column("ids")
+            ids, offs = (part.column(c).flatten().to_numpy() for c in ("ids", "offsets"))
+            counts = np.diff(lists.offsets.to_numpy())
+            rows = np.repeat(np.arange(len(counts)), counts)
+            wide = self.width[ids]
+            size = np.bincount(rows, wide, len(counts)).astype(np.int64)
+            base = np.cumsum(size) - size
+            at = base[rows] + offs
+            if not np.array_equal(at, np.cumsum(wide) - wide):
+                raise ValueError("offsets and ids do not belong together")
+            data = self.bytes[np.repeat(self.place[ids] - at, wide) + np.arange(wide.sum())]
+            ends = pa.py_buffer(np.append(base, size.sum()).astype(np.int32))
+            out.append(pa.Array.from_buffers(pa.binary(), len(counts), [None, ends, pa.py_buffer(data)]))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "ids", "offsets")), pa.concat_arrays(out) if out else pa.array([], pa.binary())], ["id", "ids", "offsets", "decoded"])
+
+
+def _run(path: str, encode: bool, decode: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _Codec(path)
         for batch in batches:
-            for part in slices(batch, "text"):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                joined = "".join(texts)
-                codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-                sizes = np.array([len(x) for x in texts], np.int64)
-                ends = np.cumsum(sizes)
-                cuts = boundaries(codes, (ends - sizes)[sizes > 0])
-                edges = [*cuts.tolist(), len(joined)]
-                upto = np.searchsorted(cuts, ends).tolist()
-                got = memo.of([joined[a:b] for a, b in zip(edges, edges[1:])]) if joined else []
-                ids = np.fromiter(chain.from_iterable(got), np.int32)
-                through = np.concatenate(([0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))))
-                counts = np.diff(through[[0, *upto]])
-                over = np.concatenate(([0], np.cumsum(width[ids])))
-                offs = over[:-1] - np.repeat(over[through[[0, *upto[:-1]]]], counts)
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(ids, counts, pa.int32()), _lists(offs, counts, pa.int64())], ["id", "ids", "offsets"])
+            for part in slices(batch, "text") if encode else [batch]:
+                part = codec.encode(part) if encode else part
+                yield codec.decode(part) if decode else part
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id, ids array<int>, offsets array<long>: where each token begins in the text's UTF-8).
+_IDS = "ids array<int>, offsets array<int>"
 
-    vocabulary is the path of a rank file that every machine has.
-    """
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return cols.mapInArrow(_encode(vocabulary), f"id {cols.schema['id'].dataType.simpleString()}, ids array<int>, offsets array<long>")
 
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """One row per row of docs: (id, ids array<int>, offsets array<int>: where each token begins in the text's UTF-8).
 
-def _decode(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks(path)
-        token = [b""] * (max(rank.values()) + 1)
-        for x, k in rank.items():
-            token[k] = x
-        for batch in batches:
-            ids, offs = batch.column("ids"), batch.column("offsets")
-            out = []
-            for k in range(batch.num_rows):
-                row, at = ids[k].values, offs[k].values
-                data = b"".join(map(token.__getitem__, row.to_pylist())) if row is not None else b""
-                if row is not None and len(row) and len(data) != at[len(at) - 1].as_py() + len(token[row[len(row) - 1].as_py()]):
-                    raise ValueError("offsets and ids do not belong together")
-                out.append(data)
-            kept = [batch.column(c) for c in ("id", "ids", "offsets")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], ["id", "ids", "offsets", "decoded"])
-
-    return run
+    vocabulary is the path of a rank file that every machine has. With ``decoded``, the ids of each slice are
+    decoded in the same task, as ``decode`` does, into one more column.
+    """
+    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return cols.mapInArrow(_run(vocabulary, True, decoded), f"id {cols.schema['id'].dataType.simpleString()}, {_IDS}" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """The rows of ``encode`` with a column decoded: the bytes of the text, rebuilt from the ids alone."""
-    kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.mapInArrow(_decode(vocabulary), f"id {kind}, ids array<int>, offsets array<long>, decoded binary")
+    return encoded.select("id", "ids", "offsets").mapInArrow(_run(vocabulary, False, True), f"id {encoded.schema['id'].dataType.simpleString()}, {_IDS}, decoded binary")

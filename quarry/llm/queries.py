@@ -51,7 +51,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    found = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    found = byte_bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return found.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
