@@ -47,7 +47,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
-    found = byte_bpe.decode(byte_bpe.encode(docs, path), path)
+    found = byte_bpe.encode(docs, path, decoded=True)
     return found.select(
         F.col("id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
