@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, near_dup
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, near_dup, secret_scan
 from .runtime import table
 
 
@@ -66,6 +66,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", hit.alias("contaminated"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.versions(table(spark, sf_dir, "documents"))
+    findings, _ = secret_scan.scan(rows)
+    found = F.coalesce("found", F.expr("cast(array() as array<struct<start: bigint, place: int, kind: string, end: bigint>>)"))
+    out = secret_scan.to_paths(rows, findings).select(F.col("path").alias("doc_id"), found.alias("found"))
+    base = F.filter("found", lambda x: x["kind"].isin(*secret_scan.BASE))
+    as_text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in secret_scan.BASE]
+    return out.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
     "op2_near_dup": op2_near_dup,
@@ -73,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
