@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, near_dup, secret_scan
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, license_scan, near_dup, secret_scan, unigram_count
 from .runtime import table
 
 
@@ -49,6 +49,24 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected", "margin_bytes")
 
 
+def op5_unigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = unigram_count.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.col("matches.licence")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licences"),
+        F.round(F.array_max("matches.dice"), 6).alias("best_dice"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["licence"], m["start"].cast("string"), m["end"].cast("string"))), ",").alias("spans"),
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     found = byte_bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
@@ -83,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dup": op2_near_dup,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
+    "op5_unigram_count": op5_unigram_count,
+    "op6_license_scan": op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
