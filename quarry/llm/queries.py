@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, license_scan, near_dup, secret_scan, unigram_count
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, license_scan, near_dup, quote_chat, secret_scan, unigram_count
 from .runtime import table
 
 
@@ -78,6 +78,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quote_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontaminate.contaminated(F.col("n_hit"), F.col("n_words"))
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_unigram_count": op5_unigram_count,
     "op6_license_scan": op6_license_scan,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_quote_chat": op8_quote_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
