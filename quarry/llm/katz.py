@@ -35,7 +35,7 @@ from .words import SPACED, grams, hashes, mix, slices, split
 ORDER = 2
 K = 5
 TAIL = 1e-6
-CHUNK = 4_500_000
+CHUNK = 2_200_000
 BOS, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 _ROW = "kind string, m int, bucket int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -258,8 +258,10 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
                 cut = _ranges(h, buckets)
                 rows += [("need", m, b, ident, pack_keys(h[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
                 rows.append((f"lack{m}", m, -1, ident, pack(chunk.row[lack].astype(np.uint32)), pack(pos.astype(np.uint32))))
+                del context, history, lack, h, pos
                 score = np.where(seen, np.log10(np.where(seen, p, 1.0)), score)
             lower, ctx = p, count
+            del keys, at, same, total, owns
         doc = [np.bincount(chunk.row, x, n_rows) for x in (np.ones(len(chunk.row)), known, base, score)]
         rows.append(("docs", 0, -1, ident, ids, train, *(pack(x) for x in doc)))
         return pd.DataFrame([x + (None,) * (10 - len(x)) for x in rows], columns=_COLS)
