@@ -90,7 +90,7 @@ CHALLENGE_MARKS = ("just a moment", "cf-challenge", "attention required", "enabl
 
 def read_pages(spark: SparkSession, path: str, key_regex: str, key: str = "page_key") -> tuple[DataFrame, DataFrame]:
     """(pages, refused) of a folder of saved HTML files: (key, path, html), the key by a regex on the file's name."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
     rows = files.select(S.first_text(F.col("path"), key_regex).alias(key), "path", "html")
     low = F.lower(F.substring("html", 1, 20000))
     refused = F.lit(False)
