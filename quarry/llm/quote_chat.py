@@ -14,7 +14,7 @@ its holders, and no conversation is collected: a message is a row, in range-part
 
 Cases: a null text is empty; an empty own text cannot be an original. Null roles are formatted as
 ``unknown``. Messages whose conversation or turn is null neither link nor are linked. Several messages
-with the same conversation and turn are rows of their own, told apart by their text in no link.
+with the same conversation and turn stay rows of their own and share their links.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def linked(rows: DataFrame) -> DataFrame:
     here = F.col("near_turn") < F.col("turn")
     there = F.col("far") < F.struct("conv_id", "turn")
     to = F.when(here, F.struct("conv_id", F.col("near_turn").alias("turn"))).when(there, F.col("far"))
-    return both.withColumn("to", to).filter("to is not null").select("conv_id", "turn", "place", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn"))
+    return both.withColumn("to", to).filter("to is not null").select("conv_id", "turn", "place", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn")).distinct()
 
 
 def threads(replies: DataFrame) -> DataFrame:
