@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, license_scan, near_dup, quote_chat, secret_scan, unigram_count
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, license_scan, near_dup, oracles, quote_chat, secret_scan, unigram_count
 from .runtime import table
 
 
@@ -112,4 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+SQL: dict[str, str] = {
+    "op2_near_dup": oracles.NEAR_DUP,
+    "op3_exact_dedup": OP3_SQL,
+    "op9_decontaminate": oracles.DECONTAMINATE,
+    "op10_secret_scan": oracles.SECRET_SCAN,
+}
