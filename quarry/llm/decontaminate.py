@@ -51,21 +51,23 @@ class Index:
             at += n
         none = np.zeros(0, np.int64)
         where, size, item = (np.concatenate(x) if x else none for x in (where, size, item))
-        whole = np.array([hash_of(words[a : a + n]) for a, n in zip(where.tolist(), size.tolist())], np.uint64)
+        whole = np.zeros(len(where), np.uint64)
+        for n in np.unique(size).tolist():
+            whole[size == n] = grams(words, n)[where[size == n]]
         _, first, same = np.unique(whole, return_index=True, return_inverse=True)
         self.start, self.size = where[first], size[first]  # of the distinct windows
         pairs = np.unique(np.stack([same, item], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
         self.items, self.items_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
-        spans = [(int(a), int(b)) for a, b in zip(starts, ends)]
-        self.text = [tuple(low[a:b].tobytes() for a, b in spans[s : s + n]) for s, n in zip(self.start.tolist(), self.size.tolist())]
-        # each window's shingles: hash, window, offset
+        self.text = [low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]  # of each word
+        # each window's shingles: hash, window, offset, width
         got = {k: grams(words, k) for k in range(1, shingle + 1)}
-        rows = []
-        for w, (s, n) in enumerate(zip(self.start.tolist(), self.size.tolist())):
-            k = min(shingle, n)
-            rows += [(int(got[k][s + o]), w, o, k) for o in range(n - k + 1)]
-        self.shingle = np.array([r[0] for r in rows], np.uint64)
-        self.window, self.offset, self.width = (np.array([r[c] for r in rows], np.int64) for c in (1, 2, 3))
+        rows = [(np.zeros(0, np.uint64), none, none, none)]
+        for n in np.unique(self.size).tolist():
+            k, w = min(shingle, n), np.flatnonzero(self.size == n)
+            step = np.arange(n - k + 1)
+            at = self.start[w][:, None] + step
+            rows.append((got[k][at].reshape(-1), np.repeat(w, len(step)), np.tile(step, len(w)), np.full(at.size, k)))
+        self.shingle, self.window, self.offset, self.width = (np.concatenate(x) for x in zip(*rows))
         self.keys = np.unique(self.shingle)
         self.sizes = sorted(set(self.width.tolist()))
 
@@ -82,10 +84,6 @@ class Index:
         self.keys_at = np.append(self.keys_at, len(self.shingle))
 
 
-def hash_of(words: np.ndarray) -> int:
-    return int(grams(words, len(words))[0])
-
-
 class _Lookup:
     """Membership of hashes in a small sorted set, through a bitmap first."""
 
@@ -163,7 +161,7 @@ def _scan_part(part: pa.RecordBatch, index: Index, look: _Lookup, last: bool) ->
         at, w = np.concatenate(found_at), np.concatenate(found_w)
         for a, v, r in zip(at.tolist(), w.tolist(), (np.searchsorted(row_at, at, "right") - 1).tolist()):
             n = int(index.size[v])
-            if all(low[starts[a + j] : ends[a + j]].tobytes() == x for j, x in enumerate(index.text[v])):
+            if all(low[starts[a + j] : ends[a + j]].tobytes() == x for j, x in enumerate(index.text[index.start[v] : index.start[v] + n])):
                 cover[a] += 1
                 cover[a + n] -= 1
                 items[r].update(index.names[k] for k in index.items[index.items_at[v] : index.items_at[v + 1]])
