@@ -171,7 +171,8 @@ def _tell(group: pd.DataFrame) -> pd.DataFrame:
     small = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3).astype(np.int64)
     rows = [("table", m, bucket, -1, pack_keys(distinct[seen]), pack(total[seen].astype(np.uint32)), pack(np.append(small, total.sum())))]
     for chunk, end in zip(group["chunk"], ends):
-        rows.append(("tell", m, bucket, int(chunk), pack(told[at:end].astype(np.uint32)), pack(np.packbits(owns[at:end]))))
+        digest = int(every[at:end].sum(dtype=np.uint64)).to_bytes(8, "little")
+        rows.append(("tell", m, bucket, int(chunk), pack(told[at:end].astype(np.uint32)), pack(np.packbits(owns[at:end])), digest))
         at = end
     return pd.DataFrame([r + (None,) * (10 - len(r)) for r in rows], columns=_COLS)
 
@@ -208,13 +209,14 @@ class Sizes:
         return 1.0 - (sum(d[r] * r * n[r] for r in range(1, K + 1)) + (1.0 - TAIL) * (self.tokens - small)) / self.tokens
 
 
-def _told(m: int, tells: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Totals and ownership of all n-grams of a chunk, from the ranges in order."""
+def _told(m: int, tells: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals and ownership of all n-grams of a chunk, from the ranges in order; an error if they are for others."""
     mine = tells[tells["m"] == m].sort_values("bucket")
     totals = [unpack(x) for x in mine["a"]]
     owns = [np.unpackbits(unpack(x), count=len(t)) for x, t in zip(mine["b"], totals)]
     total = np.concatenate(totals).astype(np.int64)
-    if len(total) != n:
+    digest = sum(int.from_bytes(x, "little") for x in mine["c"]) % 2**64
+    if len(total) != len(keys) or digest != int(keys.sum(dtype=np.uint64)):
         raise ValueError("a chunk has changed between two readings of its rows")
     return total, np.concatenate(owns).astype(bool)
 
@@ -231,7 +233,7 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
         rows, lower, ctx = [], None, None
         for m in range(1, order + 1):
             keys, at, same = np.unique(chunk.ending(m), return_index=True, return_inverse=True)
-            total, owns = _told(m, tells, len(keys))
+            total, owns = _told(m, tells, keys)
             count = total[same]
             if m == 1:
                 known = count > 0
@@ -346,7 +348,8 @@ def sizes(model: DataFrame) -> Sizes:
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
     """Fit on the rows where train holds, score all: (id, train, n_tokens, n_known, base_score, score, train_tokens).
 
-    score is the log10 probability of the text and its end token; base_score that of single words, each
+    docs is read more than once and has to be a table that reads the same each time (files, a checkpoint); a
+    chunk that comes out differently is an error. score is the log10 probability of the text and its end token; base_score that of single words, each
     with half a count more.
     """
     buckets = partitions(docs.sparkSession)
