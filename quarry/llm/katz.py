@@ -229,7 +229,9 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
         ident = int(key[0])
         r = texts.iloc[0]
         per, ids, train = unpack(r["c"]), r["d"], r["e"]
-        chunk, n_rows = _Chunk([unpack_keys(r["a"])[unpack(r["b"])]], per, order), len(per)
+        words = unpack_keys(r["a"])[_by_count(unpack(r["f"]))]
+        chunk, n_rows = _Chunk([words[unpack(r["b"])]], per, order), len(per)
+        del words
         rows, lower, ctx = [], None, None
         for m in range(1, order + 1):
             keys, at, same = np.unique(chunk.ending(m), return_index=True, return_inverse=True)
@@ -302,13 +304,23 @@ def _finish(key, parts: pd.DataFrame, alphas: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _by_count(often: np.ndarray) -> np.ndarray:
+    """Order of words by count: small numbers for frequent words make a text's numbers short."""
+    return np.argsort(-often.astype(np.int64), kind="stable")
+
+
 def _texts(order: int, limit: int):
+    """Of each chunk: its distinct words and the texts as their numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, train, chunk in _chunks(batches, order, limit):
             line = chunk.line[chunk.tokens]
             per = np.bincount(chunk.row, minlength=len(ids)) - 1
-            words, same = np.unique(np.delete(line, np.cumsum(per + 1) - 1), return_inverse=True)
-            yield _record([("texts", 0, -1, _chunk_id(number), pack_keys(words), pack(same.astype(np.uint32)), pack(per.astype(np.int64)), pack(ids.astype(np.int64)), pack(train.astype(np.uint8)))])
+            words, same, often = np.unique(np.delete(line, np.cumsum(per + 1) - 1), return_inverse=True, return_counts=True)
+            rank = np.empty(len(words), np.uint32)
+            rank[_by_count(often)] = np.arange(len(words), dtype=np.uint32)
+            cols = [pack(rank[same]), pack(per.astype(np.int64)), pack(ids.astype(np.int64)), pack(train.astype(np.uint8)), pack(often.astype(np.uint32))]
+            yield _record([("texts", 0, -1, _chunk_id(number), pack_keys(words), *cols)])
 
     return run
 
