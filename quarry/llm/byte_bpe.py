@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
 from .words import slices
 
 CACHE = 100_000  # entries of each of two generations
@@ -348,7 +349,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     vocabulary is the path of a rank file that every machine has. With ``decoded``, the ids of each slice are
     decoded in the same task, as ``decode`` does, into one more column.
     """
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(_run(vocabulary, True, decoded), f"id {cols.schema['id'].dataType.simpleString()}, {_IDS}" + ", decoded binary" * decoded)
 
 

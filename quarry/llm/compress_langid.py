@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
+
 DICT_BYTES = 48 << 10
 SAMPLE_ROWS = 400
 MAX_LANGS = 200
@@ -113,7 +115,7 @@ def _predict(model: dict[str, bytes], level: int, block: int, margin: int):
 
 def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, margin: int = MIN_MARGIN) -> DataFrame:
     """One row per row of docs: (id, lang_pred, score, rejected, margin_bytes). Whole texts are compressed."""
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = cols.schema["id"].dataType.simpleString()
     return cols.mapInArrow(_predict(model, level, block, margin), f"id {kind}, lang_pred string, score double, rejected boolean, margin_bytes long")
 
@@ -134,4 +136,4 @@ def keep_known(docs: DataFrame, model: dict[str, bytes], text_col: str = "text",
         for found in run(asked()):
             yield waiting.pop(0).filter(pc.invert(found.column("rejected")))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return text_batches(docs).mapInArrow(kept, docs.schema)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
 from .words import ALNUM, grams, hashes, slices, split
 
 WINDOW = 13
@@ -192,7 +193,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
     spans are runs of hit words, as word positions from 0, end exclusive.
     """
     sc = docs.sparkSession.sparkContext
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull())
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // (2 * block_words)) or 1  # a word and what parts it from the next take two characters at least

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import settled
+from .runtime import settled, text_batches
 
 SPACE = r"[\x20\x09-\x0D]+"
 NO_ID = np.iinfo(np.int64).max
@@ -99,7 +99,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     kept marks the row whose id is keep_id, the smallest id of its group of equal texts.
     """
-    norm = docs.select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
+    norm = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm"))
     keyed = norm.select("id", "norm", F.substring("norm", 1, LEAD).alias("lead"), F.xxhash64("norm").alias("whole"))
     ranged = keyed.repartitionByRange("lead", "whole", "id").sortWithinPartitions("lead", "whole", "norm", "id")
     runs = settled(ranged.select("id", "norm", F.sha2("norm", 256).alias("text_sha256")).mapInArrow(_runs, _RUNS))

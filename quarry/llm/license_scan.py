@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
 from .words import ALNUM, grams, hashes, slices, split
 
 PERCENT = 80
@@ -128,6 +129,6 @@ def _likely(pairs: np.ndarray, near: np.ndarray, segment: np.ndarray, least: flo
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: (id, n_words, matches array<struct<start, end, licence, dice>>); start and end count words."""
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = cols.schema["id"].dataType.simpleString()
     return cols.mapInArrow(_scan(templates, percent), f"id {kind}, n_words long, matches array<struct<start:long,end:long,licence:string,dice:double>>")

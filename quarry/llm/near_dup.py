@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import settled
+from .runtime import settled, text_batches
 from .words import SPACED, hashes, mix, shingles, slices, split
 
 SHINGLE = 5
@@ -127,7 +127,7 @@ def across(units: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per row of docs: (id, n_shingles, component_id, kept); component_id is the smallest id reachable by links."""
     m = bands(percent, rows, miss)
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    cols = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = settled(cols.mapInArrow(_signatures(shingle, m, rows), "id long, n long, s1 long, s2 long, left array<long>, right array<long>"))
     units = signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"))
     units = settled(units)

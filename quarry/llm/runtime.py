@@ -25,3 +25,12 @@ def settled(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+BATCH_BYTES = 4 << 20
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold about BATCH_BYTES at most: counted in rows alone, long texts make batches of any size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

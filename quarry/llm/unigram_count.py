@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import text_batches
 from .words import slices
 
 MARK = "▁"
@@ -96,5 +97,5 @@ def _count(path: str):
 
 def counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id, n_pretokens, n_distinct, n_tokens). The vocabulary file is on every machine."""
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(_count(vocabulary_path), f"id {cols.schema['id'].dataType.simpleString()}, n_pretokens long, n_distinct long, n_tokens long")
