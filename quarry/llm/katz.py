@@ -29,13 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, settled
+from .runtime import partitions, settled, text_batches
 from .words import SPACED, grams, hashes, mix, slices, split
 
 ORDER = 2
 K = 5
 TAIL = 1e-6
-CHUNK = 2_200_000
+CHUNK = 4_500_000
 BOS, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 _ROW = "kind string, m int, bucket int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -72,21 +72,20 @@ def _ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
 class _Chunk:
     """Texts of one chunk: n-grams of every order that end at each token, and their distinct keys."""
 
-    def __init__(self, words: list[np.ndarray], per: np.ndarray, order: int):
+    def __init__(self, flat: np.ndarray, per: np.ndarray, order: int):
         pads = order - 1
         sizes = per + 1 + pads
         at = np.concatenate(([0], np.cumsum(sizes)))
         line = np.full(at[-1], BOS, np.uint64)
         real = np.zeros(at[-1], bool)
-        flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
         spot = np.arange(len(flat)) + np.repeat(at[:-1] + pads - (np.cumsum(per) - per), per)
         line[spot] = flat
         real[spot] = True
         last = at[1:] - 1
         line[last] = END
         real[last] = True
-        self.tokens = np.flatnonzero(real)
-        self.row = np.repeat(np.arange(len(per)), per + 1)
+        self.tokens = np.flatnonzero(real).astype(np.int32)
+        self.row = np.repeat(np.arange(len(per), dtype=np.int32), per + 1)
         first = np.zeros(at[-1] + 1, bool)
         first[at[:-1] + pads] = True
         self.first = first[self.tokens]
@@ -98,12 +97,12 @@ class _Chunk:
         return mix(key[self.tokens - back - (m - 1)] ^ np.uint64(m))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], order: int, limit: int):
-    """(chunk number, ids, train flags, chunk) of the rows (id, text, train) of one task, in their order."""
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int):
+    """(chunk number, ids, train flags, hashes of words, words per text) of the rows (id, text, train) of one task, in their order."""
     ids, train, words, per, n, number = [], [], [], [], 0, 0
 
     def close():
-        return number, np.concatenate(ids), np.concatenate(train), _Chunk(words, np.concatenate(per), order)
+        return number, np.concatenate(ids), np.concatenate(train), np.concatenate(words), np.concatenate(per)
 
     for batch in batches:
         for part in slices(batch, "text"):
@@ -136,7 +135,9 @@ def _ask(order: int, buckets: int, limit: int):
     """Step 1, of each chunk: its distinct n-grams with their counts in training texts, by range of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, train, chunk in _chunks(batches, order, limit):
+        for number, _, train, words, per in _chunks(batches, limit):
+            chunk = _Chunk(words, per, order)
+            del words
             trained = train[chunk.row]
             for m in range(1, order + 1):
                 keys, same = np.unique(chunk.ending(m), return_inverse=True)
@@ -230,13 +231,16 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
         r = texts.iloc[0]
         per, ids, train = unpack(r["c"]), r["d"], r["e"]
         words = unpack_keys(r["a"])[_by_count(unpack(r["f"]))]
-        chunk, n_rows = _Chunk([words[unpack(r["b"])]], per, order), len(per)
+        chunk, n_rows = _Chunk(words[unpack(r["b"])], per, order), len(per)
         del words
         rows, lower, ctx = [], None, None
         for m in range(1, order + 1):
-            keys, at, same = np.unique(chunk.ending(m), return_index=True, return_inverse=True)
+            keys, same = np.unique(chunk.ending(m), return_inverse=True)
             total, owns = _told(m, tells, keys)
-            count = total[same]
+            at = np.zeros(len(keys), np.int32)
+            at[same[::-1]] = np.arange(len(same) - 1, -1, -1, dtype=np.int32)  # where each n-gram is first
+            count = total.astype(np.int32)[same]
+            del keys, same
             if m == 1:
                 known = count > 0
                 base = np.log10((count + 0.5) / (sizes.tokens + 0.5 * (sizes.distinct.get(1, 0) + 1)))
@@ -265,7 +269,7 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
                 del context, history, lack, h, pos
                 score = np.where(seen, np.log10(np.where(seen, p, 1.0)), score)
             lower, ctx = p, count
-            del keys, at, same, total, owns
+            del at, total, owns
         doc = [np.bincount(chunk.row, x, n_rows) for x in (np.ones(len(chunk.row)), known, base, score)]
         rows.append(("docs", 0, -1, ident, ids, train, *(pack(x) for x in doc)))
         return pd.DataFrame([x + (None,) * (10 - len(x)) for x in rows], columns=_COLS)
@@ -309,14 +313,12 @@ def _by_count(often: np.ndarray) -> np.ndarray:
     return np.argsort(-often.astype(np.int64), kind="stable")
 
 
-def _texts(order: int, limit: int):
+def _texts(limit: int):
     """Of each chunk: its distinct words and the texts as their numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, ids, train, chunk in _chunks(batches, order, limit):
-            line = chunk.line[chunk.tokens]
-            per = np.bincount(chunk.row, minlength=len(ids)) - 1
-            words, same, often = np.unique(np.delete(line, np.cumsum(per + 1) - 1), return_inverse=True, return_counts=True)
+        for number, ids, train, flat, per in _chunks(batches, limit):
+            words, same, often = np.unique(flat, return_inverse=True, return_counts=True)
             rank = np.empty(len(words), np.uint32)
             rank[_by_count(often)] = np.arange(len(words), dtype=np.uint32)
             cols = [pack(rank[same]), pack(per.astype(np.int64)), pack(ids.astype(np.int64)), pack(train.astype(np.uint8)), pack(often.astype(np.uint32))]
@@ -329,7 +331,7 @@ NO_ID = np.iinfo(np.int64).min
 
 
 def _input(docs: DataFrame, train, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return text_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
 
 def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
@@ -369,7 +371,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     model = fit(docs, train, id_col, text_col, order, chunk)
     known = sizes(model)
     n_train = rows.filter("train").count()
-    texts = rows.mapInArrow(_texts(order, chunk), _ROW)
+    texts = rows.mapInArrow(_texts(chunk), _ROW)
     tells = model.filter("kind = 'tell'")
     weighed = settled(texts.groupBy("chunk").cogroup(tells.groupBy("chunk")).applyInPandas(_weigh(known, order, buckets, n_train), _ROW))
     alphas = weighed.filter("kind in ('sum', 'need')").groupBy("m", "bucket").applyInPandas(_alphas, _ROW)
