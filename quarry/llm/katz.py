@@ -18,7 +18,6 @@ probability 1. N-grams are told apart by 64-bit hashes. Rows with equal ids are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
