@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the docs of the next one. All but the last return the columns of documents, and each drops what
 its operator decides against:
 
-1. language: rejected documents go (no letter, or no language compresses them better than the next).
+1. language: rejected documents go (no letter, or no language compresses them clearly better than the next).
 2. exact: of equal texts the smallest id stays.
 3. near: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
 4. benchmark: contaminated documents go.

@@ -2,15 +2,18 @@
 
 Each language has a zstandard raw-content dictionary, filled from labelled texts. A text is cut into
 blocks (all of it), every block is compressed once with every dictionary, and the language with the
-smallest sum of bytes wins. The score grows with the margin to the runner-up; a text is rejected when
-the margin is narrow, here when no language is smaller than the next by MIN_MARGIN bytes.
+smallest sum of bytes wins. The score grows with the margin to the runner-up, as a share of the winner's
+bytes; a text is rejected when that share is below MIN_SHARE, or the margin below MIN_MARGIN bytes. A share
+holds at every length: letters of no learned language differ by chance, by a share that shrinks with the text.
 
 The dictionaries are the whole model: at most MAX_LANGS x DICT_BYTES bytes, so they may be sent to every
 task whatever the size of the corpus. They are filled from a bounded sample of labelled rows, taken
 in the order of a hash of the id: SAMPLE_ROWS rows of each language at most (a documented bound).
 
 Cases: a null text, or one without any letter, is ``und`` with score 0 and rejected. Without labelled
-rows everything is ``und``. Ties go to the language that sorts first, with a score of 0.5, rejected.
+rows everything is ``und``. Ties go to the language that sorts first, with a score of 0.5, rejected. Of a few
+words alone the winner has some fifty bytes at most, so the one byte that tells a real text apart is above
+MIN_SHARE, and so is one byte by chance: junk of under ten words may pass (README).
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ LEVEL = 6
 SHORT = 512
 LEAD_IN = 256
 MIN_MARGIN = 1
+MIN_SHARE = 0.02
 UND = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -72,7 +76,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return out
 
 
-def _predict(model: dict[str, bytes], level: int, block: int, margin: int):
+def _predict(model: dict[str, bytes], level: int, block: int, margin: int, min_share: float):
     langs = sorted(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +106,8 @@ def _predict(model: dict[str, bytes], level: int, block: int, margin: int):
                 second = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
                 gap = second - sizes[best]
                 preds.append(langs[best])
-                scores.append(0.5 + 0.5 * (1.0 - 0.5 ** (gap / 2.0)))
-                rejected.append(gap < margin)
+                scores.append(0.5 + 0.5 * (1.0 - 0.5 ** (gap / sizes[best] / MIN_SHARE)))
+                rejected.append(gap < max(margin, min_share * sizes[best]))
                 gaps.append(gap)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(preds, pa.string()), pa.array(np.array(scores, float)), pa.array(rejected, pa.bool_()), pa.array(gaps, pa.int64())],
@@ -113,16 +117,16 @@ def _predict(model: dict[str, bytes], level: int, block: int, margin: int):
     return run
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, margin: int = MIN_MARGIN) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, margin: int = MIN_MARGIN, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per row of docs: (id, lang_pred, score, rejected, margin_bytes). Whole texts are compressed."""
     cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = cols.schema["id"].dataType.simpleString()
-    return cols.mapInArrow(_predict(model, level, block, margin), f"id {kind}, lang_pred string, score double, rejected boolean, margin_bytes long")
+    return cols.mapInArrow(_predict(model, level, block, margin, min_share), f"id {kind}, lang_pred string, score double, rejected boolean, margin_bytes long")
 
 
 def keep_known(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", **how) -> DataFrame:
     """docs without the rows that are rejected; all columns stay and nothing is shuffled."""
-    run = _predict(model, how.get("level", LEVEL), how.get("block", BLOCK), how.get("margin", MIN_MARGIN))
+    run = _predict(model, how.get("level", LEVEL), how.get("block", BLOCK), how.get("margin", MIN_MARGIN), how.get("min_share", MIN_SHARE))
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -75,3 +76,20 @@ def test_language_cases(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if not r.rejected}
     assert {r.lang_pred for r in compress_langid.predict(df, {}).collect()} == {"und"}
     assert compress_langid.predict(df.limit(0), model).count() == 0 and compress_langid.fit(train.limit(0)) == {}
+
+
+def test_language_junk(spark):
+    """Letters of no language are rejected, the longer the surer; labelled documents that the model has not seen stay."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang is not null")
+    model = compress_langid.fit(docs.filter(queries.fold(4) != 2))
+    sizes = {10: 0.3, 20: 0.12, 50: 0.12, 100: 0.05, 500: 0.0, 3000: 0.0}
+    rows = [(1000 * k + j, " ".join(word() for _ in range(n))) for k, n in enumerate(sizes) for j in range(60 if n < 3000 else 12)]
+    got = compress_langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    for k, (n, most) in enumerate(sizes.items()):
+        own = [r for r in got if r.id // 1000 == k]
+        assert sum(not r.rejected for r in own) <= most * len(own), n
+        assert all(r.rejected == (r.score < 0.75 or r.margin_bytes < 1) for r in own)
+    held = compress_langid.predict(docs.filter(queries.fold(4) == 2), model)
+    assert held.filter("rejected").count() <= 0.01 * held.count()
