@@ -177,6 +177,85 @@ def test_licences(spark):
     assert got == {i: brute_licences(t) for i, t in rows} and any(got.values())
 
 
+APACHE = """# Copyright 2020 The Authors. All rights reserved.
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+GNU = """/*
+ * This {what} is free software{p} you can redistribute it and/or modify it
+ * under the terms of the GNU {kind}General Public License as published by
+ * the Free Software Foundation{c} either version {n} of the License, or
+ * (at your option) any later version.
+
+ * This {what} is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU {kind}General Public License for more details.
+ */
+"""
+
+
+def test_licence_windows(spark):
+    """Notices inside longer texts, in lines with other words and over paragraph ends; each is one match of its own licence."""
+    code = "import os\n\n" + "".join(f"def run{k}(x{k}):\n    return y{k} of the same kind, and so on in the end{k}\n\n" for k in range(40))
+    gnu = lambda what, kind, n, p=";", c=";": GNU.format(what=what, kind=kind, n=n, p=p, c=c)
+    want = {
+        "Apache-2.0": APACHE, "GPL-3.0": gnu("program", "", "3", ":", ","), "GPL-2.0": gnu("program", "", "2"), "LGPL-2.1": gnu("library", "Lesser ", "2.1"), "AGPL-3.0": gnu("program", "Affero ", "3", ":", ","),
+        "MIT": "This project is released under the MIT License.", "BSD-3-Clause": (license_scan._BSD.format(license_scan._BSD_THIRD) + license_scan._BSD_END).replace(": 1.", ":\n\n1.").replace(" 2. ", "\n\n2. ").replace(" 3. ", "\n\n3. "),
+    }
+    rows = [(k, code + text + "\n\n" + code) for k, text in enumerate(want.values())]
+    rows += [(100, "Released under the MIT License. See LICENSE for details."), (101, code), (102, "of the " * 9000), (103, APACHE + code + APACHE), (104, None)]
+    rows += [(105, "released under the MIT"), (106, "Licensed under CC BY-NC-SA 4.0, see below")]
+    got = {r.id: [tuple(m) for m in r.matches] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, text) in enumerate(want.items()):
+        assert {m[2] for m in got[k]} == {name}
+        before, words = len(ALNUM.findall(lower(code))), len(ALNUM.findall(lower(text)))
+        assert all(before <= a < b <= before + words for a, b, _, _ in got[k])
+        assert max(b - a for a, b, _, _ in got[k]) >= 0.5 * words
+    assert {m[2] for m in got[100]} == {"MIT"} and got[101] == got[102] == got[104] == []
+    assert sum(b - a > 40 for a, b, _, _ in got[103]) == 2 and {m[2] for m in got[106]} == {"CC-BY-NC-SA-4.0"}
+
+
+def test_licence_window_is_best():
+    """The windows that stay are those of a plain search over all starts and ends."""
+    rng = random.Random(5)
+    known = [("a", "u v w x y z u v"), ("b", "v w x q")]
+    for _ in range(60):
+        words = [rng.choice("uvwxyzqo") for _ in range(40)] + "u v w x y z".split() + [rng.choice("uvwxyzqo") for _ in range(10)]
+        every = []
+        for name, text in known:
+            w = text.split()
+            theirs = {*zip(w, w[1:])}
+            for x in range(len(words) - 1):
+                ends = []
+                for y in range(x + 2, min(len(words), x + 1 + (len(w) - 1) * 3 // 2) + 1):
+                    mine = {*zip(words[x:y], words[x + 1 : y])}
+                    if 200 * len(mine & theirs) >= 80 * (len(mine) + len(theirs)):
+                        ends.append((-2 * len(mine & theirs) / (len(mine) + len(theirs)), y, -len(mine & theirs)))
+                if ends and (words[x], words[x + 1]) in theirs:
+                    dice, y, shared = min(ends)
+                    every.append((shared, dice, x, y, name))
+        kept = []
+        for _, dice, x, y, name in sorted(every):
+            if all(y <= a or b <= x for a, b, _, _ in kept):
+                kept.append((x, y, name, -dice))
+        low, starts, ends, per = license_scan.split(license_scan.pa.array(["q", " ".join(words)]), license_scan.ALNUM)
+        pairs = license_scan.grams(license_scan.hashes(low, starts, ends), 2)
+        windows = license_scan._Windows([(n, *license_scan._bigrams(t)) for n, t in known], 80)
+        got = windows.find(pairs, np.repeat([0, 1], per), np.flatnonzero(np.isin(pairs, windows.keys)))
+        assert got.get(1, []) == [(x + 1, y + 1, n, d) for x, y, n, d in kept]
+
+
 # --- secrets
 
 
