@@ -5,7 +5,9 @@ their number. Neighbouring quoted lines of one level are a passage. Passages and
 (unquoted) parts are normalised, lower case with single spaces, and hashed. A passage is joined to the
 original that has it as its whole own text, as a paragraph or as a line: the earliest such message of the
 same conversation before the quoting one, else the earliest of all conversations before it (by conversation
-id and turn). A message replies to the original of its first linked passage of the lowest level; without
+id and turn). A passage without such an original is one of a part: its units, which are its lines, or the
+sentences of its paragraphs, have to follow each other in an own text, and of the messages that hold them in
+a row the earliest counts as above. A message replies to the original of its first linked passage of the lowest level; without
 one it replies to none and keeps its place in its conversation. Threads are what reply links connect,
 found by pointer doubling; messages are ordered by thread, depth of reply, conversation and turn.
 
@@ -55,23 +57,68 @@ def parsed(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.regexp_replace(F.regexp_replace(own, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "").alias("own"), F.when(F.col("lines").isNull(), empty).otherwise(passages).alias("passages"))
 
 
+def _units(text: Column) -> list[Column]:
+    """The lines of a text, and the sentences of its paragraphs, normalised and without empty ones."""
+    lines = F.transform(F.split(text, "\n"), _normal)
+    sentences = F.flatten(F.transform(F.split(text, r"\n[ \t]*\n"), lambda x: F.split(_normal(x), r"(?<=[.!?\u2026]) |(?<=[\u3002\uff01\uff1f]) ?")))
+    return [F.filter(x, lambda unit: unit != "") for x in (lines, sentences)]
+
+
+def _run(units: Column) -> tuple[Column, Column]:
+    whole = F.array_join(units, "\n")
+    return F.xxhash64(whole).alias("h"), F.length(whole).alias("n")
+
+
+def _earliest(quotes: DataFrame, held: DataFrame) -> DataFrame:
+    """(conv_id, turn, place, level, far, to) of quotes (.., h, n) whose (h, n) is in held (conv_id, turn, h, n) before them."""
+    near = held.groupBy("h", "n", "conv_id").agg(F.min("turn").alias("near_turn"))
+    far = held.groupBy("h", "n").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
+    both = quotes.join(near, ["h", "n", "conv_id"], "left").join(far, ["h", "n"], "left")
+    here = F.col("near_turn") < F.col("turn")
+    there = F.col("far") < F.struct("conv_id", "turn")
+    to = F.when(here, F.struct("conv_id", F.col("near_turn").alias("turn"))).when(there, F.col("far"))
+    return both.withColumn("to", to).filter("to is not null").select("conv_id", "turn", "place", "level", (~F.coalesce(here, F.lit(False))).alias("far"), "to")
+
+
+def _in_part(rest: DataFrame, owners: DataFrame) -> DataFrame:
+    """As _earliest, of passages (.., text) whose units follow each other in an own text of owners (conv_id, turn, own).
+
+    Runs are built where the first unit of a wanted one stands, in the lengths wanted there; then one row a run is kept.
+    """
+    runs = rest.select("conv_id", "turn", "place", "level", F.explode(F.array(*_units(F.col("text")))).alias("units")).filter(F.size("units") > 0)
+    runs = settled(runs.select("conv_id", "turn", "place", "level", F.xxhash64(F.get("units", F.lit(0))).alias("first"), F.size("units").alias("k"), *_run(F.col("units"))).distinct())
+    firsts = runs.groupBy("first").agg(F.collect_set("k").alias("lengths"))
+    whole = F.xxhash64("own").alias("whole")  # rows of one conversation and turn may differ
+    each = owners.select("conv_id", "turn", whole, F.posexplode(F.array(*_units(F.col("own")))).alias("kind", "units"))
+    each = each.select("conv_id", "turn", "whole", "kind", F.posexplode("units").alias("at", "unit")).select("conv_id", "turn", "whole", "kind", "at", F.xxhash64("unit").alias("first"))
+    starts = each.join(firsts, "first").groupBy("conv_id", "turn", "whole", "kind").agg(F.collect_set(F.struct("at", "lengths")).alias("starts"))
+    texts = owners.select("conv_id", "turn", whole, "own").distinct()
+    units = F.get(F.array(*_units(F.col("own"))), F.col("kind"))
+    there = starts.join(texts, ["conv_id", "turn", "whole"]).select("conv_id", "turn", units.alias("units"), "starts")
+    fits = lambda s: F.filter(s["lengths"], lambda k: s["at"] + k <= F.size("units"))
+    built = F.flatten(F.transform("starts", lambda s: F.transform(fits(s), lambda k: F.struct(*_run(F.slice("units", s["at"] + 1, k))))))
+    parts = there.select("conv_id", "turn", F.explode(F.array_distinct(built)).alias("r")).select("conv_id", "turn", "r.h", "r.n")
+    return _earliest(runs, parts.join(runs.select("h", "n").distinct(), ["h", "n"], "left_semi"))
+
+
 def linked(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, place, level, to_conv, to_turn) of every linked passage of parsed messages."""
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     quotes = rows.filter(known & (F.size("passages") > 0)).select("conv_id", "turn", F.posexplode("passages").alias("place", "p"))
-    quotes = settled(quotes.select("conv_id", "turn", "place", "p.level", F.xxhash64(_normal(F.col("p.text"))).alias("h"), F.length(_normal(F.col("p.text"))).alias("n")))
+    quotes = settled(quotes.select("conv_id", "turn", "place", "p.level", "p.text", F.xxhash64(_normal(F.col("p.text"))).alias("h"), F.length(_normal(F.col("p.text"))).alias("n")))
+    owners = rows.filter(known & (F.col("own") != "")).select("conv_id", "turn", "own")
     units = F.array_distinct(F.transform(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")), _normal))
-    parts = rows.filter(known & (F.col("own") != "")).select("conv_id", "turn", F.explode(units).alias("unit")).filter("unit <> ''")
+    parts = owners.select("conv_id", "turn", F.explode(units).alias("unit")).filter("unit <> ''")
     parts = parts.select("conv_id", "turn", F.xxhash64("unit").alias("h"), F.length("unit").alias("n"))
     wanted = quotes.select("h", "n").distinct()
-    held = parts.join(wanted, ["h", "n"], "left_semi")
-    near = held.groupBy("h", "n", "conv_id").agg(F.min("turn").alias("near_turn"))
-    far = held.groupBy("h", "n").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    both = quotes.join(near, ["h", "n", "conv_id"], "left").join(far, ["h", "n"], "left")
-    here = F.col("near_turn") < F.col("turn")
-    there = F.col("far") < F.struct("conv_id", "turn")
-    to = F.when(here, F.struct("conv_id", F.col("near_turn").alias("turn"))).when(there, F.col("far"))
-    return both.withColumn("to", to).filter("to is not null").select("conv_id", "turn", "place", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn")).distinct()
+    names = ["conv_id", "turn", "place", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn")]
+    found = _earliest(quotes.drop("text"), parts.join(wanted, ["h", "n"], "left_semi"))
+    links = settled(found.select(*names).distinct())
+    rest = settled(quotes.join(links, ["conv_id", "turn", "place", "level"], "left_anti"))
+    if not rest.limit(1).count():
+        return links
+    more = _in_part(rest, owners).groupBy("conv_id", "turn", "place", "level").agg(F.min(F.struct("far", "to")).alias("best"))
+    return settled(links.union(more.select("conv_id", "turn", "place", "level", "best.to.conv_id", "best.to.turn")))
 
 
 def threads(replies: DataFrame) -> DataFrame:
@@ -96,7 +143,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     link) and depth (replies from the root).
     """
     rows = parsed(messages)
-    links = settled(linked(rows))
+    links = linked(rows)
     first = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"), F.min(F.struct("level", "place", "to_conv", "to_turn")).alias("f"))
     replies = first.select("conv_id", "turn", F.col("f.to_conv").alias("to_conv"), F.col("f.to_turn").alias("to_turn"))
     tops = threads(replies).join(first.select("conv_id", "turn", "n_linked", F.col("f.to_conv").alias("reply_conv"), F.col("f.to_turn").alias("reply_turn")), ["conv_id", "turn"])

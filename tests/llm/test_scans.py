@@ -325,6 +325,21 @@ def test_quotes(spark):
     assert quote_chat.conversations(df.limit(0)).count() == 0
 
 
+def test_quotes_in_part(spark):
+    """Two lines of three, two paragraphs of three (also wrapped anew) and one sentence of a line; not units out of a row."""
+    rows = [
+        (1, 0, "user", "line one\nline two\nline three\n\nline four"), (1, 1, "a", "First para goes\non here\n\nSecond para. It has two\nsentences\n\nThird para"), (1, 2, "b", "> line one\n> line two\nok"), (1, 3, "b", "> line three\n>\n> Line  four\nok"),
+        (1, 4, "c", "> second para.\n> it has two sentences\n>\n> third para\nyes"), (1, 5, "c", "> It has two sentences\nyes"), (1, 6, "d", "> line one\n> line three\nno"), (1, 7, "d", "> line three\n> line four\n> line five\nno"),
+        (2, 0, "e", "> line two\n> line three\nfar"), (2, 1, "e", "new line two\nline two\nline three"), (2, 2, "f", "> line two\n> line three\n\nnear\n> line one\n> line two"), (0, 0, "g", "> line one\n> line two\nbefore all"), (3, 0, "h", "> Yes.\n> No."), (3, 1, "h", "yes.\nno."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn, r.depth) for r in quote_chat.conversations(df.repartition(3)).collect()}
+    none = 0, None, None, 0
+    want = {(1, 0): none, (1, 1): none, (1, 2): (1, 1, 0, 1), (1, 3): (1, 1, 0, 1), (1, 4): (1, 1, 1, 1), (1, 5): (1, 1, 1, 1), (1, 6): none, (1, 7): none}
+    want |= {(2, 0): (1, 1, 0, 1), (2, 1): none, (2, 2): (2, 2, 1, 1), (0, 0): none, (3, 0): none, (3, 1): none}
+    assert got == want
+
+
 def test_quote_table(spark):
     plain = spark.read.parquet(f"{DIR}/conversations.parquet")
     got = queries.op8_quote_chat(spark, DIR)
