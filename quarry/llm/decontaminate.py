@@ -12,7 +12,9 @@ document, one after the other in the same plan, so nothing about documents is ev
 
 Cases: a null text, or one without words, has no words, hits or items. An item without words has no
 window; repeated items count each. Documents with the same id are separate rows. Rows of the
-benchmark with the same id count as one item. Either table may be empty.
+benchmark with the same id count as one item. With ``null_ids``, as in the query and in ``clean``, the words
+of benchmark rows without an id are hits like others and only name no item; by default such rows are left out.
+Either table may be empty.
 """
 
 from __future__ import annotations
@@ -37,11 +39,11 @@ _BITS = 20
 class Index:
     """Windows of one block of benchmark items and their shingles, as flat arrays."""
 
-    def __init__(self, ids: list[str], texts: list[str | None], window: int = WINDOW, shingle: int = SHINGLE):
+    def __init__(self, ids: list[str | None], texts: list[str | None], window: int = WINDOW, shingle: int = SHINGLE):
         low, starts, ends, per = split(pa.array(texts, pa.large_string()), ALNUM)
         words = hashes(low, starts, ends)
-        self.words, self.names = words, sorted(set(ids))
-        name = {x: k for k, x in enumerate(self.names)}
+        self.words, self.names = words, sorted(set(ids) - {None})
+        name = {x: k for k, x in enumerate(self.names)} | {None: -1}
         where, size, item, at = [], [], [], 0
         for k, n in enumerate(per.tolist()):
             if n:
@@ -58,6 +60,7 @@ class Index:
         _, first, same = np.unique(whole, return_index=True, return_inverse=True)
         self.start, self.size = where[first], size[first]  # of the distinct windows
         pairs = np.unique(np.stack([same, item], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        pairs = pairs[pairs[:, 1] >= 0]  # windows of rows without an id name no item
         self.items, self.items_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
         self.text = [low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]  # of each word
         # each window's shingles: hash, window, offset, width
@@ -187,20 +190,22 @@ def _scan_part(part: pa.RecordBatch, index: Index, look: _Lookup, last: bool) ->
     return pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(pa.list_(pa.int64()))), *flat], ["id", "items", "spans", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, null_ids: bool = False) -> DataFrame:
     """One row per row of docs: (id, items array<string>, spans array<array<long>>, n_words, n_hit, n_items, items_sha256).
 
     spans are runs of hit words, as word positions from 0, end exclusive.
     """
     sc = docs.sparkSession.sparkContext
     cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).filter(F.col("item").isNotNull() & F.col("text").isNotNull())
+    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).filter("text is not null")
+    if not null_ids:
+        items = items.filter("item is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // (2 * block_words)) or 1  # a word and what parts it from the next take two characters at least
     kind = cols.schema["id"].dataType.simpleString()
     out = cols.select("id", F.lit(None).cast("array<string>").alias("items"), "text", F.lit(None).cast("binary").alias("hits"))
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
+        rows = items.filter(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == b).collect()
         index = Index([r["item"] for r in rows], [r["text"] for r in rows], window, shingle)
         seen = sc.broadcast((index.keys, index.sizes))
         counts = np.zeros(len(index.keys), np.int64)
@@ -222,6 +227,6 @@ def contaminated(n_hit, n_words, share: int = 20):
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated rows; all columns stay. Ids have to be unique."""
-    found = overlaps(docs, bench, id_col, text_col)
+    found = overlaps(docs, bench, id_col, text_col, null_ids=True)
     bad = found.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("__bad"))
     return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")

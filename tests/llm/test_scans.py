@@ -118,6 +118,20 @@ def test_overlap_edges(spark):
     assert overlap(spark, [], [(1, "a")]) == []
 
 
+@pytest.mark.parametrize("block_words", [10**6, 3])
+def test_benchmark_null_ids(spark, tmp_path, block_words):
+    """Words of benchmark rows without an id are hits and name no item; the query and clean count them."""
+    items = [(None, "one two three"), (1, "four five"), (2, "one two three"), (None, "six"), (None, None)]
+    docs = [(1, "a one two three b"), (2, "four five six"), (3, "six"), (4, "seven")]
+    want = [(1, 3, 1), (2, 3, 1), (3, 1, 0), (4, 0, 0)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.overlaps(d, b, block_words=block_words, null_ids=True)
+    assert sorted((r.id, r.n_hit, r.n_items) for r in got.collect()) == want
+    assert [r.doc_id for r in decontaminate.clean(d, b).collect()] == [4]
+    d.write.parquet(str(tmp_path / "documents.parquet")), b.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in queries.op9_decontaminate(spark, str(tmp_path)).collect()) == want
+
+
 def test_decontaminate_table(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     got = sorted((tuple(r)[:5] for r in queries.op9_decontaminate(spark, DIR).collect()), key=str)
