@@ -85,15 +85,17 @@ def read_batches(spark: SparkSession, folders: Sequence[str], name: str, schema:
 
 
 #: Parts of pages that a site shows in place of its content.
-CHALLENGE_MARKS = ("just a moment", "cf-challenge", "attention required", "enable javascript and cookies")
+CHALLENGE_MARKS = ("challenge-error-title", "enable javascript and cookies to continue")
+#: Whole titles of such pages; the same words elsewhere are content.
+CHALLENGE_TITLE = r"<title[^>]*>\s*(just a moment[.\u2026]*|attention required![^<]*cloudflare)\s*</title>"
 
 
 def read_pages(spark: SparkSession, path: str, key_regex: str, key: str = "page_key") -> tuple[DataFrame, DataFrame]:
     """(pages, refused) of a folder of saved HTML files: (key, path, html), the key by a regex on the file's name."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
     rows = files.select(S.first_text(F.col("path"), key_regex).alias(key), "path", "html")
-    low = F.lower(F.substring("html", 1, 20000))
-    refused = F.lit(False)
+    low = F.lower("html")
+    refused = low.rlike(CHALLENGE_TITLE)
     for mark in CHALLENGE_MARKS:
         refused = refused | low.contains(mark)
     return rows.filter(~refused & F.col(key).isNotNull()), rows.filter(refused | F.col(key).isNull())

@@ -135,6 +135,16 @@ def test_sources(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
 
 
+def test_challenge_pages(spark, tmp_path):
+    """The marks count wherever they stand; words of titles do not make a real page a challenge."""
+    write(tmp_path / "p/match-1.html", "x" * 30000 + "<h2 id='challenge-error-title'>")
+    write(tmp_path / "p/match-2.html", "y" * 30000 + "Enable JavaScript and cookies to continue")
+    write(tmp_path / "p/match-3.html", "<title>A match</title> Just a moment, attention required")
+    write(tmp_path / "p/match-4.html", "<title>Attention Required! | Cloudflare</title>")
+    pages, refused = readers.read_pages(spark, str(tmp_path / "p"), r"match-([0-9]+)\.html")
+    assert [r.page_key for r in pages.collect()] == ["3"] and sorted(r.page_key for r in refused.collect()) == ["1", "2", "4"]
+
+
 def test_streaming_upsert(spark, tmp_path):
     state = {}
     spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, o int, v string").write.parquet(str(tmp_path / "in/one"))
