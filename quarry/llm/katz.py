@@ -169,14 +169,19 @@ def _tell(group: pd.DataFrame) -> pd.DataFrame:
     told, m, bucket, at = total[which], int(group["m"].iloc[0]), int(group["bucket"].iloc[0]), 0
     seen = total > 0
     small = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3).astype(np.int64)
-    rows = [("table", m, bucket, -1, pack_keys(distinct[seen]), pack(total[seen].astype(np.uint32)), pack(np.append(small, total.sum())))]
+    rows = [("table", m, bucket, -1, pack_keys(distinct[seen]), pack(_narrow(total[seen], np.uint32, np.uint64)), pack(np.append(small, total.sum())))]
     for chunk, end in zip(group["chunk"], ends):
         digest = int(every[at:end].sum(dtype=np.uint64)).to_bytes(8, "little")
-        rows.append(("tell", m, bucket, int(chunk), pack(told[at:end].astype(np.uint32)), pack(np.packbits(owns[at:end])), digest))
+        rows.append(("tell", m, bucket, int(chunk), pack(_narrow(told[at:end], np.uint32, np.uint64)), pack(np.packbits(owns[at:end])), digest))
         at = end
     return pd.DataFrame([r + (None,) * (10 - len(r)) for r in rows], columns=_COLS)
 
 
+def _narrow(total: np.ndarray, small: type, large: type) -> np.ndarray:
+    """total as small, or as large where one of it does not fit."""
+    return total.astype(small if not len(total) or total.max() <= np.iinfo(small).max else large)
+
+
 @dataclass(frozen=True)
 class Sizes:
     """What the driver knows of the model: per order, n-grams seen 1..K+1 times, distinct n-grams, tokens."""
@@ -238,7 +243,7 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
             total, owns = _told(m, tells, keys)
             at = np.zeros(len(keys), np.int32)
             at[same[::-1]] = np.arange(len(same) - 1, -1, -1, dtype=np.int32)  # where each n-gram is first
-            count = total.astype(np.int32)[same]
+            count = _narrow(total, np.int32, np.int64)[same]
             del keys, same
             if m == 1:
                 known = count > 0
@@ -247,7 +252,7 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
                 score = np.log10(p)
             else:
                 # how often the history was seen: the count of the shorter n-gram one token before
-                history = np.empty_like(count)
+                history = np.empty(len(ctx), np.result_type(ctx, np.min_scalar_type(n_train)))
                 history[1:] = ctx[:-1]
                 history[chunk.first] = n_train
                 seen = count > 0

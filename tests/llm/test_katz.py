@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,16 @@ def test_save(spark, tmp_path):
     katz.save(katz.fit(rows, F.col("t")), str(tmp_path / "m"))
     saved = spark.read.parquet(str(tmp_path / "m")).filter("m = 2").collect()
     assert sum(len(katz.unpack_keys(r["keys"])) for r in saved) == 4 and sum(katz.unpack(r["counts"]).sum() for r in saved) == 4
+
+
+def test_counts_beyond_32_bits():
+    """Totals of an n-gram over all chunks are kept whole, where they travel and where they are used."""
+    import pandas as pd
+
+    keys, some = np.array([5, 9], np.uint64), np.array([2_000_000_000, 1], np.uint32)
+    rows = [{"kind": "ask", "m": 1, "bucket": 0, "chunk": k, "a": katz.pack_keys(keys), "b": katz.pack(some)} for k in range(3)]
+    out = katz._tell(pd.DataFrame(rows, columns=katz._COLS))
+    assert [katz.unpack(x).tolist() for x in out["a"][1:]] == [[6_000_000_000, 3]] * 3
+    assert katz.unpack(out["b"][0]).tolist() == [6_000_000_000, 3]
+    total, _ = katz._told(1, out[out["kind"] == "tell"].iloc[:1], keys)
+    assert katz._narrow(total, np.int32, np.int64).tolist() == [6_000_000_000, 3] and katz._narrow(total[1:], np.int32, np.int64).dtype == np.int32
