@@ -40,9 +40,9 @@ class Node:
             elif x.tag not in ("script", "style"):
                 stack.extend(reversed(x.children))
 
-    def text(self) -> str:
-        """All text below, white space normalised; parts of different elements are a space apart."""
-        return " ".join(" ".join(t.split()) for t in self.texts() if t.strip())
+    def text(self, sep: str = " ") -> str:
+        """All text below, white space normalised; parts of different elements are ``sep`` apart."""
+        return sep.join(" ".join(t.split()) for t in self.texts() if t.strip())
 
     def own_texts(self) -> list[str]:
         """Normalised texts that are direct children."""
@@ -94,8 +94,8 @@ def _matches(node: Node, chain: tuple, root: Node) -> bool:
         return False
     if len(chain) == 1:
         return joint == " " or node.parent is root
-    up = node.parent
-    while up is not None and up is not root.parent:
+    up = node.parent  # ancestors above root count too, as in a style sheet
+    while up is not None:
         if _matches(up, chain[:-1], root):
             return True
         if joint == ">":

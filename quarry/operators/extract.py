@@ -1,7 +1,8 @@
 """Table-valued extraction: saved pages in, relations out.
 
-One pass of Python a page gives all texts that a relation needs, in Arrow batches; numbers, ids, dates and
-validity are then Column expressions. A page that cannot be read gives a row in the errors, not a failure.
+One pass of Python a page gives all texts that its relations need, in Arrow batches, as one row of arrays of
+structs; numbers, ids, dates and validity are then Column expressions over them. A page that cannot be read is a
+row with an error and nothing else: no failure of the job, and no page that vanishes.
 """
 
 from __future__ import annotations
@@ -17,31 +18,49 @@ from ..functions.html import Node, parse
 
 BASE_URL = "https://www.example.org"
 
+_TEXT, _NUMBER, _FLAG, _TEXTS = pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.string())
 
-def pages_to_rows(pages: DataFrame, key: str, fields: str, extract: Callable[[Node], list[dict]], html: str = "html") -> DataFrame:
-    """(key, fields..., error) of every row that ``extract`` finds in a page; fields are text columns but for given types."""
+
+def _record(texts: str, **other: pa.DataType) -> pa.DataType:
+    return pa.struct([(n, _TEXT) for n in texts.split()] + list(other.items()))
+
+
+def _ddl(kind: pa.DataType) -> str:
+    if pa.types.is_struct(kind):
+        return "struct<" + ",".join(f"{f.name}:{_ddl(f.type)}" for f in kind) + ">"
+    if pa.types.is_list(kind):
+        return f"array<{_ddl(kind.value_type)}>"
+    return {_TEXT: "string", _NUMBER: "bigint", _FLAG: "boolean"}[kind]
+
+
+def parsed(pages: DataFrame, key: str, fields: dict[str, pa.DataType], extract: Callable[[Node], dict], html: str = "html") -> DataFrame:
+    """(key, fields..., error), a row per page: what ``extract`` finds in it, or why it could not be read."""
     kind = pages.schema[key].dataType.simpleString()
-    names = [f.strip().split(" ", 1) for f in fields.split(",")]
+
+    def one(page: str | None) -> dict:
+        try:
+            if page is None:
+                raise ValueError("no page")
+            return extract(parse(page)) | {"error": None}
+        except Exception as e:  # one page, one error row
+            return {"error": f"{type(e).__name__}: {e}"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[dict] = []
-            for k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    out += [{"__key": k, "error": None, **row} for row in extract(parse(page))]
-                except Exception as e:  # one page, one error row
-                    out.append({"__key": k, "error": f"{type(e).__name__}: {e}"})
-            types = {"bigint": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
-            cols = [pa.array([r.get("__key") for r in out], batch.schema.field(0).type)]
-            cols += [pa.array([r.get(n) for r in out], types.get(t, pa.string())) for n, t in names]
-            cols.append(pa.array([r.get("error") for r in out], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, [key, *[n for n, _ in names], "error"])
+            out = [one(x.as_py()) for x in batch.column(1)]
+            cols = [pa.array([r.get(n) for r in out], t) for n, t in (fields | {"error": _TEXT}).items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [key, *fields, "error"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {kind}, {fields}, error string")
+    return pages.select(key, html).mapInArrow(run, ", ".join([f"{key} {kind}", *(f"{n} {_ddl(t)}" for n, t in fields.items()), "error string"]))
 
 
-def _text(node: Node | None) -> str:
-    return node.text() if node is not None else ""
+def errors(pages: DataFrame, key: str, what: str) -> DataFrame:
+    """(kind, key, error) of the parsed pages that could not be read."""
+    return pages.filter("error is not null").select(F.lit(what).alias("kind"), F.col(key).cast("string").alias("key"), "error")
+
+
+def _text(node: Node | None, sep: str = " ") -> str:
+    return node.text(sep) if node is not None else ""
 
 
 def _attr(node: Node | None, name: str) -> str:
@@ -50,8 +69,10 @@ def _attr(node: Node | None, name: str) -> str:
 
 # --- results pages -----------------------------------------------------------------------------------------
 
+_ENTRIES = pa.list_(_record("href headline epoch team1 team2 event_name score1 score2", n_scores=_NUMBER, ordinal=_NUMBER))
+
 
-def _results(page: Node) -> list[dict]:
+def _results(page: Node) -> dict:
     boxes = page.select(".results-all") or page.select("div.allres")
     if not boxes:
         raise ValueError("no results container")
@@ -59,22 +80,27 @@ def _results(page: Node) -> list[dict]:
     for block in boxes[-1].select(".results-sublist"):
         headline = _text(block.first(".standard-headline"))
         for entry in block.select(".result-con") or block.select("a.a-reset"):
-            link = entry if entry.tag == "a" and "href" in entry.attrs else entry.first("a.a-reset[href]")
-            scores = [x.text() for x in entry.select(".result-score span")]
+            link = entry if entry.tag == "a" else entry.first("a.a-reset[href]")
+            scores = [x.text("") for x in entry.select(".result-score span")]
             out.append(
                 {
-                    "href": _attr(link, "href"), "headline": headline, "epoch": entry.get("data-zonedgrouping-entry-unix"), "n_scores": len(scores), "ordinal": len(out),
+                    "href": _attr(link, "href"), "headline": headline, "epoch": entry.get("data-zonedgrouping-entry-unix").strip(), "n_scores": len(scores), "ordinal": len(out),
                     "team1": _text(entry.first(".team1 .team")), "team2": _text(entry.first(".team2 .team")), "event_name": _text(entry.first(".event-name")),
                     "score1": scores[0] if scores else "", "score2": scores[1] if len(scores) > 1 else "",
                 }
             )
-    return out
+    return {"entries": out}
+
+
+def results_pages(pages: DataFrame, key: str = "page_idx") -> DataFrame:
+    """(key, entries, error) of results pages."""
+    return parsed(pages, key, {"entries": _ENTRIES}, _results)
 
 
-def result_rows(pages: DataFrame, key: str = "page_idx", base_url: str = BASE_URL) -> DataFrame:
-    """All dated entries of results pages in page order: the raw columns of a match, before validity filters."""
-    got = pages_to_rows(pages, key, "href string, headline string, epoch string, n_scores bigint, ordinal bigint, team1 string, team2 string, event_name string, score1 string, score2 string", _results)
-    rows = got.filter("error is null").withColumn("match_id", S.first_text(F.col("href"), S.MATCH_ID)).filter("match_id is not null and n_scores >= 2")
+def result_rows(results: DataFrame, key: str = "page_idx", base_url: str = BASE_URL) -> DataFrame:
+    """All entries of parsed results pages in page order: the raw columns of a match, before validity filters."""
+    rows = results.filter("error is null").select(key, F.inline("entries"))
+    rows = rows.withColumn("match_id", S.first_text(F.col("href"), S.MATCH_ID)).filter("match_id is not null and n_scores >= 2")
     s1, s2 = S.safe_int(F.col("score1")), S.safe_int(F.col("score2"))
     when = F.when(S.all_digits(F.col("epoch")), S.epoch_date(F.col("epoch"))).otherwise(S.headline_date(F.col("headline")))
     return rows.select(
@@ -90,61 +116,35 @@ def page_dates(rows: DataFrame, key: str = "page_idx") -> DataFrame:
 
 # --- match pages -------------------------------------------------------------------------------------------
 
+_META = _record("href1 href2 event_href event_text unix team1 team2 rank1 rank2", lines=_TEXTS)
+_LINEUPS = pa.list_(_record("team_href team_name player player_name country", team_ordinal=_NUMBER))
+_VETOES = pa.list_(_record("raw_line", ordinal=_NUMBER))
+_MAPS = pa.list_(_record("map_name score1 score2 stats_href", map_no=_NUMBER, played=_FLAG, optional=_FLAG, spans=_TEXTS))
 
-def _meta(page: Node) -> list[dict]:
-    boxes = page.select(".lineup.standard-box")
+
+def _meta(page: Node) -> dict:
+    boxes = page.select(".lineups .lineup.standard-box")
     rank = lambda k: _text(boxes[k].first(".teamRanking a")) if len(boxes) > k else ""
     note = page.first(".padding.preformatted-text")
-    raw = "".join(note.texts()) if note is not None else ""
-    lines = [" ".join(x.split()) for x in raw.split("\n") if x.strip()]
-    return [
-        {
-            "href1": _attr(page.first(".team1-gradient a[href*='/team/']"), "href"), "href2": _attr(page.first(".team2-gradient a[href*='/team/']"), "href"),
-            "event_href": _attr(page.first(".event a[href*='/events/']"), "href"), "event_text": _text(page.first(".event a[href*='/events/']")), "unix": _attr(page.first(".date[data-unix]"), "data-unix"),
-            "team1": _text(page.first(".team1-gradient .teamName")), "team2": _text(page.first(".team2-gradient .teamName")), "rank1": rank(0), "rank2": rank(1), "lines": lines,
-        }
-    ]
-
-
-def match_meta(pages: DataFrame, raw: DataFrame, key: str = "match_id") -> DataFrame:
-    """One row per match page, with names, event and address of raw where the page has none."""
-    got = pages_to_rows(pages, key, "href1 string, href2 string, event_href string, event_text string, unix string, team1 string, team2 string, rank1 string, rank2 string, lines array<string>", _meta).filter("error is null")
-    r = raw.select(key, *[F.col(c).alias(f"raw_{c}") for c in ("match_date", "event_name", "team1", "team2", "winner", "source_url")])
-    line = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
-    rest = F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))
-    plain = lambda x: F.trim(F.regexp_replace(x, r"^[* ]+", ""))
-    stage = F.transform(F.filter(rest, lambda x: x.startswith("*") & ~x.startswith("**")), plain)
-    notes = F.transform(F.filter(rest, lambda x: x.startswith("**")), plain)
-    best = r"Best of ([0-9]+)\s+\((LAN|Online)\)"
-    return got.join(r, key, "left").select(
-        key, F.col("raw_match_date").alias("match_date"), S.epoch_iso(F.col("unix")).alias("match_datetime_utc"), S.first_text(F.col("event_href"), S.EVENT_ID).alias("event_id"),
-        S.first_nonempty(F.col("event_text"), F.col("raw_event_name")).alias("event_name"), S.first_nonempty(F.col("team1"), F.col("raw_team1")).alias("team1"), S.first_nonempty(F.col("team2"), F.col("raw_team2")).alias("team2"),
-        S.first_text(F.col("href1"), S.TEAM_ID).alias("team1_id"), S.first_text(F.col("href2"), S.TEAM_ID).alias("team2_id"), S.first_int(F.col("rank1"), r"#([0-9]+)").alias("team1_rank"), S.first_int(F.col("rank2"), r"#([0-9]+)").alias("team2_rank"),
-        S.first_int(line, best).alias("bo"), F.regexp_extract(line, best, 2).alias("lan_online"), F.array_join(stage, " | ").alias("match_context"), F.array_join(notes, " | ").alias("forfeit_note"),
-        F.col("raw_winner").alias("winner_raw"), F.col("raw_source_url").alias("source_url"),
-    )
+    # every text of its own is a line, and so is every line within it
+    lines = [" ".join(x.split()) for t in (note.texts() if note is not None else ()) for x in t.split("\n") if x.strip()]
+    event = page.first(".timeAndEvent .event a[href*='/events/']")
+    return {
+        "href1": _attr(page.first(".team1-gradient a[href*='/team/']"), "href"), "href2": _attr(page.first(".team2-gradient a[href*='/team/']"), "href"),
+        "event_href": _attr(event, "href"), "event_text": _text(event), "unix": _attr(page.first(".timeAndEvent .date[data-unix]"), "data-unix").strip(),
+        "team1": _text(page.first(".team1-gradient .teamName")), "team2": _text(page.first(".team2-gradient .teamName")), "rank1": rank(0), "rank2": rank(1), "lines": lines,
+    }
 
 
 def _lineups(page: Node) -> list[dict]:
     out = []
-    for k, box in enumerate(page.select(".lineup.standard-box")[:2], 1):
-        team = box.first("a[href*='/team/']")
+    for k, box in enumerate(page.select(".lineups .lineup.standard-box")[:2], 1):
+        team = box.first(".box-headline a[href*='/team/']")
         for cell in box.select("[data-player-id]"):
-            out.append({"team_ordinal": k, "team_href": _attr(team, "href"), "team_name": _text(team), "player": cell.get("data-player-id"), "player_name": _text(cell.first(".text-ellipsis")), "country": _attr(cell.first("img.flag"), "title")})
+            out.append({"team_ordinal": k, "team_href": _attr(team, "href"), "team_name": _text(team), "player": cell.get("data-player-id"), "player_name": _text(cell.first(".text-ellipsis")), "country": " ".join(_attr(cell.first("img.flag"), "title").split())})
     return out
 
 
-def match_lineups(pages: DataFrame, key: str = "match_id") -> DataFrame:
-    got = pages_to_rows(pages, key, "team_ordinal bigint, team_href string, team_name string, player string, player_name string, country string", _lineups).filter("error is null")
-    return got.select(key, F.col("team_ordinal").cast("int").alias("team_ordinal"), S.first_text(F.col("team_href"), S.TEAM_ID).alias("team_id"), "team_name", S.safe_int(F.col("player")).cast("string").alias("player_id"), "player_name", "country")
-
-
-def rosters(lineups: DataFrame, key: str = "match_id") -> DataFrame:
-    """(key, team1_roster_hash, team2_roster_hash), before lineups lose repeated rows."""
-    ids = lambda k: F.collect_list(F.when(F.col("team_ordinal") == k, F.col("player_id").cast("bigint")))
-    return lineups.groupBy(key).agg(S.roster_hash(ids(1)).alias("team1_roster_hash"), S.roster_hash(ids(2)).alias("team2_roster_hash"))
-
-
 def _vetoes(page: Node) -> list[dict]:
     boxes = page.select(".veto-box")
     if len(boxes) < 2:
@@ -152,37 +152,72 @@ def _vetoes(page: Node) -> list[dict]:
     return [{"ordinal": k, "raw_line": t} for k, t in enumerate(x.text() for x in boxes[1].select(".padding > div")) if t]
 
 
-def veto_steps(pages: DataFrame, key: str = "match_id") -> DataFrame:
-    got = pages_to_rows(pages, key, "ordinal bigint, raw_line string", _vetoes).filter("error is null")
-    return got.withColumn("v", S.veto(F.col("raw_line"))).select(key, "ordinal", "v.step_number", "v.team_name", "v.action", "v.map_name", "raw_line")
-
-
-def _spans(box: Node, selector: str) -> list[str]:
+def _spans(box: Node | None, selector: str, ct: str, t: str) -> list[str]:
     """Sides and rounds as ``CT:8``: the side is a class of the span."""
-    return [("CT" if "ct" in x.classes else "T" if "t" in x.classes else "") + ":" + x.text() for x in box.select(selector)]
+    return [("CT" if ct in x.classes else "T" if t in x.classes else "") + ":" + x.text("") for x in (box.select(selector) if box is not None else ())]
 
 
 def _maps(page: Node) -> list[dict]:
     out = []
     for k, box in enumerate(page.select(".mapholder"), 1):
-        link = box.first("a.results-stats[href]")
         out.append(
             {
                 "map_no": k, "map_name": _text(box.first(".mapname")), "played": box.first(".results.played") is not None, "optional": box.first(".results.optional") is not None,
-                "score1": _text(box.first(".results-left .results-team-score")), "score2": _text(box.first(".results-right .results-team-score")), "stats_href": _attr(link, "href"),
-                "spans": _spans(box, ".results-center-half-score span"),
+                "score1": _text(box.first(".results-left .results-team-score"), ""), "score2": _text(box.first(".results-right .results-team-score"), ""),
+                "stats_href": " ".join(_attr(box.first("a.results-stats[href]"), "href").split()), "spans": _spans(box, ".results-center-half-score span", "ct", "t"),
             }
         )
     return out
 
 
+def match_pages(pages: DataFrame, key: str = "match_id") -> DataFrame:
+    """(key, meta, lineups, vetoes, maps, error) of match pages: all four relations from one parse of a page."""
+    fields = {"meta": _META, "lineups": _LINEUPS, "vetoes": _VETOES, "maps": _MAPS}
+    return parsed(pages, key, fields, lambda page: {"meta": _meta(page), "lineups": _lineups(page), "vetoes": _vetoes(page), "maps": _maps(page)})
+
+
+def match_meta(matches: DataFrame, raw: DataFrame, key: str = "match_id") -> DataFrame:
+    """One row per parsed match page, with names, event and address of raw where the page has none."""
+    got = matches.filter("error is null").select(key, "meta.*")
+    r = raw.select(key, *[F.col(c).alias(f"raw_{c}") for c in ("match_date", "event_name", "team1", "team2", "winner", "source_url")])
+    line = F.coalesce(F.get("lines", F.lit(0)), F.lit(""))
+    rest = F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))
+    plain = lambda x: F.trim(F.regexp_replace(x, r"^[* ]+", ""))
+    stage = F.transform(F.filter(rest, lambda x: x.startswith("*") & ~x.startswith("**")), plain)
+    notes = F.transform(F.filter(rest, lambda x: x.startswith("**")), plain)
+    best = r"Best of ([0-9]+)\s+\((LAN|Online)\)"
+    return got.join(r, key, "left").select(
+        key, F.col("raw_match_date").alias("match_date"), S.epoch_iso(F.col("unix")).alias("match_datetime_utc"), S.first_text(F.col("event_href"), S.EVENT_ID).alias("event_id"),
+        S.first_nonempty(F.col("event_text"), F.col("raw_event_name")).alias("event_name"), S.first_nonempty(F.col("team1"), F.col("raw_team1")).alias("team1"), S.first_nonempty(F.col("team2"), F.col("raw_team2")).alias("team2"),
+        S.first_text(F.col("href1"), S.TEAM_ID).alias("team1_id"), S.first_text(F.col("href2"), S.TEAM_ID).alias("team2_id"), S.first_int(F.col("rank1"), r"#([0-9]+)").alias("team1_rank"), S.first_int(F.col("rank2"), r"#([0-9]+)").alias("team2_rank"),
+        S.first_int(line, best).alias("bo"), F.regexp_extract(line, best, 2).alias("lan_online"), F.array_join(stage, " | ").alias("match_context"), F.array_join(notes, " | ").alias("forfeit_note"),
+        F.col("raw_winner").alias("winner_raw"), F.col("raw_source_url").alias("source_url"),
+    )
+
+
+def match_lineups(matches: DataFrame, key: str = "match_id") -> DataFrame:
+    got = matches.filter("error is null").select(key, F.inline("lineups"))
+    return got.select(key, F.col("team_ordinal").cast("int").alias("team_ordinal"), S.first_text(F.col("team_href"), S.TEAM_ID).alias("team_id"), "team_name", S.safe_int(F.col("player")).cast("string").alias("player_id"), "player_name", "country")
+
+
+def rosters(lineups: DataFrame, key: str = "match_id") -> DataFrame:
+    """(key, team1_roster_hash, team2_roster_hash), before lineups lose repeated rows."""
+    ids = lambda k: F.collect_list(F.when(F.col("team_ordinal") == k, F.col("player_id").cast("bigint")))
+    return lineups.groupBy(key).agg(S.roster_hash(ids(1)).alias("team1_roster_hash"), S.roster_hash(ids(2)).alias("team2_roster_hash"))
+
+
+def veto_steps(matches: DataFrame, key: str = "match_id") -> DataFrame:
+    got = matches.filter("error is null").select(key, F.inline("vetoes"))
+    return got.withColumn("v", S.veto(F.col("raw_line"))).select(key, "ordinal", "v.step_number", "v.team_name", "v.action", "v.map_name", "raw_line")
+
+
 def _sides(spans: F.Column) -> F.Column:
     return F.transform(spans, lambda x: F.struct(F.substring_index(x, ":", 1).alias("side"), S.safe_int(F.substring_index(x, ":", -1)).alias("rounds")))
 
 
-def match_maps(pages: DataFrame, vetoes: DataFrame, key: str = "match_id") -> DataFrame:
+def match_maps(matches: DataFrame, vetoes: DataFrame, key: str = "match_id") -> DataFrame:
     """Maps of each match, with who picked them (the last veto line wins) and which was left over."""
-    got = pages_to_rows(pages, key, "map_no bigint, map_name string, played boolean, optional boolean, score1 string, score2 string, stats_href string, spans array<string>", _maps).filter("error is null")
+    got = matches.filter("error is null").select(key, F.inline("maps"))
     named = vetoes.withColumn("map_key", F.lower("map_name"))
     picks = named.filter("action = 'picked'").groupBy(key, "map_key").agg(F.max_by("team_name", "ordinal").alias("picked_by"))
     left = named.filter("action = 'left_over'").select(key, "map_key").distinct().withColumn("is_decider", F.lit(True))
@@ -195,47 +230,50 @@ def match_maps(pages: DataFrame, vetoes: DataFrame, key: str = "match_id") -> Da
 
 # --- map statistics pages ----------------------------------------------------------------------------------
 
+_SUMMARY = _record("map_name left_href left_name left_score right_href right_name right_score", spans=_TEXTS)
+#: The class of each cell of a player's row.
+_CELLS = {"kills": "kills", "assists": "assists", "deaths": "deaths", "opkd": "opkd", "adr": "adr", "kast": "kast", "rating": "rating", "mks": "mks", "clutches": "clutches", "swing": "roundSwing"}
+_PLAYERS = pa.list_(_record("href player_name " + " ".join(_CELLS), side=_NUMBER))
+
 
-def _summary(page: Node) -> list[dict]:
+def _summary(page: Node) -> dict:
     box = page.first(".match-info-box")
     names = box.own_texts() if box is not None else []
     rows = page.select(".match-info-row")
-    right = rows[0].first(".right") if rows else None
-    spans = [("CT" if "ct-color" in x.classes else "T" if "t-color" in x.classes else "") + ":" + x.text() for x in right.select("span")] if right is not None else []
-    side = lambda which: {f"{which}_href": _attr(page.first(f".team-{which} a"), "href"), f"{which}_name": _text(page.first(f".team-{which} a")), f"{which}_score": _text(page.first(f".team-{which} .bold"))}
-    return [{"map_name": names[0] if names else "Unknown", **side("left"), **side("right"), "spans": spans}]
-
-
-def map_summaries(pages: DataFrame, key: str = "mapstatsid") -> DataFrame:
-    got = pages_to_rows(pages, key, "map_name string, left_href string, left_name string, left_score string, right_href string, right_name string, right_score string, spans array<string>", _summary).filter("error is null")
-    h = S.half_scores(_sides(F.col("spans")))
-    return got.withColumn("h", h).select(
-        key, F.col("map_name").alias("map_name_from_stats"), S.first_text(F.col("left_href"), S.STATS_TEAM_ID).alias("team_left_id"), F.col("left_name").alias("team_left_name"), S.first_text(F.col("right_href"), S.STATS_TEAM_ID).alias("team_right_id"), F.col("right_name").alias("team_right_name"),
-        S.safe_int(F.col("left_score")).alias("team_left_score_stats"), S.safe_int(F.col("right_score")).alias("team_right_score_stats"), F.col("h.team1_ct_rounds").alias("team_left_ct_rounds"), F.col("h.team1_t_rounds").alias("team_left_t_rounds"),
-        F.col("h.team2_ct_rounds").alias("team_right_ct_rounds"), F.col("h.team2_t_rounds").alias("team_right_t_rounds"), F.col("h.team1_starting_side").alias("team_left_starting_side"),
-    )
-
-
-_CELLS = {"kills": "kills", "assists": "assists", "deaths": "deaths", "opkd": "opkd", "adr": "adr", "kast": "kast", "rating": "rating", "mks": "mks", "clutches": "clutches", "swing": "roundSwing"}
+    side = lambda which: {f"{which}_href": _attr(page.first(f".team-{which} a"), "href"), f"{which}_name": _text(page.first(f".team-{which} a")), f"{which}_score": _text(page.first(f".team-{which} .bold"), "")}
+    return {"map_name": names[0] if names else "Unknown", **side("left"), **side("right"), "spans": _spans(rows[0].first(".right") if rows else None, "span", "ct-color", "t-color")}
 
 
 def _players(page: Node) -> list[dict]:
     out = []
     for k, table in enumerate((page.select(".stats-table.totalstats") or page.select(".totalstats"))[:2]):
-        for row in table.select("tr"):
-            link = row.first("a[href*='/stats/players/']")
+        for row in table.select("tbody tr"):
+            link = row.first("td.st-player a")
             if link is not None:
-                out.append({"side": k, "href": link.get("href"), "player_name": link.text(), **{n: _text(row.first(f"td.st-{c}")) for n, c in _CELLS.items()}})
+                out.append({"side": k, "href": link.get("href"), "player_name": link.text(), **{n: _text(row.first(f"td.st-{c}"), "") for n, c in _CELLS.items()}})
     return out
 
 
-def player_stats(pages: DataFrame, summaries: DataFrame, key: str = "mapstatsid") -> DataFrame:
-    """Player rows; the first table belongs to the left team of the summary, the second to the right."""
-    got = pages_to_rows(pages, key, "side bigint, href string, player_name string, " + ", ".join(f"{n} string" for n in _CELLS), _players).filter("error is null")
-    teams = summaries.select(key, F.array("team_left_id", "team_right_id").alias("ids"))
-    rows = got.join(teams, key, "left").withColumns({n: S.compound_stat(F.col(n)) for n in ("kills", "assists", "deaths")}).withColumn("opkd", S.duel_stat(F.col("opkd")))
+def stats_pages(pages: DataFrame, key: str = "mapstatsid") -> DataFrame:
+    """(key, summary, players, error) of map statistics pages, from one parse of a page."""
+    return parsed(pages, key, {"summary": _SUMMARY, "players": _PLAYERS}, lambda page: {"summary": _summary(page), "players": _players(page)})
+
+
+def map_summaries(stats: DataFrame, key: str = "mapstatsid") -> DataFrame:
+    got = stats.filter("error is null").select(key, "summary.*")
+    return got.withColumn("h", S.half_scores(_sides(F.col("spans")))).select(
+        key, F.col("map_name").alias("map_name_from_stats"), S.first_text(F.col("left_href"), S.STATS_TEAM_ID).alias("team_left_id"), F.col("left_name").alias("team_left_name"), S.first_text(F.col("right_href"), S.STATS_TEAM_ID).alias("team_right_id"), F.col("right_name").alias("team_right_name"),
+        S.safe_int(F.col("left_score")).alias("team_left_score_stats"), S.safe_int(F.col("right_score")).alias("team_right_score_stats"), F.col("h.team1_ct_rounds").alias("team_left_ct_rounds"), F.col("h.team1_t_rounds").alias("team_left_t_rounds"),
+        F.col("h.team2_ct_rounds").alias("team_right_ct_rounds"), F.col("h.team2_t_rounds").alias("team_right_t_rounds"), F.col("h.team1_starting_side").alias("team_left_starting_side"),
+    )
+
+
+def player_stats(stats: DataFrame, key: str = "mapstatsid") -> DataFrame:
+    """Player rows; the first table belongs to the left team of the page's summary, the second to the right."""
+    got = stats.filter("error is null").select(key, F.array("summary.left_href", "summary.right_href").alias("teams"), F.inline("players"))
+    rows = got.withColumns({n: S.compound_stat(F.col(n)) for n in ("kills", "assists", "deaths")}).withColumn("opkd", S.duel_stat(F.col("opkd")))
     return rows.select(
-        key, F.get("ids", F.col("side").cast("int")).alias("team_id"), S.first_text(F.col("href"), S.STATS_PLAYER_ID).alias("player_id"), "player_name", F.col("kills.main").alias("kills"), F.col("kills.inner").alias("hs_kills"),
+        key, S.first_text(F.get("teams", F.col("side").cast("int")), S.STATS_TEAM_ID).alias("team_id"), S.first_text(F.col("href"), S.STATS_PLAYER_ID).alias("player_id"), "player_name", F.col("kills.main").alias("kills"), F.col("kills.inner").alias("hs_kills"),
         F.col("assists.main").alias("assists"), F.col("assists.inner").alias("flash_assists"), F.col("deaths.main").alias("deaths"), F.col("deaths.inner").alias("traded_deaths"), S.safe_float(F.col("adr")).alias("adr"), S.safe_float(F.col("kast")).alias("kast"),
         F.col("opkd.won").alias("opening_kills"), F.col("opkd.lost").alias("opening_deaths"), S.safe_float(F.col("rating")).alias("rating"), S.safe_int(F.col("mks")).alias("multi_kills"), S.safe_int(F.col("clutches")).alias("clutch_wins"), S.safe_float(F.col("swing")).alias("round_swing"),
     )
@@ -244,18 +282,14 @@ def player_stats(pages: DataFrame, summaries: DataFrame, key: str = "mapstatsid"
 # --- any page ----------------------------------------------------------------------------------------------
 
 
-def _anchors(page: Node) -> list[dict]:
-    return [{"ordinal": k, "href": a.get("href"), "label": a.text()} for k, a in enumerate(page.select("a[href]"))]
-
-
 def anchors(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, ordinal, href, label) of the links of any page."""
-    return pages_to_rows(pages, key, "ordinal bigint, href string, label string", _anchors).filter("error is null").drop("error")
-
-
-def _title(page: Node) -> list[dict]:
-    return [{"title": _text(page.first("title")), "heading": _text(page.first("h1"))}]
+    links = {"links": pa.list_(_record("href label", ordinal=_NUMBER))}
+    got = parsed(pages, key, links, lambda page: {"links": [{"ordinal": k, "href": a.get("href"), "label": a.text()} for k, a in enumerate(page.select("a[href]"))]})
+    return got.filter("error is null").select(key, F.inline("links")).select(key, "ordinal", "href", "label")
 
 
 def titles(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    return pages_to_rows(pages, key, "title string, heading string", _title).filter("error is null").drop("error")
+    """(key, title, heading) of any page."""
+    got = parsed(pages, key, {"title": _TEXT, "heading": _TEXT}, lambda page: {"title": _text(page.first("title")), "heading": _text(page.first("h1"))})
+    return got.filter("error is null").drop("error")

@@ -39,16 +39,23 @@ def dedupe(name: str, rows: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def merge(raw: DataFrame, enriched: DataFrame, compat: bool = False) -> DataFrame:
-    """One row per raw match, with what enrichment knows; ordered columns, sorted by date and id (as text)."""
+    """One row per raw match, with what enrichment knows; ordered columns, sorted by date and id (as text).
+
+    Without any enriched row of these matches the raw rows are the result as they are.
+    """
+    if enriched.isEmpty():
+        return raw.orderBy(F.asc_nulls_last("match_date"), F.asc_nulls_last("match_id"))
     out = R.coalesce_join(raw, enriched, "match_id", MERGED, compat=compat)
     if not compat and "event_id_raw" in out.columns:
         out = out.withColumn("event_id", S.first_nonempty(F.col("event_id_enriched"), F.col("event_id_raw")))
     return R.reorder(out, FINAL_FIRST).orderBy(F.asc_nulls_last("match_date"), F.asc_nulls_last("match_id"))
 
 
-def build(raw: DataFrame, tables: dict[str, DataFrame], config: JobConfig) -> dict[str, DataFrame]:
-    """All output relations as lazy plans. The semi-join comes before each dedupe, which it commutes with."""
-    clean = raw_matches(raw, config)
+def build(clean: DataFrame, tables: dict[str, DataFrame], config: JobConfig) -> dict[str, DataFrame]:
+    """All output relations as plans. The semi-join comes before each dedupe, which it commutes with.
+
+    Only whether there is an enriched match is found at once, by a job that ends at the first row.
+    """
     ids = clean.select("match_id")
     kept = {n: dedupe(n, R.semi_filter(df, ids, "match_id"), config.compat) for n, df in tables.items()}
     final = merge(clean, kept.pop("matches_enriched"), config.compat)
@@ -59,18 +66,20 @@ def build(raw: DataFrame, tables: dict[str, DataFrame], config: JobConfig) -> di
 
 
 def run(spark: SparkSession, config: JobConfig) -> str:
-    """Read, build, write CSV folders and the summary; returns the summary."""
+    """Read, build, write CSV folders and the summary; returns the summary. Rows are counted as they are written."""
     raw = arrived(read_csv(spark, config.raw_path, MATCHES_RAW, compat=config.compat))
     tables = {n: read_batches(spark, config.enriched_dirs, n, schema, config.compat) for n, schema in TABLES.items()}
-    out = build(raw, tables, config)
-    for n in ("matches_raw_clean", "matches_final"):
-        out[n] = out[n].persist()
+    # the clean raw matches are what every table is filtered by, and the final ones what dates are looked up in
+    clean = raw_matches(raw, config).persist()
     try:
-        for n, df in out.items():
-            write_csv(df, f"{config.output_dir}/{n}.csv")
-        text = summary(config.cutoff_date, out["matches_final"], **out)
+        out = build(clean, tables, config)
+        final = out["matches_final"].persist()
+        try:
+            seen = {n: write_csv(final if n == "matches_final" else df, f"{config.output_dir}/{n}.csv") for n, df in out.items()}
+        finally:
+            final.unpersist()
+        text = summary(config.cutoff_date, seen)
         write_text(spark, text, f"{config.output_dir}/README_summary.txt")
         return text
     finally:
-        for n in ("matches_raw_clean", "matches_final"):
-            out[n].unpersist()
+        clean.unpersist()

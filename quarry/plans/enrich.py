@@ -9,6 +9,7 @@ from ..config import JobConfig
 from ..functions import scalars as S
 from ..operators import extract
 from ..operators import relational as R
+from ..session import settled
 
 
 def chosen(raw: DataFrame, config: JobConfig) -> DataFrame:
@@ -24,24 +25,28 @@ def stats_address(maps: DataFrame, base_url: str = extract.BASE_URL) -> DataFram
 
 
 def enrich(raw: DataFrame, match_pages: DataFrame, stats_pages: DataFrame, config: JobConfig) -> dict[str, DataFrame]:
-    """Five relations. match_pages: (match_id, html); stats_pages: (mapstatsid, html).
+    """Five relations and the errors. match_pages: (match_id, html); stats_pages: (mapstatsid, html).
 
-    A page that cannot be read costs its own rows only. Maps without a statistics page keep nulls there.
+    Every page is parsed once, to a row of arrays that is written and then read by all relations. A page that cannot
+    be read costs its own rows only, and it is in ``errors`` (kind, key, error), like a chosen match without a saved
+    page. Maps without a statistics page keep nulls there.
     """
-    todo = chosen(raw, config)
-    pages = match_pages.join(todo.select("match_id"), "match_id", "left_semi")
-    lineups = extract.match_lineups(pages)
-    vetoes = extract.veto_steps(pages)
-    maps = extract.match_maps(pages, vetoes)
-    with_stats = stats_pages.join(stats_address(maps).select("mapstatsid"), "mapstatsid", "left_semi")
-    summaries = extract.map_summaries(with_stats)
-    players = extract.player_stats(with_stats, summaries).join(maps.select("match_id", "map_no", "mapstatsid"), "mapstatsid")
-    meta = extract.match_meta(pages, todo).join(extract.rosters(lineups), "match_id", "left")
+    todo = settled(chosen(raw, config))
+    matches = settled(extract.match_pages(match_pages.join(todo.select("match_id").distinct(), "match_id", "left_semi")))
+    lineups = extract.match_lineups(matches)
+    vetoes = extract.veto_steps(matches)
+    maps = extract.match_maps(matches, vetoes)
+    wanted = stats_address(maps).select("mapstatsid").distinct()
+    stats = settled(extract.stats_pages(stats_pages.join(wanted, "mapstatsid", "left_semi")))
+    players = extract.player_stats(stats).join(maps.select("match_id", "map_no", "mapstatsid"), "mapstatsid")
+    meta = extract.match_meta(matches, todo).join(extract.rosters(lineups), "match_id", "left")
     hashes = {c: F.coalesce(c, F.lit("")) for c in ("team1_roster_hash", "team2_roster_hash")}
+    missing = todo.select("match_id").distinct().join(matches, "match_id", "left_anti").select(F.lit("match").alias("kind"), F.col("match_id").cast("string").alias("key"), F.lit("no saved page").alias("error"))
     return {
         "matches_enriched": meta.withColumns(hashes),
         "match_lineups": lineups,
         "veto_steps": vetoes.drop("ordinal"),
-        "match_maps": R.overwrite(maps, summaries, ["mapstatsid"]),
+        "match_maps": R.overwrite(maps, extract.map_summaries(stats), ["mapstatsid"]),
         "map_player_stats": R.reorder(players, ["match_id", "map_no"]),
+        "errors": R.union_by_name([extract.errors(matches, "match_id", "match"), missing, extract.errors(stats, "mapstatsid", "map statistics")]),
     }

@@ -4,32 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_KINDS = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.DateType(), "i": T.IntegerType(), "z": T.TimestampType()}
+_KINDS = {"string": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "int": T.IntegerType(), "timestamp": T.TimestampType()}
 
 
-def _schema(**columns: str) -> T.StructType:
-    out = T.StructType()
-    for kind, names in columns.items():
-        for name in names.split():
-            out.add(name, _KINDS[kind[0]])
-    return out
+def _schema(text: str) -> T.StructType:
+    """Columns as ``name type``, with commas between."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in text.split(","))])
 
 
 MATCHES_RAW = _schema(
-    s="match_id", t="match_date", s1="event_id event_name team1 team2", l="team1_score team2_score", s2="winner game", b="completed is_professional_proxy", s3="professional_filter_note source source_url"
+    "match_id string, match_date date, event_id string, event_name string, team1 string, team2 string, team1_score long, team2_score long, winner string, game string, completed boolean, "
+    "is_professional_proxy boolean, professional_filter_note string, source string, source_url string"
 )
 MATCHES_ENRICHED = _schema(
-    s="match_id", t="match_date", z="match_datetime_utc", s1="event_id event_name team1 team2 team1_id team2_id", l="team1_rank team2_rank bo", s2="lan_online match_context forfeit_note winner_raw source_url team1_roster_hash team2_roster_hash"
+    "match_id string, match_date date, match_datetime_utc timestamp, event_id string, event_name string, team1 string, team2 string, team1_id string, team2_id string, team1_rank long, team2_rank long, bo long, "
+    "lan_online string, match_context string, forfeit_note string, winner_raw string, source_url string, team1_roster_hash string, team2_roster_hash string"
 )
-MATCH_LINEUPS = _schema(s="match_id", i="team_ordinal", s1="team_id team_name player_id player_name country")
-VETO_STEPS = _schema(s="match_id", l="step_number", s1="team_name action map_name raw_line")
+MATCH_LINEUPS = _schema("match_id string, team_ordinal int, team_id string, team_name string, player_id string, player_name string, country string")
+VETO_STEPS = _schema("match_id string, step_number long, team_name string, action string, map_name string, raw_line string")
 MATCH_MAPS = _schema(
-    s="match_id", i="map_no", s1="map_name", b="played optional is_default_forfeit_map", l="team1_map_score team2_map_score", s2="mapstatsid stats_href picked_by", b1="is_decider",
-    l1="team1_ct_rounds team1_t_rounds team2_ct_rounds team2_t_rounds", s3="team1_starting_side",
-    s4="map_name_from_stats team_left_id team_left_name team_right_id team_right_name", l2="team_left_score_stats team_right_score_stats team_left_ct_rounds team_left_t_rounds team_right_ct_rounds team_right_t_rounds", s5="team_left_starting_side",
-)
+    "match_id string, map_no int, map_name string, played boolean, optional boolean, is_default_forfeit_map boolean, team1_map_score long, team2_map_score long, mapstatsid string, stats_href string, picked_by string, is_decider boolean, "
+    "team1_ct_rounds long, team1_t_rounds long, team2_ct_rounds long, team2_t_rounds long, team1_starting_side string, "
+    "map_name_from_stats string, team_left_id string, team_left_name string, team_right_id string, team_right_name string, team_left_score_stats long, team_right_score_stats long, "
+    "team_left_ct_rounds long, team_left_t_rounds long, team_right_ct_rounds long, team_right_t_rounds long, team_left_starting_side string"
+)
 MAP_PLAYER_STATS = _schema(
-    s="match_id", i="map_no", s1="mapstatsid team_id player_id player_name", l="kills hs_kills assists flash_assists deaths traded_deaths", d="adr kast", l1="opening_kills opening_deaths", d1="rating", l2="multi_kills clutch_wins", d2="round_swing"
+    "match_id string, map_no int, mapstatsid string, team_id string, player_id string, player_name string, kills long, hs_kills long, assists long, flash_assists long, deaths long, traded_deaths long, "
+    "adr double, kast double, opening_kills long, opening_deaths long, rating double, multi_kills long, clutch_wins long, round_swing double"
 )
 RAW_REQUIRED = ("match_id", "match_date", "event_name", "team1", "team2", "team1_score", "team2_score", "winner", "source_url")
 #: The columns that come first in the final table.

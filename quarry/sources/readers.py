@@ -40,13 +40,15 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, required: bool = True, compat: bool = False) -> DataFrame | None:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, required: bool = True, compat: bool = False, multiline: bool = False) -> DataFrame | None:
     """A CSV with a header, all columns as text, empty as null. A missing file is an error, or None if not required.
 
-    Columns are found by their names in the header; those of the schema that the file lacks are left out.
+    Columns are found by their names in the header; those of the schema that the file lacks are left out. A large file
+    is read by many tasks. Only files whose quoted cells hold line breaks need ``multiline``, one task a file; none of
+    the library's own do, as its text is normalised.
     """
     try:
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path)
+        df = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option("inferSchema", False).csv(path)
     except AnalysisException as e:
         if required or "PATH_NOT_FOUND" not in str(e):
             raise
@@ -58,26 +60,37 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return df
 
 
+#: The place of a row in its table: file, where its part of the file begins, and its number in that part.
+PLACE = T.StructType([T.StructField("file", T.StringType()), T.StructField("part", T.LongType()), T.StructField("row", T.LongType())])
+
+
 def arrived(df: DataFrame, batch: int = 0) -> DataFrame:
-    """df with its batch and a row number that follows the order of lines in the file.
+    """df with its batch and a place that follows the order of files and of the lines in each.
 
-    Has to come right after the scan. One file is read in order of its splits, so the number grows with the line.
+    Has to come right after the scan. Within a part of a file rows are numbered as they are read, and parts by where
+    they begin, so the order holds whatever tasks the parts are dealt to.
     """
-    return df.withColumns({BATCH: F.lit(batch), ROW: F.monotonically_increasing_id()})
+    number = F.monotonically_increasing_id().alias("row")
+    try:
+        place = df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), number).alias(ROW))
+        place.schema  # noqa: B018  only a scan has the metadata
+    except AnalysisException:
+        place = df.withColumn(ROW, F.struct(F.lit("").alias("file"), F.lit(0).cast("bigint").alias("part"), number))
+    return place.withColumn(BATCH, F.lit(batch))
 
 
-def read_batches(spark: SparkSession, folders: Sequence[str], name: str, schema: T.StructType, compat: bool = False) -> DataFrame:
+def read_batches(spark: SparkSession, folders: Sequence[str], name: str, schema: T.StructType, compat: bool = False, multiline: bool = False) -> DataFrame:
     """The table ``name``.csv of all folders that have it, later folders as later batches, with source_dir.
 
     Without any file an empty frame with the schema. Text is normalised, then typed.
     """
     found = []
     for k, folder in enumerate(folders):
-        df = read_csv(spark, f"{folder.rstrip('/')}/{name}.csv", schema, required=False, compat=compat)
+        df = read_csv(spark, f"{folder.rstrip('/')}/{name}.csv", schema, required=False, compat=compat, multiline=multiline)
         if df is not None:
             found.append(arrived(df, k).withColumn("source_dir", F.lit(folder.rstrip("/").rsplit("/", 1)[-1])))
     if not found:
-        empty = T.StructType([*schema, T.StructField(BATCH, T.IntegerType()), T.StructField(ROW, T.LongType()), T.StructField("source_dir", T.StringType())])
+        empty = T.StructType([*schema, T.StructField(BATCH, T.IntegerType()), T.StructField(ROW, PLACE), T.StructField("source_dir", T.StringType())])
         return spark.createDataFrame([], empty)
     rows = union_by_name(found)
     text = [c for c in rows.columns if c not in (BATCH, ROW, "source_dir")]

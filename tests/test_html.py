@@ -17,6 +17,8 @@ def test_selectors():
     assert root.first("img").get("title") == "De" and root.first(".nope") is None
     assert root.select("div")[1].own_texts() == ["tail"]
     assert [x.text() for x in root.select(".b span")] == ["8"]
+    assert root.first("p").text("") == "one" and root.select("p")[1].text("") == "twoboldthree"
+    assert len(root.first("ul").select("div li")) == 2  # ancestors above count
 
 
 def test_odd_input():

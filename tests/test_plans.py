@@ -22,25 +22,46 @@ def entry(id, a="A", b="B", s=(2, 1), epoch=""):
 
 def test_load(spark):
     pages = [
-        (0, RESULTS.format(entries=entry(1) + entry(2, a="TBD") + entry(3, s=(1,)) + entry(4, s=(1, 1)) + entry(5, a="X", b="X"))),
+        (0, RESULTS.format(entries=entry(1, s=("1<b>2</b>", 1)) + entry(2, a="TBD") + entry(3, s=(1,)) + entry(4, s=(1, 1)) + entry(5, a="X", b="X"))),
         (1, RESULTS.format(entries=entry(2, a="C") + entry(1, a="late") + entry(6, epoch="1770076800000") + entry(7, epoch="bad"))),
         (2, RESULTS.format(entries=entry(8, epoch="1600000000000"))),
         (3, RESULTS.format(entries=entry(9))),
         (4, "<p>no container</p>"),
     ]
     config = JobConfig(start_date=date(2026, 1, 1), end_date=date(2026, 12, 31))
-    out = load.load(spark.createDataFrame(pages, "page_idx int, html string"), config)
+    df = spark.createDataFrame(pages, "page_idx int, html string")
+    loaded = load.load(df, config)
+    out = loaded["matches_raw"]
     assert out.columns == schemas.MATCHES_RAW.names
     got = {r.match_id: r for r in out.collect()}
     assert set(got) == {"1", "2", "6", "7"}
     assert got["1"].team1 == "A" and got["1"].winner == "A" and got["6"].match_date == date(2026, 2, 3) and got["7"].match_date == date(2026, 2, 14)
-    assert got["2"].source_url.endswith("/matches/2/x")
-    p = load.progress(out, config).first()
-    assert p.covered_days == (date(2026, 12, 31) - date(2026, 2, 3)).days + 1 and p.total_days == 365
+    assert got["2"].source_url.endswith("/matches/2/x") and (got["1"].team1_score, got["1"].team2_score) == (12, 1)
+    assert [r.page_idx for r in loaded["pages"].orderBy("page_idx").collect()] == [0, 1, 2] and loaded["errors"].count() == 0
+    p = load.progress(loaded["pages"], config, 6.0).first()
+    assert tuple(p) == (3, 364, 364, 100.0, 0.5, 0.0)
+    p = load.progress(loaded["pages"].filter("page_idx < 2"), config, 6.0).first()
+    days = (date(2026, 12, 31) - date(2026, 2, 3)).days
+    assert p.covered_days == days and p.percent == pytest.approx(100 * days / 364) and p.eta_min == pytest.approx(6 / (days / 364) - 6)
+    assert tuple(load.progress(loaded["pages"].limit(0), config, 0.0).first()) == (0, None, 364, None, 0.0, None)
     with pytest.raises(ValueError):
         JobConfig(start_date=date(2020, 1, 1)).checked()
 
 
+def test_load_stops(spark):
+    """At a page without dated results or without results at all, which is told; and not silently without any match."""
+    config = JobConfig(start_date=date(2026, 1, 1), end_date=date(2026, 12, 31))
+    undated = RESULTS.format(entries=entry(2)).replace("Results for February 14th 2026", "")
+    frame = lambda *html: spark.createDataFrame(list(enumerate(html)), "page_idx int, html string")
+    one, three = RESULTS.format(entries=entry(1)), RESULTS.format(entries=entry(3))
+    assert [r.match_id for r in load.load(frame(one, undated, three), config)["matches_raw"].collect()] == ["1"]
+    got = load.load(frame(one, "<p>no container</p>", three, None), config)
+    assert [r.match_id for r in got["matches_raw"].collect()] == ["1"]
+    assert [tuple(r) for r in got["errors"].collect()] == [("results", "1", "ValueError: no results container")]
+    with pytest.raises(ValueError, match="no valid match"):
+        load.load(frame(undated), config)
+
+
 def test_clean(spark):
     df = spark.createDataFrame([("2024-01-02", 1), ("2024-01-02", 1), ("2024-01-02 00:00:00", 1), ("bad", 2)], ["Match Date", "N "])
     out = load.clean(df)
@@ -49,46 +70,71 @@ def test_clean(spark):
     assert (head.count(), n, width) == (3, 3, 2)
 
 
-MATCH = """<div class="team1-gradient"><a href="/team/10/a"><div class="teamName">Alpha</div></a></div><div class="team2-gradient"><a href="/team/20/b"><div class="teamName"></div></a></div>
+MATCH = """<div class="date" data-unix="1"></div><div class="event"><a href="/events/1/wrong">Wrong</a></div><div class="lineup standard-box"><div class="teamRanking"><a>#99</a></div></div>
+<div class="team1-gradient"><a href="/team/10/a"><div class="teamName">Alpha</div></a></div><div class="team2-gradient"><a href="/team/20/b"><div class="teamName"></div></a></div>
 <div class="timeAndEvent"><div class="date" data-unix="1770076800000"></div><div class="event"><a href="/events/77/e">Big Cup</a></div></div>
 <div class="padding preformatted-text">Best of 3 (LAN)
 
 * Final
-** Beta forfeit
-* Second stage</div>
-<div class="lineups"><div class="lineup standard-box"><div class="teamRanking"><a>World rank: #5</a></div><a href="/team/10/a">Alpha</a>
+** Beta forfeit<div>* Second stage</div><div>* Third   stage</div></div>
+<div class="lineups"><div class="lineup standard-box"><a href="/team/999/no">No</a><div class="teamRanking"><a>World rank: #5</a></div><div class="box-headline"><a href="/team/10/a">Alpha</a></div>
 <table><tr><td data-player-id="9"><img class="flag" title="DE"><div class="text-ellipsis">nine</div></td><td data-player-id="10"><div class="text-ellipsis">ten</div></td><td data-player-id="10"></td><td data-player-id="-"></td></tr></table></div>
-<div class="lineup standard-box"><a href="/team/20/b">Beta</a></div></div>
+<div class="lineup standard-box"><div class="box-headline"><a href="/team/20/b">Beta</a></div></div></div>
 <div class="veto-box"><div class="padding">x</div></div><div class="veto-box"><div class="padding"><div>1. Alpha removed Dust</div><div>2. Beta picked Mirage</div><div>3. Alpha picked mirage</div><div>4. Nuke was left over</div><div>note</div></div></div>
-<div class="mapholder"><div class="mapname">Mirage</div><div class="results played"><div class="results-left"><div class="results-team-score">13</div></div><div class="results-right"><div class="results-team-score">10</div></div>
+<div class="mapholder"><div class="mapname">Mirage</div><div class="results played"><div class="results-left"><div class="results-team-score">1<i>3</i></div></div><div class="results-right"><div class="results-team-score">10</div></div>
 <div class="results-center-half-score"><span> (</span><span class="ct">8</span><span class="t">7</span>;<span class="t">5</span><span class="ct">3</span></div><a class="results-stats" href="/stats/matches/mapstatsid/555/x">S</a></div></div>
-<div class="mapholder"><div class="mapname">Nuke</div><div class="optional results"></div></div><div class="mapholder"><div class="mapname">Default</div></div>"""
-STATS = """<div class="match-info-box"><a>head</a> Mirage <div class="team-left"><a href="/stats/teams/10/a">Alpha</a><div class="bold">13</div></div><div class="team-right"><a href="/stats/teams/20/b">Beta</a><div class="bold">10</div></div></div>
+<div class="mapholder"><div class="mapname">Nuke</div><div class="optional results"></div><a class="results-stats" href="/stats/matches/mapstatsid/556/x">S</a></div><div class="mapholder"><div class="mapname">Default</div></div>"""
+STATS = """<div class="match-info-box"><a>head</a> Mirage <div class="team-left"><a href="/stats/teams/10/a">Alpha</a><div class="bold">1<b>3</b></div></div><div class="team-right"><a href="/stats/teams/20/b">Beta</a><div class="bold">10</div></div></div>
 <div class="match-info-row"><div class="right"><span class="bold">13</span><span class="ct-color">8</span><span class="t-color">7</span><span class="t-color">5</span><span class="ct-color">3</span></div></div>
-<table class="stats-table totalstats"><tr><th>P</th></tr><tr><td><a href="/stats/players/9/nine">nine</a></td><td class="st-kills">20 (9)</td><td class="st-opkd">3 : 2</td><td class="st-assists">4(1)</td><td class="st-deaths">11</td><td class="st-adr">88.5</td><td class="st-kast">71.4%</td><td class="st-rating">1.20</td><td class="st-mks">3</td><td class="st-clutches">1</td><td class="st-roundSwing">+1.5%</td></tr></table>
-<table class="stats-table totalstats"><tr><td><a href="/stats/players/30/z">z</a></td><td class="st-kills">-</td></tr></table>"""
+<table class="stats-table totalstats"><thead><tr><td class="st-player"><a href="/stats/players/1/head">head</a></td></tr></thead><tbody><tr><td><a href="/stats/players/2/other">not the player's cell</a></td></tr>
+<tr><td class="st-player"><img><a href="/stats/players/9/nine">nine</a></td><td class="st-kills">20<span>(9)</span></td><td class="st-opkd">3 : <b>2</b></td><td class="st-assists">4<span> (1)</span></td><td class="st-deaths">11 <span>(2)</span></td>
+<td class="st-adr">88<span>.5</span></td><td class="st-kast">71.4%</td><td class="st-rating">1.20</td><td class="st-mks">3</td><td class="st-clutches">1</td><td class="st-roundSwing">+1.5%</td></tr></tbody></table>
+<table class="stats-table totalstats"><tbody><tr><td class="st-player"><a href="/stats/players/30/z">z</a></td><td class="st-kills">-</td></tr></tbody></table>"""
+
+
+def rows_of(df, *order):
+    return [r.asDict() for r in df.orderBy(*order).collect()]
 
 
 def test_enrich(spark):
-    raw = spark.createDataFrame([("1", date(2026, 2, 3), "Cup", "A", "Beta", "A", "u"), ("2", date(2026, 2, 4), "Cup", "C", "D", "C", "u2")], "match_id string, match_date date, event_name string, team1 string, team2 string, winner string, source_url string")
-    out = enrich.enrich(raw, spark.createDataFrame([("1", MATCH), ("2", None)], "match_id string, html string"), spark.createDataFrame([("555", STATS)], "mapstatsid string, html string"), JobConfig())
-    meta = {r.match_id: r for r in out["matches_enriched"].collect()}
-    m = meta["1"]
-    assert (m.team1, m.team2, m.team1_id, m.team2_id, m.event_id, m.event_name) == ("Alpha", "Beta", "10", "20", "77", "Big Cup")
-    assert (m.team1_rank, m.team2_rank, m.bo, m.lan_online, m.match_context, m.forfeit_note) == (5, None, 3, "LAN", "Final | Second stage", "Beta forfeit")
-    assert m.match_datetime_utc == "2026-02-03T00:00:00+00:00" and m.team1_roster_hash == "9-10-10" and m.team2_roster_hash == ""
-    assert meta["2"].team1 == "C" and meta["2"].bo is None
-    assert out["match_lineups"].count() == 4 and out["match_lineups"].filter("player_id is null").count() == 1
+    """Every column of the five relations, and the errors."""
+    raw = [("1", date(2026, 2, 3), "Cup", "A", "Beta", "A", "u"), ("2", date(2026, 2, 4), "Cup", "C", "D", "C", "u2"), ("3", date(2026, 2, 5), "Cup", "C", "D", "C", "u3"), ("4", date(2026, 2, 6), "Cup", "C", "D", "C", "u4")]
+    raw = spark.createDataFrame(raw, "match_id string, match_date date, event_name string, team1 string, team2 string, winner string, source_url string")
+    pages = spark.createDataFrame([("1", MATCH), ("2", ""), ("3", None), ("9", MATCH)], "match_id string, html string")
+    stats = spark.createDataFrame([("555", STATS), ("556", None), ("999", STATS)], "mapstatsid string, html string")
+    out = enrich.enrich(raw, pages, stats, JobConfig())
+    one, two = rows_of(out["matches_enriched"], "match_id")
+    assert one == {
+        "match_id": "1", "match_date": date(2026, 2, 3), "match_datetime_utc": "2026-02-03T00:00:00+00:00", "event_id": "77", "event_name": "Big Cup", "team1": "Alpha", "team2": "Beta", "team1_id": "10", "team2_id": "20", "team1_rank": 5, "team2_rank": None, "bo": 3,
+        "lan_online": "LAN", "match_context": "Final | Second stage | Third stage", "forfeit_note": "Beta forfeit", "winner_raw": "A", "source_url": "u", "team1_roster_hash": "9-10-10", "team2_roster_hash": "",
+    }
+    assert (two["match_id"], two["team1"], two["bo"], two["match_context"], two["match_datetime_utc"], two["team1_roster_hash"]) == ("2", "C", None, "", "", "")
+    player = lambda i, name, country: {"match_id": "1", "team_ordinal": 1, "team_id": "10", "team_name": "Alpha", "player_id": i, "player_name": name, "country": country}
+    assert rows_of(out["match_lineups"], "player_id", "player_name") == [player(None, "", ""), player("10", "", ""), player("10", "ten", ""), player("9", "nine", "DE")]
     veto = sorted((r.step_number or 99, r.action, r.map_name, r.team_name) for r in out["veto_steps"].collect())
     assert veto == [(1, "removed", "Dust", "Alpha"), (2, "picked", "Mirage", "Beta"), (3, "picked", "mirage", "Alpha"), (4, "left_over", "Nuke", ""), (99, "", "", "")]
-    maps = {r.map_no: r for r in out["match_maps"].collect()}
-    a = maps[1]
-    assert (a.picked_by, a.is_decider, a.played, a.team1_map_score, a.mapstatsid, a.team1_ct_rounds, a.team2_t_rounds, a.team1_starting_side) == ("Alpha", False, True, 13, "555", 8, 7, "CT")
-    assert (a.map_name_from_stats, a.team_left_id, a.team_right_score_stats, a.team_left_t_rounds) == ("Mirage", "10", 10, 5)
-    assert maps[2].is_decider and maps[2].optional and not maps[2].played and maps[2].map_name_from_stats is None and maps[3].is_default_forfeit_map
-    p = {r.player_id: r for r in out["map_player_stats"].collect()}
-    assert (p["9"].team_id, p["9"].match_id, p["9"].map_no, p["9"].opening_kills, p["9"].assists, p["9"].flash_assists, p["9"].kast, p["9"].round_swing) == ("10", "1", 1, 3, 4, 1, 71.4, 1.5)
-    assert p["30"].team_id == "20" and p["30"].kills is None
+    maps = rows_of(out["match_maps"], "map_no")
+    assert maps[0] == {
+        "match_id": "1", "map_no": 1, "map_name": "Mirage", "played": True, "optional": False, "is_default_forfeit_map": False, "team1_map_score": 13, "team2_map_score": 10, "mapstatsid": "555", "stats_href": "/stats/matches/mapstatsid/555/x", "picked_by": "Alpha", "is_decider": False,
+        "team1_ct_rounds": 8, "team1_t_rounds": 5, "team2_ct_rounds": 3, "team2_t_rounds": 7, "team1_starting_side": "CT", "map_name_from_stats": "Mirage", "team_left_id": "10", "team_left_name": "Alpha", "team_right_id": "20", "team_right_name": "Beta",
+        "team_left_score_stats": 13, "team_right_score_stats": 10, "team_left_ct_rounds": 8, "team_left_t_rounds": 5, "team_right_ct_rounds": 3, "team_right_t_rounds": 7, "team_left_starting_side": "CT",
+    }
+    assert maps[1]["is_decider"] and maps[1]["optional"] and not maps[1]["played"] and maps[1]["map_name_from_stats"] is None and maps[1]["team1_starting_side"] == "" and maps[2]["is_default_forfeit_map"]
+    nine, z = rows_of(out["map_player_stats"], "player_name")
+    assert nine == {
+        "match_id": "1", "map_no": 1, "mapstatsid": "555", "team_id": "10", "player_id": "9", "player_name": "nine", "kills": 20, "hs_kills": 9, "assists": 4, "flash_assists": 1, "deaths": 11, "traded_deaths": 2, "adr": 88.5, "kast": 71.4,
+        "opening_kills": 3, "opening_deaths": 2, "rating": 1.2, "multi_kills": 3, "clutch_wins": 1, "round_swing": 1.5,
+    }
+    assert (z["team_id"], z["player_id"], z["kills"], z["hs_kills"], z["adr"]) == ("20", "30", None, None, None)
+    assert sorted((r.kind, r.key, r.error) for r in out["errors"].collect()) == [("map statistics", "556", "ValueError: no page"), ("match", "3", "ValueError: no page"), ("match", "4", "no saved page")]
+
+
+def test_pages_are_parsed_once(spark):
+    """One Python pass a kind of page: the relations read what it has written."""
+    raw = spark.createDataFrame([("1", date(2026, 2, 3), "Cup", "A", "Beta", "A", "u")], "match_id string, match_date date, event_name string, team1 string, team2 string, winner string, source_url string")
+    pages, stats = spark.createDataFrame([("1", MATCH)], "match_id string, html string"), spark.createDataFrame([("555", STATS)], "mapstatsid string, html string")
+    out = enrich.enrich(raw, pages, stats, JobConfig())
+    assert not any("MapInArrow" in df._jdf.queryExecution().toString() for df in out.values())
 
 
 def write(path, text):
@@ -120,6 +166,34 @@ def test_build(spark, tmp_path, compat):
     assert maps["1"].map_name == "Mirage" and maps["2"].match_date == "2024-01-03"
 
 
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("name, rows", [("none", ""), ("one", ""), ("one", "9,2024-01-03,x\n")])
+def test_build_without_enrichment(spark, tmp_path, compat, name, rows):
+    """No enriched folder, none with rows, or none of these matches: the raw rows are the final ones."""
+    write(tmp_path / "raw.csv", "match_id,match_date,event_name,team1,team2,team1_score,team2_score,winner,source_url\n2,2024-02-05,Cup,A,B,2,1,A,u2\n1,2024-01-05,Cup,A,B,2,1,A,u\n")
+    write(tmp_path / "one/matches_enriched.csv", "match_id,match_date,team1\n" + rows)
+    build.run(spark, JobConfig(raw_path=str(tmp_path / "raw.csv"), enriched_dirs=(str(tmp_path / name),), output_dir=str(tmp_path / "out"), compat=compat))
+    final = spark.read.option("header", True).csv(str(tmp_path / "out/matches_final.csv"))
+    got = sorted(final.collect(), key=lambda r: r.match_id)
+    assert [(r.match_id, r.match_date, r.event_name, r.team1, r.team2, r.source_url) for r in got] == [("1", "2024-01-05", "Cup", "A", "B", "u"), ("2", "2024-02-05", "Cup", "A", "B", "u2")]
+
+
+def test_arrival(spark, tmp_path):
+    """Places follow files and lines, however many tasks read them."""
+    for k in range(3):
+        write(tmp_path / f"x/{k}.csv", "a,b\n" + "".join(f"{k},{j}\n" for j in range(4000)))
+    write(tmp_path / "wide.csv", 'a,b\n"one\ntwo",1\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = readers.arrived(readers.read_csv(spark, str(tmp_path / "x"), compat=True))
+        assert df.rdd.getNumPartitions() > 6
+        assert [(int(r.a), int(r.b)) for r in df.orderBy("__row").collect()] == [(k, j) for k in range(3) for j in range(4000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert readers.read_csv(spark, str(tmp_path / "wide.csv"), multiline=True).first().a == "one\ntwo"
+
+
 def test_sources(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read_csv(spark, str(tmp_path / "no.csv"))
