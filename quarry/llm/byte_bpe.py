@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding with a public rank file.
 
-Pre-tokenisation uses no regex. Every code point of a batch gets a class; each class is a function
+Pre-tokenisation of texts uses no regex. Every code point of a batch gets a class (letter, number, white space, as
+the tiktoken library has them: it is asked once a worker for the members of each); each class is a function
 on the states of a small automaton, and functions compose associatively, so the state after every
 character comes from a blocked prefix scan over all texts of the batch at once. A table over three
 neighbouring states then tells where pre-tokens begin. The slices between go through pair merging,
@@ -10,30 +11,29 @@ The pattern is the one of the public tokenizers package: contractions 's 't 're
 digits or other signs with one leading space; white space, whose last character goes to what follows
 if it is a space. No special tokens: their strings are ordinary text.
 
-Cases: null and empty texts give no tokens. Nothing is shuffled: rows are independent, whole texts
-are read, and a task holds one batch of rows and a cache of bounded size.
+Cases: null and empty texts give no tokens. Nothing is shuffled: rows are independent (repeated rows, rows without
+an id and rows of one id each have their result), other columns are not read whatever their names, an empty table
+gives an empty result, whole texts are read, and a task holds one batch of rows and a cache of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import text_batches
 from .words import slices
 
 CACHE = 100_000  # entries of each of two generations
 _L, _N, _P, _S, _SP, _Q, _A, _B, _E, _K = range(10)
 START, L, N, P, S, SP, Q, QB, QK, C = range(10)
-_WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 def _step(state: int, kind: int) -> int:
@@ -65,17 +65,19 @@ def _begins(before: int, here: int, after: int) -> bool:
     return before not in joins
 
 
+def _members(name: str) -> np.ndarray:
+    """Code points of a character class of the pattern language, by the Unicode version that tiktoken has."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    own = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([k]): k for k in range(256)}, special_tokens={})
+    return np.frombuffer(bytes(own.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)
+
+
 @cache
 def _machine():
     """(class of each code point, element of each class, element of each class at a text's start, composition table, state of each element)."""
     kinds = np.full(0x110000, _P, np.uint8)
-    for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k == "L":
-            kinds[c] = _L
-        elif k == "N":
-            kinds[c] = _N
-    kinds[_WHITE] = _S
+    for name, kind in ((r"\p{L}", _L), (r"\p{N}", _N), (r"\s", _S)):
+        kinds[_members(name)] = kind
     kinds[0x20] = _SP
     for text, kind in (("'", _Q), ("stmd", _A), ("rv", _B), ("e", _E), ("l", _K)):
         kinds[[ord(x) for x in text]] = kind
@@ -349,7 +351,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     vocabulary is the path of a rank file that every machine has. With ``decoded``, the ids of each slice are
     decoded in the same task, as ``decode`` does, into one more column.
     """
-    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(_run(vocabulary, True, decoded), f"id {cols.schema['id'].dataType.simpleString()}, {_IDS}" + ", decoded binary" * decoded)
 
 

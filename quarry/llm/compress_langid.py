@@ -1,24 +1,27 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary, filled from labelled texts. A text is cut into
-blocks (all of it), every block is compressed once with every dictionary, and the language with the
-smallest sum of bytes wins. The score grows with the margin to the runner-up, as a share of the winner's
-bytes; a text is rejected when that share is below MIN_SHARE, or the margin below MIN_MARGIN bytes. A share
-holds at every length: letters of no learned language differ by chance, by a share that shrinks with the text.
-
-The dictionaries are the whole model: at most MAX_LANGS x DICT_BYTES bytes, so they may be sent to every
-task whatever the size of the corpus. They are filled from a bounded sample of labelled rows, taken
-in the order of a hash of the id: SAMPLE_ROWS rows of each language at most (a documented bound).
-
-Cases: a null text, or one without any letter, is ``und`` with score 0 and rejected. Without labelled
-rows everything is ``und``. Ties go to the language that sorts first, with a score of 0.5, rejected. Of a few
-words alone the winner has some fifty bytes at most, so the one byte that tells a real text apart is above
-MIN_SHARE, and so is one byte by chance: junk of under ten words may pass (README).
+Each language has a zstandard raw-content dictionary. A text is cut into blocks (all of it), every block is compressed
+once with every dictionary, and the language with the smallest sum of bytes wins. A block comes after the last LEAD_IN
+bytes of the dictionary, whose own size is taken off again: so short texts are told by their matches too, and all
+texts are treated alike. The score grows with the margin to the runner-up, as a share of the winner's bytes; a text is
+rejected when that share is below MIN_SHARE. A share holds at every length: letters of no learned language differ by
+chance, by a share that shrinks with the text.
+
+A dictionary holds the most frequent words of its language, the most frequent last. They are counted by Spark over the
+whole texts of a bounded sample of labelled rows, taken in the order of a hash of the id: SAMPLE_ROWS rows of each
+language at most (the documented bound). Every language with a labelled row is learned. The dictionaries are the whole
+model and go to every task; their size is counted first, and one beyond MODEL_BYTES is an error.
+
+Cases: a null text, or one without any letter (a character of Unicode's class L), is ``und`` with score 0 and rejected.
+Without labelled rows everything is ``und``. Ties go to the language that sorts first, with a score of 0.5, rejected.
+Rows are independent: repeated rows and null ids get their own result, an empty table none. Of a few words alone the
+winner has some twenty bytes at most, so junk of under ten words may pass by chance (README).
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +31,16 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import text_batches
-
 DICT_BYTES = 48 << 10
 SAMPLE_ROWS = 400
-MAX_LANGS = 200
+MODEL_BYTES = 1 << 30
 BLOCK = 2 << 10
 LEVEL = 6
-SHORT = 512
 LEAD_IN = 256
-MIN_MARGIN = 1
-MIN_SHARE = 0.02
+MIN_SHARE = 0.03
 UND = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+#: What is no letter: of word characters, digits and all other numbers.
+_OTHER = re.compile(r"[\W\d_" + "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]+")
 
 
 def letters(text: str) -> str:
@@ -51,32 +51,29 @@ def letters(text: str) -> str:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw dictionary contents by language, from the labelled rows of docs.
 
-    Of each language, ``rows`` rows at most are read, those whose id hashes lowest; each gives an equal
-    share of the dictionary, from a quarter into its text. Ids decide, so a rerun is the same.
+    Of each language, ``rows`` rows at most are read, whole, those whose id hashes lowest; ids decide, so a rerun is the
+    same. One number a language and then the words of the dictionaries come to the driver.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = known.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGS).collect()
+    counts = known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()
     if not counts:
         return {}
+    if len(counts) * size > MODEL_BYTES:
+        raise ValueError(f"{len(counts)} languages need up to {len(counts) * size} bytes of dictionaries, more than {MODEL_BYTES}")
     at = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, 4.0 * rows / r["n"])))])
-    each = max(64, size // rows)
-    piece = F.substring(F.col(text_col), (F.length(text_col) / 4).cast("int") + 1, F.lit(3 * each))
-    few = known.filter(at < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), at.alias("at"), F.col(id_col).cast("string").alias("id"), piece.alias("text"))
-    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))).filter(F.col("rank") <= rows)
-    texts: dict[str, list[tuple]] = {}
-    for r in ranked.collect():  # at most MAX_LANGS x rows pieces of 3 x each characters
-        texts.setdefault(r["lang"], []).append((r["rank"], letters(r["text"])))
-    out = {}
-    for lang, got in texts.items():
-        cut = max(each, size // len(got))
-        joined = " ".join(t[:cut] for _, t in sorted(got) if t).encode()
-        if joined:
-            out[lang] = joined[-size:]
-    return out
-
-
-def _predict(model: dict[str, bytes], level: int, block: int, margin: int, min_share: float):
+    few = known.filter(at < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), at.alias("at"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "id", "text"))
+    sample = few.withColumn("rank", rank).filter(F.col("rank") <= rows)
+    each = sample.select("lang", F.explode(F.split(F.lower("text"), r"\P{L}+")).alias("word")).filter("word <> ''")
+    often = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # the bytes of a word and of the space after it, up to and with this one
+    upto = F.sum(F.octet_length("word") + 1).over(Window.partitionBy("lang").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    best = often.withColumn("upto", upto).filter(F.col("upto") <= size).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("upto", "word")), asc=False).alias("words"))
+    return {r["lang"]: r["words"].encode() for r in best.select("lang", F.array_join("words.word", " ").alias("words")).collect()}
+
+
+def _predict(model: dict[str, bytes], level: int, block: int, min_share: float):
     langs = sorted(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +81,8 @@ def _predict(model: dict[str, bytes], level: int, block: int, margin: int, min_s
         for lang in langs:
             d = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             how = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(model[lang]), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-            packers.append((zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress, model[lang][-LEAD_IN:] + b" "))
+            pack, lead = zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress, model[lang][-LEAD_IN:] + b" "
+            packers.append((pack, lead, len(pack(lead))))
         for batch in batches:
             preds, scores, rejected, gaps = [], [], [], []
             for value in batch.column("text"):
@@ -94,20 +92,16 @@ def _predict(model: dict[str, bytes], level: int, block: int, margin: int, min_s
                     preds.append(UND), scores.append(0.0), rejected.append(True), gaps.append(0)
                     continue
                 sizes = [0] * len(langs)
-                if len(raw) < SHORT:
-                    # alone, so short a text may be stored as it is; after known text its matches count
-                    sizes = [len(pack(lead + raw)) for pack, lead in packers]
-                else:
-                    for a in range(0, len(raw), block):
-                        part = raw[a : a + block]
-                        for k, (pack, _) in enumerate(packers):
-                            sizes[k] += len(pack(part))
+                for a in range(0, len(raw), block):
+                    part = raw[a : a + block]
+                    for k, (pack, lead, own) in enumerate(packers):
+                        sizes[k] += len(pack(lead + part)) - own
                 best = min(range(len(langs)), key=sizes.__getitem__)
-                second = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
-                gap = second - sizes[best]
+                size = max(1, sizes[best])
+                gap = min((s for k, s in enumerate(sizes) if k != best), default=2 * size) - sizes[best]
                 preds.append(langs[best])
-                scores.append(0.5 + 0.5 * (1.0 - 0.5 ** (gap / sizes[best] / MIN_SHARE)))
-                rejected.append(gap < max(margin, min_share * sizes[best]))
+                scores.append(0.5 + 0.5 * (1.0 - 0.5 ** (gap / size / MIN_SHARE)))
+                rejected.append(not gap or gap < min_share * size)
                 gaps.append(gap)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(preds, pa.string()), pa.array(np.array(scores, float)), pa.array(rejected, pa.bool_()), pa.array(gaps, pa.int64())],
@@ -117,16 +111,16 @@ def _predict(model: dict[str, bytes], level: int, block: int, margin: int, min_s
     return run
 
 
-def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, margin: int = MIN_MARGIN, min_share: float = MIN_SHARE) -> DataFrame:
+def predict(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per row of docs: (id, lang_pred, score, rejected, margin_bytes). Whole texts are compressed."""
-    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = cols.schema["id"].dataType.simpleString()
-    return cols.mapInArrow(_predict(model, level, block, margin, min_share), f"id {kind}, lang_pred string, score double, rejected boolean, margin_bytes long")
+    return cols.mapInArrow(_predict(model, level, block, min_share), f"id {kind}, lang_pred string, score double, rejected boolean, margin_bytes long")
 
 
-def keep_known(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", **how) -> DataFrame:
+def keep_known(docs: DataFrame, model: dict[str, bytes], text_col: str = "text", level: int = LEVEL, block: int = BLOCK, min_share: float = MIN_SHARE) -> DataFrame:
     """docs without the rows that are rejected; all columns stay and nothing is shuffled."""
-    run = _predict(model, how.get("level", LEVEL), how.get("block", BLOCK), how.get("margin", MIN_MARGIN), how.get("min_share", MIN_SHARE))
+    run = _predict(model, level, block, min_share)
     at = docs.columns.index(text_col)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,4 +134,4 @@ def keep_known(docs: DataFrame, model: dict[str, bytes], text_col: str = "text",
         for found in run(asked()):
             yield waiting.pop(0).filter(pc.invert(found.column("rejected")))
 
-    return text_batches(docs).mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(kept, docs.schema)

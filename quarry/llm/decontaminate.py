@@ -12,9 +12,8 @@ document, one after the other in the same plan, so nothing about documents is ev
 
 Cases: a null text, or one without words, has no words, hits or items. An item without words has no
 window; repeated items count each. Documents with the same id are separate rows. Rows of the
-benchmark with the same id count as one item. With ``null_ids``, as in the query and in ``clean``, the words
-of benchmark rows without an id are hits like others and only name no item; by default such rows are left out.
-Either table may be empty.
+benchmark with the same id count as one item. The words of benchmark rows without an id are hits like others, and
+only name no item. Either table may be empty.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import text_batches
 from .words import ALNUM, grams, hashes, slices, split
 
 WINDOW = 13
@@ -190,19 +189,20 @@ def _scan_part(part: pa.RecordBatch, index: Index, look: _Lookup, last: bool) ->
     return pa.RecordBatch.from_arrays([*kept, pa.array(spans, pa.list_(pa.list_(pa.int64()))), *flat], ["id", "items", "spans", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, null_ids: bool = False) -> DataFrame:
+def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: (id, items array<string>, spans array<array<long>>, n_words, n_hit, n_items, items_sha256).
 
     spans are runs of hit words, as word positions from 0, end exclusive.
     """
     sc = docs.sparkSession.sparkContext
-    cols = text_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text")).filter("text is not null")
-    if not null_ids:
-        items = items.filter("item is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // (2 * block_words)) or 1  # a word and what parts it from the next take two characters at least
-    kind = cols.schema["id"].dataType.simpleString()
+    kind = cols.schema["id"]
+    first = T.StructType([kind, T.StructField("items", T.ArrayType(T.StringType()))])
+    flat = {n: T.LongType() for n in ("n_words", "n_hit", "n_items")} | {"items_sha256": T.StringType()}
+    ends = {"spans": T.ArrayType(T.ArrayType(T.LongType())), **flat}, {"text": T.StringType(), "hits": T.BinaryType()}
     out = cols.select("id", F.lit(None).cast("array<string>").alias("items"), "text", F.lit(None).cast("binary").alias("hits"))
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == b).collect()
@@ -215,7 +215,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
         seen.destroy()
         index.rarest(counts)
         last = b == blocks - 1
-        schema = f"id {kind}, items array<string>, " + ("spans array<array<long>>, n_words long, n_hit long, n_items long, items_sha256 string" if last else "text string, hits binary")
+        schema = T.StructType([*first, *(T.StructField(n, t) for n, t in ends[0 if last else 1].items())])
         out = out.mapInArrow(_scan(sc.broadcast(index), last), schema)
     return out
 
@@ -226,7 +226,7 @@ def contaminated(n_hit, n_words, share: int = 20):
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated rows; all columns stay. Ids have to be unique."""
-    found = overlaps(docs, bench, id_col, text_col, null_ids=True)
-    bad = found.filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("id").alias("__bad"))
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    """docs without the contaminated rows; all columns stay. Each row goes by its own text: ids decide nothing, nothing is shuffled."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    found = overlaps(rows, bench, "row", "text")
+    return found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select("id.*")

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, settled, text_batches
+from .runtime import partitions, settled, settled_texts
 from .words import SPACED, grams, hashes, mix, slices, split
 
 ORDER = 2
@@ -335,7 +335,7 @@ NO_ID = np.iinfo(np.int64).min
 
 
 def _input(docs: DataFrame, train, id_col: str, text_col: str) -> DataFrame:
-    return text_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
 
 def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
@@ -346,7 +346,7 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     """
     buckets = partitions(docs.sparkSession)
     asked = _input(docs, train, id_col, text_col).mapInArrow(_ask(order, buckets, chunk), _ROW)
-    return settled(asked.groupBy("m", "bucket").applyInPandas(_tell, _ROW))
+    return settled_texts(asked.groupBy("m", "bucket").applyInPandas(_tell, _ROW))
 
 
 def save(model: DataFrame, path: str) -> None:
@@ -377,7 +377,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     n_train = rows.filter("train").count()
     texts = rows.mapInArrow(_texts(chunk), _ROW)
     tells = model.filter("kind = 'tell'")
-    weighed = settled(texts.groupBy("chunk").cogroup(tells.groupBy("chunk")).applyInPandas(_weigh(known, order, buckets, n_train), _ROW))
+    weighed = settled_texts(texts.groupBy("chunk").cogroup(tells.groupBy("chunk")).applyInPandas(_weigh(known, order, buckets, n_train), _ROW))
     alphas = weighed.filter("kind in ('sum', 'need')").groupBy("m", "bucket").applyInPandas(_alphas, _ROW)
     parts = weighed.filter("kind not in ('sum', 'need')")
     out = parts.groupBy("chunk").cogroup(alphas.groupBy("chunk")).applyInPandas(_finish, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")

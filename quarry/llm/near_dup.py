@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import settled, text_batches
+from .runtime import settled, settled_texts
 from .words import SPACED, hashes, mix, shingles, slices, split
 
 SHINGLE = 5
@@ -127,8 +127,8 @@ def across(units: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """One row per row of docs: (id, n_shingles, component_id, kept); component_id is the smallest id reachable by links."""
     m = bands(percent, rows, miss)
-    cols = text_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = settled(cols.mapInArrow(_signatures(shingle, m, rows), "id long, n long, s1 long, s2 long, left array<long>, right array<long>"))
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = settled_texts(cols.mapInArrow(_signatures(shingle, m, rows), "id long, n long, s1 long, s2 long, left array<long>, right array<long>"))
     units = signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"))
     units = settled(units)
     left = units.select("id", "right", F.posexplode("left").alias("i", "x"))
@@ -136,7 +136,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", "hub")
     stars = settled(keys.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = settled(cols.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, n long, set array<long>"))
+    sets = settled_texts(cols.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, n long, set array<long>"))
     near = components(confirmed(stars, sets, percent))
     # stars that cross components: all units under such a hub go on to the exact join
     part = lambda df, on, name: df.join(near.select(F.col("id").alias(on), F.col("component").alias(name)), on, "left").withColumn(name, F.coalesce(name, on))

@@ -1,26 +1,19 @@
-"""Session helpers of the llm operators: input tables, cut lineage, size of shuffles."""
+"""Session helpers of the llm operators: input tables, cut lineage, batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import settled, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["partitions", "settled", "settled_texts", "shared_folder", "table"]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df written once to the shared checkpoint folder, read back without their lineage.
-
-    A lost executor then costs a reread of files, not the steps before. The folder is the one in
-    ``spark.checkpoint.dir``; a temporary one is set only where the session names none (tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -28,9 +21,20 @@ def partitions(spark: SparkSession) -> int:
 
 
 BATCH_BYTES = 4 << 20
+_OPTION = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_OPTION)
+    spark.conf.set(_OPTION, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_OPTION, before)
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold about BATCH_BYTES at most: counted in rows alone, long texts make batches of any size."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
+def settled_texts(df: DataFrame) -> DataFrame:
+    """settled(), with Arrow batches of about BATCH_BYTES while it runs, as its tasks hold much beside their batch of texts."""
+    with _small_batches(df.sparkSession):
+        return settled(df)

@@ -8,13 +8,15 @@ Spark's regular expressions tell what matched, not where. So a text is split at
 of the pieces and matches before a match add up to its start, in code points. A cheap substring test
 decides whether the regular expression of a rule runs at all.
 
-Cases: null texts count as empty. A path may have any number of versions, rows may repeat, ids may be null.
-A blob without findings has none in the table of findings, and is in the ledger all the same.
+Cases: null texts count as empty. A path may have any number of versions, rows may repeat, ids may be null. Other columns
+are not read. A blob without findings has none in the table of findings, and is in the ledger all the same. A text is
+scanned whole; the findings of one blob become one list. An empty table has no blobs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,23 +64,27 @@ def versions(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(path_col).alias("path"), text.alias("text")).withColumn("blob", F.sha2("text", 256))
 
 
+def _versions(rules: tuple[Rule, ...]) -> Column:
+    return F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
+
+
 def unseen(rows: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, path, kinds): for one path of each blob, the kinds of rules whose present version has not scanned it."""
-    reps = rows.groupBy("blob").agg(F.min("path").alias("path"))
+    """(blob, text, kinds): of each blob one copy, and the kinds of rules whose present version has not scanned it.
+
+    Copies of a blob become one before they are shuffled, so a blob that a third of all rows hold is a row a task.
+    """
+    blobs = rows.groupBy("blob").agg(F.any_value("text").alias("text"))
     every = F.array(*[F.lit(r.kind) for r in rules])
     if ledger is None:
-        return reps.withColumn("kinds", every)
-    now = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    done = ledger.filter(F.col("version") == now[F.col("kind")]).groupBy("blob").agg(F.collect_set("kind").alias("done"))
-    left = reps.join(done, "blob", "left").withColumn("kinds", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
-    return left.filter(F.size("kinds") > 0).select("blob", "path", "kinds")
+        return blobs.withColumn("kinds", every)
+    done = ledger.filter(F.col("version") == _versions(rules)[F.col("kind")]).groupBy("blob").agg(F.collect_set("kind").alias("done"))
+    left = blobs.join(done, "blob", "left").withColumn("kinds", F.array_except(every, F.coalesce("done", F.array().cast("array<string>"))))
+    return left.filter(F.size("kinds") > 0).select("blob", "text", "kinds")
 
 
 def scan(rows: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, ledger rows) of what the ledger lacks: (blob, kind, version, start, end) and (blob, kind, version)."""
-    todo = unseen(rows, ledger, rules)
-    held = rows.select(F.col("path").alias("p"), F.col("blob").alias("b"), "text")
-    texts = held.join(todo, held["p"].eqNullSafe(todo["path"]) & (held["b"] == todo["blob"])).select("blob", "kinds", "text")
+    texts = unseen(rows, ledger, rules)
     text = F.col("text")
     found = []
     for r in rules:
@@ -95,13 +101,14 @@ def scan(rows: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     hits = texts.select("blob", F.explode(F.array_compact(F.array(*found))).alias("hit")).select("blob", "hit.*").filter(F.size("matches") > 0)
     each = hits.select("blob", "kind", "version", "least", F.posexplode(F.arrays_zip("pieces", "matches", "values")).alias("k", "x"))
     each = each.select("blob", "kind", "version", "least", "k", F.length("x.pieces").alias("gap"), F.length("x.matches").alias("size"), F.length("x.values").alias("value"))
-    each = each.filter(F.col("size").isNotNull()).distinct()  # the last piece has no match; equal rows of one version scan the same
+    each = each.filter(F.col("size").isNotNull())  # the last piece has no match
     before = Window.partitionBy("blob", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.col("size")).over(before)
     placed = each.select("blob", "kind", "version", (end - F.col("size")).alias("start"), end.alias("end"), "value", "least")
     findings = placed.filter("value >= least").select("blob", "kind", "version", "start", "end")
-    version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    return findings, todo.select("blob", F.explode("kinds").alias("kind")).withColumn("version", version[F.col("kind")])
+    blobs = rows.select("blob").distinct()
+    pairs = blobs.withColumn("kind", F.explode(F.array(*[F.lit(r.kind) for r in rules]))).withColumn("version", _versions(rules)[F.col("kind")])
+    return findings, pairs if ledger is None else pairs.join(ledger, ["blob", "kind", "version"], "left_anti")
 
 
 def to_paths(rows: DataFrame, findings: DataFrame, base: tuple[str, ...] = BASE) -> DataFrame:
@@ -114,6 +121,20 @@ def to_paths(rows: DataFrame, findings: DataFrame, base: tuple[str, ...] = BASE)
     return rows.select("path", "blob").join(by_blob, "blob", "left")
 
 
+def scan_loads(loads: list[DataFrame]) -> DataFrame:
+    """The findings of all loads of versions, each scanned over the ledger of those before it: what one scan of all gives.
+
+    Ledger and findings of a load are written before the next one reads them.
+    """
+    found, ledger = [], None
+    for rows in loads:
+        findings, fresh = scan(rows, ledger)
+        found.append(settled(findings))
+        if len(found) < len(loads):
+            ledger = settled(fresh) if ledger is None else ledger.union(settled(fresh))
+    return reduce(DataFrame.union, found)
+
+
 def update(ledger_path: str, findings_path: str, docs: DataFrame, path_col: str = "doc_id", text_col: str = "text") -> None:
     """Scan what the stored ledger lacks and append to both tables (Parquet); findings are written first.
 
@@ -128,6 +149,6 @@ def update(ledger_path: str, findings_path: str, docs: DataFrame, path_col: str
             raise
         ledger = None
     findings, scanned = scan(versions(docs, path_col, text_col), ledger)
-    scanned = settled(scanned)
+    scanned = settled(scanned)  # before the ledger changes
     findings.write.mode("append").parquet(findings_path)
     scanned.write.mode("append").parquet(ledger_path)

@@ -49,6 +49,23 @@ def test_boundaries(rows):
     assert got.tolist() == [int(e - n) + m.start() for x, e, n in zip(rows, ends, sizes) for m in pattern.finditer(x)]
 
 
+def test_every_code_point():
+    """Each alone, between letters, after white space and around contractions: the ids are tiktoken's."""
+    enc, codec = tiktoken_encoding(), byte_bpe._Codec(VOCAB)
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    texts = ["".join(f"{c}\na{c}b {c}{c}'s x'{c}1 {c}'ll" if c < "\U00040000" else f" {c}a" for c in every[k : k + 4096]) for k in range(0, len(every), 4096)]
+    for text in texts:
+        got = codec.encode(byte_bpe.pa.RecordBatch.from_arrays([byte_bpe.pa.array([0]), byte_bpe.pa.array([text])], ["id", "text"]))
+        assert got.column("ids").values.to_pylist() == enc.encode_ordinary(text)
+
+
+def test_newer_letters(spark):
+    """A letter that Python's own tables do not know yet."""
+    df = spark.createDataFrame([(1, "\u1c89'sa"), (1, "\u1c89'sa"), (2, "a\U000105c0b")], "doc_id long, text string").withColumn("offsets", F.lit("clash"))
+    enc = tiktoken_encoding()
+    assert all(list(r.ids) == enc.encode_ordinary("\u1c89'sa" if r.id == 1 else "a\U000105c0b") for r in byte_bpe.encode(df, VOCAB).collect())
+
+
 def test_long_scan():
     text = "it's  a\n\nlong 'llama's tale, 12 '" * 5000
     pattern = regex.compile(public_tokenizers.PATTERN)
@@ -78,10 +95,10 @@ def test_bpe(spark):
 def brute_overlap(docs, items, window=13):
     wins = {}
     for i, t in items:
-        w = ALNUM.findall(lower(t)) if i is not None else []
+        w = ALNUM.findall(lower(t))
         n = min(window, len(w))
         for k in range(len(w) - n + 1) if w else ():
-            wins.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            wins.setdefault(tuple(w[k : k + n]), set()).update([str(i)] if i is not None else [])
     out = []
     for i, t in docs:
         w, hit, names = ALNUM.findall(lower(t)), set(), set()
@@ -125,9 +142,12 @@ def test_benchmark_null_ids(spark, tmp_path, block_words):
     docs = [(1, "a one two three b"), (2, "four five six"), (3, "six"), (4, "seven")]
     want = [(1, 3, 1), (2, 3, 1), (3, 1, 0), (4, 0, 0)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.overlaps(d, b, block_words=block_words, null_ids=True)
+    got = decontaminate.overlaps(d, b, block_words=block_words)
     assert sorted((r.id, r.n_hit, r.n_items) for r in got.collect()) == want
     assert [r.doc_id for r in decontaminate.clean(d, b).collect()] == [4]
+    twice = d.union(spark.createDataFrame([(4, "seven"), (1, "clean text"), (None, "six"), (None, "seven"), (5, None)], d.schema)).withColumn("items", F.lit("clash")).withColumn("id", F.lit(1))
+    kept = decontaminate.clean(twice, b)
+    assert kept.columns == twice.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(4, "seven"), (4, "seven"), (1, "clean text"), (None, "seven"), (5, None)], key=str)
     d.write.parquet(str(tmp_path / "documents.parquet")), b.write.parquet(str(tmp_path / "benchmark.parquet"))
     assert sorted((r.doc_id, r.n_hit, r.n_items) for r in queries.op9_decontaminate(spark, str(tmp_path)).collect()) == want
 
@@ -310,6 +330,16 @@ def test_ledger(spark, tmp_path):
     assert len(todo) == 2 and all(r.kinds == ["hex"] for r in todo)
 
 
+def test_loads(spark):
+    """Three loads over each other's ledger find what one scan finds, and nothing twice."""
+    rows = secret_scan.versions(spark.createDataFrame(SECRETS * 2, "doc_id long, text string"))
+    one, ledger = secret_scan.scan(rows)
+    parts = [rows.filter("path is null or path < 3"), rows.filter("path >= 3"), rows]
+    got = secret_scan.scan_loads(parts).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, one.collect())) and got
+    assert secret_scan.scan(rows, ledger)[0].count() == secret_scan.scan(rows, ledger)[1].count() == 0
+
+
 def test_secret_query(spark):
     got = {r.doc_id: r for r in queries.op10_secret_scan(spark, DIR).collect()}
     for i, t in texts(spark).items():
