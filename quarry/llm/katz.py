@@ -1,25 +1,33 @@
 """Katz backoff language model: training counts, exactly normalised backoff weights, scores of texts.
 
 P(w | h) of an n-gram seen c times is d(c) c / c(h); otherwise it is alpha(h) P(w | shorter h), down to words
-and one class for unknown words. d is the Good-Turing discount for counts up to K, and keeps all but TAIL of
-larger ones, so that every history has something left to hand down; alpha(h) is what is left, over the
-shorter model's mass of the words not seen after h. Unknown words get what the discounts leave of words.
+and one class for unknown words. d is the Good-Turing discount for counts up to K: of each order the counts of counts
+are smoothed by a line through their logarithms, so that discounts fall into place however uneven the counts of counts
+of a corpus of copies are. Larger counts keep all but TAIL, so that every history has something left to hand down;
+alpha(h) is what is left, over the shorter model's mass of the words not seen after h. Unknown words get what the
+discounts leave of words. Where no falling line fits (a handful of n-grams, or none seen once) an order has one
+absolute discount instead, and the result says so.
 
 How it runs. Each task turns its rows into chunks of at most CHUNK tokens and aggregates before any shuffle:
-a chunk has each n-gram once. The n-gram tables are partitioned by ranges of the n-gram's hash. Chunks send
-their n-grams with training counts to the tables and get the totals back; sums over histories go the
-same way, and of each chunk only histories that a text has to back off from are asked for. No key collects
-rows of texts: a word that is a third of all tokens is one entry a chunk. Tables travel as sorted,
-compressed arrays. Only counts of counts and the sizes of the corpus reach the driver.
+a chunk has each n-gram once. The n-gram tables are partitioned by ranges of the n-gram's hash, as many as the size of
+the corpus asks for, so that a range stays as large as it is. Chunks send their n-grams with training counts to the
+tables and get the totals back; sums over histories go the same way, and of each chunk only histories that a text has
+to back off from are asked for. No key collects rows of texts: a word that is a third of all tokens is one entry a
+chunk. Tables travel as sorted, compressed arrays, and a partition of a shuffle is one range or one chunk. Only counts
+of counts and the sizes of the corpus reach the driver.
+
+``score`` fits and scores in one go, as the corpus that is scored holds the training texts: its n-grams are asked for once.
+``save`` writes the model as tables by kind, order and range, and ``evaluate`` looks any texts up in saved tables.
 
 Cases: a null text is empty and has the end token alone. Without training rows every word is unknown, with
-probability 1. N-grams are told apart by 64-bit hashes. Rows with equal ids are separate rows.
+probability 1. N-grams are told apart by 64-bit hashes: of 10^12 distinct ones some 27,000 share theirs with another. Rows
+with equal ids and repeated rows are separate rows; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,13 +36,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import partitions, settled, settled_texts
+from .runtime import settled_texts
 from .words import SPACED, grams, hashes, mix, slices, split
 
 ORDER = 2
 K = 5
+FIT = 2 * (K + 1)
 TAIL = 1e-6
 CHUNK = 4_500_000
+RANGE_BYTES = 8 << 20
 BOS, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 _ROW = "kind string, m int, bucket int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -168,13 +178,15 @@ def _tell(group: pd.DataFrame) -> pd.DataFrame:
     owns[owner[total > 0]] = True
     told, m, bucket, at = total[which], int(group["m"].iloc[0]), int(group["bucket"].iloc[0]), 0
     seen = total > 0
-    small = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3).astype(np.int64)
-    rows = [("table", m, bucket, -1, pack_keys(distinct[seen]), pack(_narrow(total[seen], np.uint32, np.uint64)), pack(np.append(small, total.sum())))]
+    small = np.bincount(np.minimum(total[seen], FIT + 1), minlength=FIT + 2).astype(np.int64)
+    asked = group["chunk"].to_numpy()
+    places = np.array([(asked >> 20).max(), (asked & 0xFFFFF).max()], np.int64)
+    rows = [("table", m, bucket, -1, pack_keys(distinct[seen]), pack(_narrow(total[seen], np.uint32, np.uint64)), pack(np.append(small, total.sum())), pack(places))]
     for chunk, end in zip(group["chunk"], ends):
         digest = int(every[at:end].sum(dtype=np.uint64)).to_bytes(8, "little")
         rows.append(("tell", m, bucket, int(chunk), pack(_narrow(told[at:end], np.uint32, np.uint64)), pack(np.packbits(owns[at:end])), digest))
         at = end
-    return pd.DataFrame([r + (None,) * (10 - len(r)) for r in rows], columns=_COLS)
+    return _frame(rows)
 
 
 def _narrow(total: np.ndarray, small: type, large: type) -> np.ndarray:
@@ -184,34 +196,51 @@ def _narrow(total: np.ndarray, small: type, large: type) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Sizes:
-    """What the driver knows of the model: per order, n-grams seen 1..K+1 times, distinct n-grams, tokens."""
+    """What the driver knows of the model: per order, n-grams seen 0..FIT times, distinct n-grams; tokens; chunks."""
 
     seen: dict[int, tuple[int, ...]]
     distinct: dict[int, int]
     tokens: int
+    width: int = 1  # tasks that made chunks, and chunks a task at most
+    depth: int = 1
+
+    def slope(self, m: int) -> float | None:
+        """Of the line through the logarithms of the counts of counts, each spread over its gap; None if it does not fall."""
+        n = self.seen.get(m, ())
+        some = [r for r in range(1, len(n)) if n[r]]
+        if len(some) < 2 or not n[1]:
+            return None
+        gap = [(nxt - prv) / 2 for prv, nxt in zip([0, *some[:-1]], [*some[1:], 2 * some[-1] - some[-2]])]
+        x, y = np.log(some), np.log([n[r] / g for r, g in zip(some, gap)])
+        fall = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+        return fall if fall < -1 else None
+
+    def lost(self, m: int) -> np.ndarray:
+        """1 - d(c) for c of 0..K + 1; the last holds for all larger counts."""
+        n, fall = self.seen.get(m, (0,) * (FIT + 1)), self.slope(m)
+        out = np.full(K + 2, TAIL)
+        out[0] = 1.0
+        r = np.arange(1, K + 1)
+        if fall is not None:  # the smoothed count of r is r (1 + 1/r)^(fall + 1); Katz's discounts leave counts above K alone
+            out[1 : K + 1] = (1 - (1 + 1 / r) ** (fall + 1)) / (1 - (K + 1.0) ** (fall + 1))
+        else:
+            out[1 : K + 1] = min(n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5, 0.999) / r
+        return out
 
     def discounts(self, m: int) -> np.ndarray:
-        """d(0..K + 1); the last holds for all larger counts."""
-        n = self.seen.get(m, (0,) * (K + 2))
-        out = np.full(K + 2, 1.0 - TAIL)
-        out[0] = 0.0
-        common = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-        good = [((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else -1.0 for r in range(1, K + 1)]
-        if all(0 < x < 1 for x in good):
-            out[1 : K + 1] = good
-        else:  # too few n-grams for Good-Turing: one absolute discount, which is always valid
-            less = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-            out[1 : K + 1] = [(r - min(less, 0.999)) / r for r in range(1, K + 1)]
-        return out
+        return 1.0 - self.lost(m)
+
+    def smoothing(self, order: int) -> str:
+        return ",".join("absolute" if self.slope(m) is None else "good-turing" for m in range(1, order + 1))
 
     @property
     def unknown(self) -> float:
         """Mass of the class of unknown words."""
         if not self.tokens:
             return 1.0
-        d, n = self.discounts(1), self.seen[1]
+        n, lost = self.seen[1], self.lost(1)
         small = sum(r * n[r] for r in range(1, K + 1))
-        return 1.0 - (sum(d[r] * r * n[r] for r in range(1, K + 1)) + (1.0 - TAIL) * (self.tokens - small)) / self.tokens
+        return (sum(lost[r] * r * n[r] for r in range(1, K + 1)) + TAIL * (self.tokens - small)) / self.tokens
 
 
 def _told(m: int, tells: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,10 +258,11 @@ def _told(m: int, tells: pd.DataFrame, keys: np.ndarray) -> tuple[np.ndarray, np
 def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
     """Step 3, of each chunk: scores without backoff weights, the weights they lack, and sums over histories of owned n-grams."""
     disc = {m: sizes.discounts(m) for m in range(1, order + 1)}
+    lost = {m: sizes.lost(m) for m in disc}
 
-    def run(key, texts: pd.DataFrame, tells: pd.DataFrame) -> pd.DataFrame:
-        ident = int(key[0])
-        r = texts.iloc[0]
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        r, tells = group[group["kind"] == "texts"].iloc[0], group[group["kind"] == "tell"]
+        ident = int(r["chunk"])
         per, ids, train = unpack(r["c"]), r["d"], r["e"]
         words = unpack_keys(r["a"])[_by_count(unpack(r["f"]))]
         chunk, n_rows = _Chunk(words[unpack(r["b"])], per, order), len(per)
@@ -262,7 +292,7 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
                 if len(mine):
                     h, pos = np.unique(context[mine], return_inverse=True)
                     c = total[owns]
-                    sums = [np.bincount(pos, x, len(h)) for x in (c, disc[m][np.minimum(c, K + 1)] * c, lower[mine])]
+                    sums = [np.bincount(pos, x, len(h)) for x in (c, lost[m][np.minimum(c, K + 1)] * c, lower[mine])]
                     cut = _ranges(h, buckets)
                     rows += [("sum", m, b, ident, pack_keys(h[x:y]), *(pack(s[x:y]) for s in sums)) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
                 lack = np.flatnonzero(~seen & (history > 0))
@@ -276,29 +306,40 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
             del at, total, owns
         doc = [np.bincount(chunk.row, x, n_rows) for x in (np.ones(len(chunk.row)), known, base, score)]
         rows.append(("docs", 0, -1, ident, ids, train, *(pack(x) for x in doc)))
-        return pd.DataFrame([x + (None,) * (10 - len(x)) for x in rows], columns=_COLS)
+        return _frame(rows)
 
     return run
 
 
+def _histories(sums: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one range: histories, how often each was seen, and its backoff weight (log10)."""
+    sums = sums.sort_values("chunk")
+    if sums.empty:
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    h, pos = np.unique(np.concatenate([unpack_keys(x) for x in sums["a"]]), return_inverse=True)
+    seen, left, lower = (np.bincount(pos, np.concatenate([unpack(x) for x in sums[c]]), len(h)) for c in "bcd")
+    return h, seen, np.log10(left / seen) - np.log10(np.maximum(1.0 - lower, 1e-15))
+
+
 def _alphas(group: pd.DataFrame) -> pd.DataFrame:
-    """Step 4, of one range of histories: backoff weights (log10), for the chunks that lack them."""
-    sums = group[group["kind"] == "sum"].sort_values("chunk")
+    """Step 4, of one range of histories: backoff weights for the chunks that lack them."""
     need = group[group["kind"] == "need"]
-    if need.empty:
-        return pd.DataFrame([], columns=_COLS)
-    keys = np.concatenate([unpack_keys(x) for x in sums["a"]])
-    h, pos = np.unique(keys, return_inverse=True)
-    s0, s1, s2 = (np.bincount(pos, np.concatenate([unpack(x) for x in sums[c]]), len(h)) for c in "bcd")
-    alpha = np.log10(np.maximum(1.0 - s1 / s0, 1e-15)) - np.log10(np.maximum(1.0 - s2, 1e-15))
-    rows = []
-    for m, bucket, chunk, a in zip(need["m"], need["bucket"], need["chunk"], need["a"]):
-        rows.append(("alpha", int(m), int(bucket), int(chunk), pack(alpha[np.searchsorted(h, unpack_keys(a))])))
-    return pd.DataFrame([r + (None,) * (10 - len(r)) for r in rows], columns=_COLS)
+    h, _, alpha = _histories(group[group["kind"] == "sum"])
+    return _frame([("alpha", int(m), int(bucket), int(chunk), pack(alpha[np.searchsorted(h, unpack_keys(a))])) for m, bucket, chunk, a in zip(need["m"], need["bucket"], need["chunk"], need["a"])])
 
 
-def _finish(key, parts: pd.DataFrame, alphas: pd.DataFrame) -> pd.DataFrame:
+def _weights(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one range of histories, the table of backoff weights."""
+    h, seen, alpha = _histories(group)
+    return _frame([("weights", int(group["m"].iloc[0]), int(group["bucket"].iloc[0]), -1, pack_keys(h), pack(seen.astype(np.int64)), pack(alpha))])
+
+
+_SCORES = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _finish(group: pd.DataFrame) -> pd.DataFrame:
     """Step 5, of each chunk: the weights join the scores."""
+    parts, alphas = group[group["kind"] != "alpha"], group[group["kind"] == "alpha"]
     docs = parts[parts["kind"] == "docs"].iloc[0]
     score = unpack(docs["f"]).copy()
     for m in sorted(set(alphas["m"])):
@@ -306,10 +347,40 @@ def _finish(key, parts: pd.DataFrame, alphas: pd.DataFrame) -> pd.DataFrame:
         lack = parts[parts["kind"] == f"lack{m}"].iloc[0]
         row, pos = unpack(lack["a"]), unpack(lack["b"])
         score += np.bincount(row, weight[pos], len(score))
-    ids = unpack(docs["a"])
-    return pd.DataFrame(
-        {"id": ids, "train": unpack(docs["b"]).astype(bool), "n_tokens": unpack(docs["c"]).astype(np.int64), "n_known": unpack(docs["d"]).astype(np.int64), "base_score": unpack(docs["e"]), "score": score}
-    )
+    return _result(docs, score)
+
+
+def _result(docs, score: np.ndarray) -> pd.DataFrame:
+    counts = {n: unpack(docs[c]) for n, c in (("n_tokens", "c"), ("n_known", "d"))}
+    return pd.DataFrame({"id": unpack(docs["a"]), "train": unpack(docs["b"]).astype(bool), **{n: x.astype(np.int64) for n, x in counts.items()}, "base_score": unpack(docs["e"]), "score": score})
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame([r + (None,) * (10 - len(r)) for r in rows], columns=_COLS)
+
+
+def _whole(work, by: list[str]):
+    """work on each group of a partition, which holds all rows of its groups and as a rule one group."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        every = [f for f in frames if len(f)]
+        if every:
+            for _, group in pd.concat(every, ignore_index=True).groupby(by):
+                yield work(group)
+
+    return run
+
+
+def _by_range(df: DataFrame, work, least: int, order: int, ranges: int) -> DataFrame:
+    """work on the rows of each order, from least on, and range of hashes: one partition each."""
+    slot = (F.col("m") - least) * ranges + F.col("bucket")
+    return df.repartitionById(max(1, (order - least + 1) * ranges), slot).mapInPandas(_whole(work, ["m", "bucket"]), _ROW)
+
+
+def _by_chunk(df: DataFrame, work, schema: str, sizes: Sizes) -> DataFrame:
+    """work on the rows of each chunk: one partition each."""
+    slot = (F.col("chunk").bitwiseAND(0xFFFFF) * sizes.width + F.shiftright("chunk", 20)).cast("int")
+    return df.repartitionById(sizes.width * sizes.depth, slot).mapInPandas(_whole(work, ["chunk"]), schema)
 
 
 def _by_count(often: np.ndarray) -> np.ndarray:
@@ -338,47 +409,145 @@ def _input(docs: DataFrame, train, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
 
 
-def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
-    """The model's tables, and for each chunk of docs the training counts of its n-grams.
+@dataclass(frozen=True)
+class Model:
+    """A fitted model: counts holds tables of n-grams and what each chunk was told, sums those over histories."""
 
-    train is a boolean column of docs. Rows of kind ``table`` hold the n-grams of order m in one range of
-    hashes: sorted keys (a), training counts (b), counts of counts (c).
-    """
-    buckets = partitions(docs.sparkSession)
-    asked = _input(docs, train, id_col, text_col).mapInArrow(_ask(order, buckets, chunk), _ROW)
-    return settled_texts(asked.groupBy("m", "bucket").applyInPandas(_tell, _ROW))
+    counts: DataFrame
+    parts: DataFrame
+    sizes: Sizes
+    order: int
+    ranges: int
 
+    def tables(self) -> DataFrame:
+        """(kind, m, bucket, a, b, c), a row for each kind, order and range: of ``table`` the sorted keys of n-grams, their
+        training counts and counts of counts; of ``weights`` the keys of histories, how often each was seen, log10 alpha."""
+        weights = _by_range(self.parts.filter("kind = 'sum'"), _weights, 2, self.order, self.ranges)
+        return self.counts.filter("kind = 'table'").union(weights).select("kind", "m", "bucket", "a", "b", "c")
 
-def save(model: DataFrame, path: str) -> None:
-    """Write the n-gram tables as Parquet, partitioned by order and range of hashes."""
-    tables = model.filter("kind = 'table'").select("m", "bucket", F.col("a").alias("keys"), F.col("b").alias("counts"), F.col("c").alias("counts_of_counts"))
-    tables.write.partitionBy("m", "bucket").parquet(path)
+
+def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK, range_bytes: int = RANGE_BYTES) -> Model:
+    """The model of the rows of docs where train, a boolean column, holds. The other rows' n-grams are looked up on the way.
+
+    docs is read more than once and has to be a table that reads the same each time (files, a checkpoint); a
+    chunk that comes out differently is an error.
+    """
+    rows = _input(docs, train, id_col, text_col)
+    size, n_train = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("train")).first()
+    ranges = max(1, -(-size // range_bytes))
+    counts = settled_texts(_by_range(rows.mapInArrow(_ask(order, ranges, chunk), _ROW), _tell, 1, order, ranges))
+    known = sizes(counts)
+    texts = rows.mapInArrow(_texts(chunk), _ROW)
+    parts = settled_texts(_by_chunk(texts.union(counts.filter("kind = 'tell'")), _weigh(known, order, ranges, n_train), _ROW, known))
+    return Model(counts, parts, known, order, ranges)
 
 
-def sizes(model: DataFrame) -> Sizes:
+def sizes(counts: DataFrame) -> Sizes:
     """Counts of counts of all tables, a few numbers for each range."""
     total: dict[int, np.ndarray] = {}
-    for r in model.filter("kind = 'table'").select("m", "c").collect():
+    places = np.zeros(2, np.int64)
+    for r in counts.filter("kind = 'table'").select("m", "c", "d" if "d" in counts.columns else F.lit(None).alias("d")).collect():
         total[r["m"]] = total.get(r["m"], 0) + unpack(r["c"])
-    return Sizes({m: tuple(x[: K + 2].tolist()) for m, x in total.items()}, {m: int(x[:-1].sum()) for m, x in total.items()}, int(total[1][-1]) if 1 in total else 0)
+        places = np.maximum(places, unpack(r["d"])) if r["d"] is not None else places
+    return Sizes({m: tuple(x[: FIT + 1].tolist()) for m, x in total.items()}, {m: int(x[:-1].sum()) for m, x in total.items()}, int(total[1][-1]) if 1 in total else 0, *(int(x) + 1 for x in places))
 
 
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK) -> DataFrame:
-    """Fit on the rows where train holds, score all: (id, train, n_tokens, n_known, base_score, score, train_tokens).
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Fit on the rows where train holds, score all: (id, train, n_tokens, n_known, base_score, score, train_tokens, smoothing).
 
-    docs is read more than once and has to be a table that reads the same each time (files, a checkpoint); a
-    chunk that comes out differently is an error. score is the log10 probability of the text and its end token; base_score that of single words, each
-    with half a count more.
+    score is the log10 probability of the text and its end token; base_score that of single words, each
+    with half a count more; smoothing tells the discounts of each order. docs as in ``fit``.
     """
-    buckets = partitions(docs.sparkSession)
-    rows = _input(docs, train, id_col, text_col)
-    model = fit(docs, train, id_col, text_col, order, chunk)
-    known = sizes(model)
-    n_train = rows.filter("train").count()
-    texts = rows.mapInArrow(_texts(chunk), _ROW)
-    tells = model.filter("kind = 'tell'")
-    weighed = settled_texts(texts.groupBy("chunk").cogroup(tells.groupBy("chunk")).applyInPandas(_weigh(known, order, buckets, n_train), _ROW))
-    alphas = weighed.filter("kind in ('sum', 'need')").groupBy("m", "bucket").applyInPandas(_alphas, _ROW)
-    parts = weighed.filter("kind not in ('sum', 'need')")
-    out = parts.groupBy("chunk").cogroup(alphas.groupBy("chunk")).applyInPandas(_finish, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("id", F.nullif("id", F.lit(NO_ID))).withColumn("train_tokens", F.lit(known.tokens))
+    model = fit(docs, train, id_col, text_col, order, chunk, range_bytes)
+    alphas = _by_range(model.parts.filter("kind in ('sum', 'need')"), _alphas, 2, order, model.ranges)
+    out = _by_chunk(model.parts.filter("kind not in ('sum', 'need')").union(alphas), _finish, _SCORES, model.sizes)
+    return _named(out, model.sizes, order)
+
+
+def _named(out: DataFrame, known: Sizes, order: int) -> DataFrame:
+    return out.withColumns({"id": F.nullif("id", F.lit(NO_ID)), "train_tokens": F.lit(known.tokens), "smoothing": F.lit(known.smoothing(order))})
+
+
+def save(model: Model, path: str) -> None:
+    """Write the model's tables as Parquet, partitioned by kind, order and range of hashes."""
+    model.tables().write.partitionBy("kind", "m", "bucket").parquet(path)
+
+
+def evaluate(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """The columns of ``score`` but train for any docs, by the saved model at path, whose tables are read and not changed.
+
+    Each chunk asks the tables for its n-grams and their histories, a range at a time, and backs off token by token.
+    """
+    saved = docs.sparkSession.read.parquet(path)
+    known = sizes(saved)
+    order, ranges = max(known.seen), saved.agg(F.max("bucket")).first()[0] + 1
+    rows = _input(docs, F.lit(False), id_col, text_col)
+    asks = rows.mapInArrow(_ask_saved(order, ranges, chunk), _ROW)
+    tables = saved.select("kind", "m", "bucket", F.lit(-1).cast("long").alias("chunk"), "a", "b", "c", *[F.lit(None).cast("binary").alias(x) for x in "def"])
+    told = settled_texts(_by_range(asks.union(tables), _look_up, 1, order, ranges))
+    most = told.agg(F.coalesce(F.max(F.shiftright("chunk", 20)), F.lit(0)), F.coalesce(F.max(F.col("chunk").bitwiseAND(0xFFFFF)), F.lit(0))).first()
+    known = replace(known, width=int(most[0]) + 1, depth=int(most[1]) + 1)
+    out = _by_chunk(rows.mapInArrow(_texts(chunk), _ROW).union(told), _evaluate(known, order), _SCORES, known)
+    return _named(out, known, order).drop("train")
+
+
+def _ask_saved(order: int, ranges: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, _, _, words, per in _chunks(batches, limit):
+            chunk = _Chunk(words, per, order)
+            for m in range(1, order + 1):
+                for kind, keys in (("ngrams", chunk.ending(m)), ("histories", chunk.ending(m - 1, 1) if m > 1 else words[:0])):
+                    keys = np.unique(keys)
+                    cut = _ranges(keys, ranges)
+                    if len(keys):
+                        yield _record([(kind, m, b, _chunk_id(number), pack_keys(keys[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x])
+
+    return run
+
+
+def _look_up(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one range, what the saved tables have for the keys that chunks ask for; 0 where they have none."""
+    rows = []
+    for asked, kind in (("ngrams", "table"), ("histories", "weights")):
+        held = group[group["kind"] == kind]
+        keys = unpack_keys(held["a"].iloc[0]) if len(held) else np.zeros(0, np.uint64)
+        values = [unpack(held[c].iloc[0]) for c in ("b", "c")[: 1 if kind == "table" else 2]] if len(held) else []
+        for m, bucket, chunk, a in group[group["kind"] == asked][["m", "bucket", "chunk", "a"]].itertuples(index=False):
+            want = unpack_keys(a)
+            at = np.minimum(np.searchsorted(keys, want), max(0, len(keys) - 1))
+            there = keys[at] == want if len(keys) else np.zeros(len(want), bool)
+            got = [np.where(there, v[at], 0) if len(keys) else np.zeros(len(want)) for v in values] or [np.zeros(len(want), np.int64)] * 2
+            rows.append((asked, int(m), int(bucket), int(chunk), *map(pack, got)))
+    return _frame(rows)
+
+
+def _evaluate(sizes: Sizes, order: int):
+    """Of each chunk: P of every token, from words up to the longest n-gram, by what the tables told."""
+    disc = {m: sizes.discounts(m) for m in range(1, order + 1)}
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        r = group[group["kind"] == "texts"].iloc[0]
+        per, words = unpack(r["c"]), unpack_keys(r["a"])[_by_count(unpack(r["f"]))]
+        chunk, n_rows = _Chunk(words[unpack(r["b"])], per, order), len(per)
+
+        def told(kind: str, m: int, column: str, same: np.ndarray) -> np.ndarray:
+            mine = group[(group["kind"] == kind) & (group["m"] == m)].sort_values("bucket")
+            return np.concatenate([unpack(x) for x in mine[column]])[same]
+
+        for m in range(1, order + 1):
+            same = np.unique(chunk.ending(m), return_inverse=True)[1]
+            count = told("ngrams", m, "a", same).astype(np.int64)
+            if m == 1:
+                known = count > 0
+                base = np.log10((count + 0.5) / (sizes.tokens + 0.5 * (sizes.distinct.get(1, 0) + 1)))
+                score = np.log10(np.where(known, disc[1][np.minimum(count, K + 1)] * count / max(1, sizes.tokens), sizes.unknown))
+                continue
+            same = np.unique(chunk.ending(m - 1, 1), return_inverse=True)[1]
+            history, alpha = told("histories", m, "a", same), told("histories", m, "b", same)
+            seen = count > 0
+            p = disc[m][np.minimum(count, K + 1)] * count / np.maximum(history, 1)
+            score = np.where(seen, np.log10(np.where(seen, p, 1.0)), np.where(history > 0, alpha + score, score))
+        doc = [np.bincount(chunk.row, x, n_rows) for x in (np.ones(len(chunk.row)), known, base, score)]
+        return _result({"a": r["d"], "b": r["e"], "c": pack(doc[0]), "d": pack(doc[1]), "e": pack(doc[2])}, doc[3])
+
+    return run

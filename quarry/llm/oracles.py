@@ -54,3 +54,28 @@ g AS (SELECT doc_id, string_agg(span, ',' ORDER BY start, place) AS spans, coale
   {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)} FROM f GROUP BY doc_id)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id
 """
+
+#: Katz of order 2 with the discounts of a line through the logarithms of the counts of counts, as a join of plain tables.
+#: ' ' stands for the end of a text and '  ' for its beginning: no word has a space.
+KATZ = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ids AS (SELECT doc_id, text, list_transform(range(1, length(cast(doc_id AS varchar)) + 1), lambda i: cast(ascii(cast(doc_id AS varchar)[i]) AS bigint)) AS b FROM documents),
+d AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 5 = 1 AS held_out, list_append(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), ' ') AS w FROM ids, crc),
+tok AS (SELECT doc_id, held_out, w[i] AS w, CASE WHEN i = 1 THEN '  ' ELSE w[i - 1] END AS h FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+c1 AS (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w), c2 AS (SELECT h, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY h, w),
+size AS (SELECT sum(c) AS n, count(*) AS v FROM c1),
+cc AS (SELECT 1 AS m, c AS r, count(*) AS n FROM c1 WHERE c <= 12 GROUP BY c UNION ALL SELECT 2, c, count(*) FROM c2 WHERE c <= 12 GROUP BY c),
+gap AS (SELECT m, r, n, lag(r, 1, 0) OVER o AS q, lead(r) OVER o AS t FROM cc WINDOW o AS (PARTITION BY m ORDER BY r)),
+fit AS (SELECT m, regr_slope(ln(n * 2.0 / (coalesce(t, 2 * r - q) - q)), ln(r)) + 1 AS e FROM gap GROUP BY m),
+lost AS (SELECT m, r, (1 - power(1 + 1.0 / r, e)) / (1 - power(6.0, e)) AS x FROM fit, unnest(range(1, 6)) AS t(r)),
+p1 AS (SELECT w, c, coalesce(x, 1e-6) AS x, (1 - coalesce(x, 1e-6)) * c / n AS p FROM c1 LEFT JOIN lost ON m = 1 AND r = c, size),
+unk AS (SELECT sum(x * c) / any_value(n) AS u FROM p1, size),
+p2 AS (SELECT h, w, c, coalesce(x, 1e-6) AS x FROM c2 LEFT JOIN lost ON m = 2 AND r = c),
+hist AS (SELECT h, sum(p2.c) AS n, sum(p2.x * p2.c) / sum(p2.c) / (1 - sum(p)) AS alpha FROM p2 JOIN p1 ON p2.w = p1.w GROUP BY h),
+s AS (SELECT doc_id, p1.c IS NOT NULL AS known, log10((coalesce(p1.c, 0) + 0.5) / (size.n + 0.5 * (v + 1))) AS base,
+  log10(CASE WHEN p2.c IS NOT NULL THEN (1 - p2.x) * p2.c / hist.n WHEN hist.n IS NOT NULL THEN alpha * coalesce(p, u) ELSE coalesce(p, u) END) AS score
+  FROM tok LEFT JOIN p1 ON tok.w = p1.w LEFT JOIN p2 ON tok.h = p2.h AND tok.w = p2.w LEFT JOIN hist ON tok.h = hist.h, size, unk),
+g AS (SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, round(sum(base), 6) AS base_score, round(sum(score), 6) AS score FROM s GROUP BY doc_id)
+SELECT g.doc_id, held_out, n_tokens, n_known, cast(size.n AS bigint) AS train_tokens, base_score, score, (SELECT string_agg(CASE WHEN e < 0 THEN 'good-turing' ELSE 'absolute' END, ',' ORDER BY m) FROM fit) AS smoothing
+FROM g JOIN d ON d.doc_id = g.doc_id, size
+"""

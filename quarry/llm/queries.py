@@ -20,7 +20,7 @@ def fold(n: int):
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = katz.score(docs, fold(5) != 1)
-    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("train_tokens").cast("long").alias("train_tokens"), "base_score", "score")
+    return found.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("train_tokens").cast("long").alias("train_tokens"), F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"), "smoothing")
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {
+    "op1_katz": oracles.KATZ,
     "op2_near_dup": oracles.NEAR_DUP,
     "op3_exact_dedup": OP3_SQL,
     "op9_decontaminate": oracles.DECONTAMINATE,

@@ -12,6 +12,23 @@ from quarry.llm import katz, queries
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def plain_discounts(n):
+    """d(1..5) of the counts of counts n by Katz's formula on counts (r + 1) S(r + 1) / S(r), S(r) = exp(a) r^b fitted to r up to 12."""
+    rs = sorted(r for r in n if r <= 12)
+    x, y = [math.log(r) for r in rs], []
+    for k, r in enumerate(rs):
+        before, after = rs[k - 1] if k else 0, rs[k + 1] if k + 1 < len(rs) else 2 * r - (rs[k - 1] if k else 0)
+        y.append(math.log(n[r] * 2 / (after - before)))
+    out = {0: 0.0, 6: 1 - katz.TAIL}
+    b = np.polyfit(x, y, 1)[0] if len(rs) > 1 and 1 in n else 0
+    if b < -1:
+        smooth = lambda r: r**b
+        common = 6 * smooth(6) / smooth(1)
+        return out | {r: ((r + 1) * smooth(r + 1) / smooth(r) / r - common) / (1 - common) for r in range(1, 6)}
+    less = min(n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5, 0.999)
+    return out | {r: (r - less) / r for r in range(1, 6)}
+
+
 def brute(rows, order):
     """Recursive Katz model on dictionaries."""
     docs = [(i, [*WORD.findall((t or "").translate({k: k + 32 for k in range(65, 91)})), None], train) for i, t, train in rows]
@@ -22,9 +39,8 @@ def brute(rows, order):
             for m in range(1, order + 1):
                 count[m][tuple(line[j - m + 1 : j + 1])] += 1
     total = sum(count[1].values())
-    seen = {m: tuple([0] + [sum(c == r for c in count[m].values()) for r in range(1, katz.K + 2)]) for m in range(1, order + 1)}
-    sizes = katz.Sizes(seen, {m: len(count[m]) for m in seen}, total)
-    d = {m: sizes.discounts(m) for m in seen}
+    d = {m: plain_discounts(Counter(count[m].values())) for m in range(1, order + 1)}
+    unknown = 1 - sum(d[1][min(c, 6)] * c for c in count[1].values()) / total if total else 1.0
     after, heads = [defaultdict(list) for _ in range(order + 1)], [Counter() for _ in range(order + 1)]
     for m in range(2, order + 1):
         for g, c in count[m].items():
@@ -35,7 +51,7 @@ def brute(rows, order):
     def p(m, g):
         c = count[m][g]
         if m == 1:
-            return d[1][min(c, katz.K + 1)] * c / total if c else sizes.unknown
+            return d[1][min(c, katz.K + 1)] * c / total if c else unknown
         h = g[:-1]
         if c:
             return d[m][min(c, katz.K + 1)] * c / heads[m][h]
@@ -55,7 +71,8 @@ def brute(rows, order):
 
 def check(spark, rows, order, chunk):
     df = spark.createDataFrame(rows, "doc_id long, text string, t boolean").withColumn("train", F.lit("clash"))
-    got = {r.id: tuple(r)[1:] for r in katz.score(df, F.col("t"), order=order, chunk=chunk).collect()}
+    found = katz.score(df, F.col("t"), order=order, chunk=chunk, range_bytes=50_000).collect()
+    got = {r.id: tuple(r)[1:] for r in found}
     want, p, words, heads = brute(rows, order)
     assert set(got) == set(want)
     for i, w in want.items():
@@ -64,6 +81,22 @@ def check(spark, rows, order, chunk):
         assert sum(p(order, (*h, w)) for w in words) + p(order, (*h, "\0unknown")) == pytest.approx(1, abs=1e-9)
 
 
+def test_good_turing(spark):
+    """On documents every order has smoothed Good-Turing discounts, which rise with the count and equal a plain version's."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = katz.fit(docs, queries.fold(5) != 1, order=3)
+    lines = [[None, None] + WORD.findall((r.text or "").translate({k: k + 32 for k in range(65, 91)})) + [1] for r in docs.filter(queries.fold(5) != 1).select("text").collect()]
+    for m in (1, 2, 3):
+        count = Counter(tuple(w[j - m + 1 : j + 1]) for w in lines for j in range(2, len(w)))
+        n = Counter(count.values())
+        assert model.sizes.seen[m] == (0, *(n[r] for r in range(1, katz.FIT + 1))) and model.sizes.distinct[m] == len(count)
+        want, got = plain_discounts(n), model.sizes.discounts(m)
+        assert all(got[r] == pytest.approx(want[r]) for r in want) and 0 < got[1] < got[2] < got[3] < got[4] < got[5] < 1
+    assert model.sizes.smoothing(3) == "good-turing,good-turing,good-turing"
+    assert {r.smoothing for r in queries.op1_katz(spark, "/root/testdata/sf0.001").select("smoothing").distinct().collect()} == {"good-turing,good-turing"}
+    assert katz.Sizes({1: (0, 3) + (0,) * 11}, {1: 3}, 3).smoothing(1) == "absolute" and katz.Sizes({1: (0,) * 12 + (9,)}, {1: 9}, 108).smoothing(1) == "absolute"
+
+
 @pytest.mark.parametrize("order, chunk", [(2, 10**6), (2, 2000), (3, 3000)])
 def test_documents(spark, order, chunk):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
@@ -84,11 +117,31 @@ def test_held_out_beats_words(spark):
     assert got[2] > 20 and got[0] > got[1]
 
 
-def test_save(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a b a", True)], "doc_id long, text string, t boolean")
-    katz.save(katz.fit(rows, F.col("t")), str(tmp_path / "m"))
-    saved = spark.read.parquet(str(tmp_path / "m")).filter("m = 2").collect()
-    assert sum(len(katz.unpack_keys(r["keys"])) for r in saved) == 4 and sum(katz.unpack(r["counts"]).sum() for r in saved) == 4
+@pytest.mark.parametrize("order", [2, 3])
+def test_saved_model(spark, tmp_path, order):
+    """Saved tables score the training corpus as fitting does, and texts that were not there by the same recursion."""
+    rows = [(r.doc_id, r.text, r.doc_id % 3 > 0) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()][:60]
+    rows += [(-1, None, True), (-2, "", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
+    model = katz.fit(df, F.col("t"), order=order, chunk=3000, range_bytes=50_000)
+    katz.save(model, str(tmp_path / "m"))
+    saved = spark.read.parquet(str(tmp_path / "m"))
+    assert {(r.kind, r.m) for r in saved.select("kind", "m").distinct().collect()} == {("table", m) for m in range(1, order + 1)} | {("weights", m) for m in range(2, order + 1)}
+    want = {r.id: r for r in katz.score(df, F.col("t"), order=order).collect()}
+    for chunk in (2000, 10**6):
+        got = {r.id: r for r in katz.evaluate(df.select("doc_id", "text"), str(tmp_path / "m"), chunk=chunk).collect()}
+        assert set(got) == set(want)
+        for i, r in got.items():
+            w = want[i]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (w.n_tokens, w.n_known, w.train_tokens) and (r.base_score, r.score) == pytest.approx((w.base_score, w.score))
+    new = [(1, "never seen words"), (2, rows[0][1][:300] + " unheardof " + rows[1][1][:300]), (2, "a"), (None, "a")]
+    got = katz.evaluate(spark.createDataFrame(new, "doc_id long, text string").withColumn("kind", F.lit("clash")), str(tmp_path / "m")).collect()
+    _, p, words, _ = brute(rows, order)
+    for i, text in new[:2]:
+        line = ["<s>"] * (order - 1) + WORD.findall(text.lower()) + [None]
+        total = sum(math.log10(p(order, tuple(line[j - order + 1 : j + 1]))) for j in range(order - 1, len(line)))
+        assert any(r.id == i and r.score == pytest.approx(total) for r in got)
+    assert len(got) == 4 and katz.evaluate(df.limit(0), str(tmp_path / "m")).count() == 0
 
 
 def test_counts_beyond_32_bits():
