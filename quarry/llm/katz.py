@@ -44,7 +44,7 @@ K = 5
 FIT = 2 * (K + 1)
 TAIL = 1e-6
 CHUNK = 4_500_000
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 BOS, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 
 _ROW = "kind string, m int, bucket int, chunk long, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -267,26 +267,32 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
         words = unpack_keys(r["a"])[_by_count(unpack(r["f"]))]
         chunk, n_rows = _Chunk(words[unpack(r["b"])], per, order), len(per)
         del words
-        rows, lower, ctx = [], None, None
+        per_text = lambda x=None: np.bincount(chunk.row, x, n_rows)
+        rows, lower, ctx, doc = [], None, None, [per_text()]
         for m in range(1, order + 1):
             keys, same = np.unique(chunk.ending(m), return_inverse=True)
+            same = same.astype(np.int32)
             total, owns = _told(m, tells, keys)
             at = np.zeros(len(keys), np.int32)
             at[same[::-1]] = np.arange(len(same) - 1, -1, -1, dtype=np.int32)  # where each n-gram is first
             count = _narrow(total, np.int32, np.int64)[same]
             del keys, same
+            seen = count > 0
+            p = disc[m][np.minimum(count, K + 1)]
+            p *= count
             if m == 1:
-                known = count > 0
-                base = np.log10((count + 0.5) / (sizes.tokens + 0.5 * (sizes.distinct.get(1, 0) + 1)))
-                p = np.where(known, disc[1][np.minimum(count, K + 1)] * count / max(1, sizes.tokens), sizes.unknown)
+                doc += [per_text(seen), per_text(np.log10((count + 0.5) / (sizes.tokens + 0.5 * (sizes.distinct.get(1, 0) + 1))))]
+                p /= max(1, sizes.tokens)
+                p[~seen] = sizes.unknown
                 score = np.log10(p)
             else:
                 # how often the history was seen: the count of the shorter n-gram one token before
                 history = np.empty(len(ctx), np.result_type(ctx, np.min_scalar_type(n_train)))
                 history[1:] = ctx[:-1]
                 history[chunk.first] = n_train
-                seen = count > 0
-                p = disc[m][np.minimum(count, K + 1)] * count / np.maximum(history, 1)
+                p /= np.maximum(history, 1)
+                lack = np.flatnonzero(~seen & (history > 0))
+                del history
                 context = chunk.ending(m - 1, 1)
                 mine = at[owns]
                 if len(mine):
@@ -295,16 +301,16 @@ def _weigh(sizes: Sizes, order: int, buckets: int, n_train: int):
                     sums = [np.bincount(pos, x, len(h)) for x in (c, lost[m][np.minimum(c, K + 1)] * c, lower[mine])]
                     cut = _ranges(h, buckets)
                     rows += [("sum", m, b, ident, pack_keys(h[x:y]), *(pack(s[x:y]) for s in sums)) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
-                lack = np.flatnonzero(~seen & (history > 0))
+                    del pos, sums, c
                 h, pos = np.unique(context[lack], return_inverse=True)
                 cut = _ranges(h, buckets)
                 rows += [("need", m, b, ident, pack_keys(h[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if y > x]
                 rows.append((f"lack{m}", m, -1, ident, pack(chunk.row[lack].astype(np.uint32)), pack(pos.astype(np.uint32))))
-                del context, history, lack, h, pos
-                score = np.where(seen, np.log10(np.where(seen, p, 1.0)), score)
+                del context, lack, h, pos
+                score[seen] = np.log10(p[seen])
             lower, ctx = p, count
-            del at, total, owns
-        doc = [np.bincount(chunk.row, x, n_rows) for x in (np.ones(len(chunk.row)), known, base, score)]
+            del at, total, owns, seen, p
+        doc.append(per_text(score))
         rows.append(("docs", 0, -1, ident, ids, train, *(pack(x) for x in doc)))
         return _frame(rows)
 
@@ -363,10 +369,15 @@ def _whole(work, by: list[str]):
     """work on each group of a partition, which holds all rows of its groups and as a rule one group."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        every = [f for f in frames if len(f)]
-        if every:
-            for _, group in pd.concat(every, ignore_index=True).groupby(by):
-                yield work(group)
+        every = pd.concat([pd.DataFrame([], columns=_COLS), *frames], ignore_index=True)
+        keys = every[by].drop_duplicates()
+        for key in keys.itertuples(index=False):
+            if len(keys) > 1:
+                group = every[(every[by] == list(key)).all(axis=1)]
+            else:
+                group, every = every, None
+            yield work(group)
+            del group
 
     return run
 
