@@ -14,8 +14,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round takes the smallest label of all neighbours, aggregated before the shuffle, and then the
     label of that label, so chains halve; labels are written out after each round.
     """
-    one = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    both = settled(one.union(one.select("y", "x")).filter("x <> y").distinct())
+    ways = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    both = settled(links.filter(F.col(a) != F.col(b)).select(F.inline(ways)).distinct())
     labels = settled(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("c")))
     while True:
         near = both.join(labels.select(F.col("id").alias("y"), "c"), "y").groupBy(F.col("x").alias("id")).agg(F.min("c").alias("near"))

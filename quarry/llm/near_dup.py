@@ -13,11 +13,15 @@ only 2 x M x ROWS of them. M follows from the threshold and the wanted chance of
    list's largest component look for partners. What remains is confirmed on full sets.
 
 So of units that share a table key no link between components is lost, and nothing is capped; links within a
-component change no result and are not listed. Work in Python is per row; Spark does every shuffle.
+component change no result and are not listed. Work in Python is per row; Spark does every shuffle. What many rows
+would meet in is dealt in parts of about PART rows: the set of a hub goes with parts of its star, and a list of a
+shingle is parted by size of set (only neighbouring sizes can match) and by unit.
 
 Cases: a null text or one without words has no set and is linked with nothing. A text with fewer words than a
-shingle has its whole sequence as one shingle. Ids should be unique; rows that share an id share a component.
-An empty table gives an empty result.
+shingle has its whole sequence as one shingle. Rows of one id are rows of their own: those of one text are one unit
+(``deduplicate`` leaves one row of them), those of different texts are linked only if their texts are. A row without
+an id is kept by ``deduplicate`` if no row of its component has one; its component_id is null then. Other columns,
+whatever their names, are carried by ``deduplicate``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ SHINGLE = 5
 PERCENT = 80
 ROWS = 2
 MISS = 2e-4
+PART = 256
+NO_ID = np.iinfo(np.int64).max
 
 
 def bands(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -92,11 +98,24 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def _parts(n) -> F.Column:
+    """Into how many parts n rows are dealt; one where n is null."""
+    return F.coalesce(F.ceil(n / PART), F.lit(1)).cast("int")
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """pairs with the size and the set of one side; the set of a unit of many pairs goes once to each part of them."""
+    other = "b" if side == "a" else "a"
+    often = pairs.groupBy(side).agg(F.count("*").alias("often")).filter(F.col("often") > PART)
+    dealt = pairs.join(often, side, "left").withColumn("part", F.pmod(F.xxhash64(other), _parts(F.col("often")))).drop("often")
+    held = sets.select(F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("set").alias(f"{side}set")).join(often, side, "left")
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), _parts(F.col("often")) - 1))).drop("often")
+    return dealt.join(held, [side, "part"]).drop("part")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have a similarity of percent or more."""
-    x = sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("set").alias("aset"))
-    y = sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("set").alias("bset"))
-    both = pairs.join(x, "a").join(y, "b").filter(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
+    both = _with_set(_with_set(pairs, sets, "a"), sets, "b").filter(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
     common = F.size(F.array_intersect("aset", "bset"))
     return both.filter((100 + percent) * common >= percent * (F.col("an") + F.col("bn"))).select("a", "b")
 
@@ -112,47 +131,80 @@ def across(units: DataFrame, percent: int) -> DataFrame:
     placed = shared.select("id", "n", "component", "s", (rank - 1 + alone).alias("pos"))
     prefix = settled(placed.filter(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")))
     per = prefix.groupBy("s", "component").agg(F.count("*").alias("k"))
-    lists = per.groupBy("s").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
-    lists = settled(lists.select("s", F.col("top.component").alias("main")))
-    rows = prefix.join(lists, "s")
-    one = rows.filter("component <> main").select("s", "main", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "component", "pos")))
-    two = rows.select("s", *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "component", "pos")))
+    lists = per.groupBy("s").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds"), F.sum("k").alias("rows")).filter("kinds > 1")
+    lists = settled(lists.select("s", F.col("top.component").alias("main"), _parts(F.col("rows")).alias("parts")))
+    # sets that can match differ by this factor at most, so they are of one step of sizes or of neighbouring ones
+    step = F.floor(F.log("n") / (math.log(100 / min(percent, 99)) * 1.0001))
+    rows = prefix.join(lists, "s").withColumn("step", step)
+    one = rows.filter("component <> main").select("s", "main", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"), "parts", *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "component", "pos")))
+    one = one.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    two = rows.select("s", "step", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "component", "pos")))
     room = (100 + percent) * F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
-    meet = one.join(two, "s").filter(
+    meet = one.join(two, ["s", "step", "part"]).filter(
         (F.col("a_component") != F.col("b_component")) & (room >= percent * (F.col("a_n") + F.col("b_n"))) & ((F.col("b_component") == F.col("main")) | (F.col("a_id") < F.col("b_id")))
     )
     return meet.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
-    """One row per row of docs: (id, n_shingles, component_id, kept); component_id is the smallest id reachable by links."""
+def _decided(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, rows: int, miss: float) -> DataFrame:
+    """(id, text_hash, n, node, component_id) of every row of docs, in the shared folder; node is one of each component, null without a set."""
     m = bands(percent, rows, miss)
-    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = settled_texts(cols.mapInArrow(_signatures(shingle, m, rows), "id long, n long, s1 long, s2 long, left array<long>, right array<long>"))
-    units = signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"))
-    units = settled(units)
+    cols = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    packed = cols.select(F.struct("id", "text_hash").alias("id"), "text")
+    signed = settled_texts(packed.mapInArrow(_signatures(shingle, m, rows), "id struct<id:long,text_hash:long>, n long, s1 long, s2 long, left array<long>, right array<long>"))
+    signed = signed.select("id.id", "id.text_hash", "n", "s1", "s2", "left", "right")
+    # a unit goes by the smallest id of its rows; by a hash where other texts may have that id
+    clash = signed.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1 or id is null").select(F.col("id").alias("clash"))
+    units = signed.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.first("left").alias("left"), F.first("right").alias("right"))
+    named = units.join(clash, units["least"].eqNullSafe(clash["clash"]), "left").withColumn("own", F.col("clash").isNull() & F.col("least").isNotNull())
+    units = settled(named.select("s1", "s2", "n", "least", "left", "right", F.when(F.col("own"), F.col("least")).otherwise(F.xxhash64("s1", "s2", "n", F.lit(1))).alias("id")))
     left = units.select("id", "right", F.posexplode("left").alias("i", "x"))
     keys = left.select("id", "i", "x", F.posexplode("right").alias("j", "y")).select("id", F.xxhash64("x", "y", "i", "j").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", "hub")
     stars = settled(keys.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    # one text of each unit that is in a star gives its set
     wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = settled_texts(cols.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets(shingle), "id long, n long, set array<long>"))
+    texts = units.join(wanted, "id", "left_semi").select("s1", "s2", "n", F.col("id").alias("unit"))
+    texts = signed.join(texts, ["s1", "s2", "n"]).groupBy("unit").agg(F.min(F.struct("id", "text_hash")).alias("of")).select("unit", "of.id", "of.text_hash")
+    chosen = cols.join(texts.select(F.coalesce("id", F.lit(int(NO_ID))).alias("__id"), F.col("text_hash").alias("__hash"), "unit"), (F.coalesce(cols["id"], F.lit(int(NO_ID))) == F.col("__id")) & (cols["text_hash"] == F.col("__hash")))
+    sets = settled_texts(chosen.select(F.col("unit").alias("id"), "text").mapInArrow(_shingle_sets(shingle), "id long, n long, set array<long>"))
     near = components(confirmed(stars, sets, percent))
     # stars that cross components: all units under such a hub go on to the exact join
     part = lambda df, on, name: df.join(near.select(F.col("id").alias(on), F.col("component").alias(name)), on, "left").withColumn(name, F.coalesce(name, on))
     open_hubs = part(part(stars, "a", "ca"), "b", "cb").filter("ca <> cb").select("a").distinct()
     open_ids = stars.join(open_hubs, "a", "left_semi").select(F.col("b").alias("id")).union(open_hubs).distinct()
-    rest = part(sets.join(open_ids, "id", "left_semi"), "id", "component")
-    more = confirmed(across(rest, percent), sets, percent)
+    rest = part(sets.join(open_ids, "id", "left_semi").dropDuplicates(["id"]), "id", "component")  # repeated rows give a set twice
+    more = confirmed(settled(across(rest, percent)), sets, percent)
     final = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
-    tops = units.select("s1", "s2", "n", F.col("id").alias("unit")).join(final.withColumnRenamed("id", "unit"), "unit", "left")
-    tops = tops.select("s1", "s2", "n", F.coalesce("component", "unit").alias("top"))
-    whole = signed.select("id", "n", "s1", "s2").join(tops, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("top", "id")).otherwise(F.col("id"))
-    return whole.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (component == F.col("id"))).alias("kept"))
+    tops = units.select("s1", "s2", "n", "least", F.col("id").alias("unit")).join(final.withColumnRenamed("id", "unit"), "unit", "left")
+    tops = tops.select("s1", "s2", "n", "least", F.coalesce("component", "unit").alias("node"))
+    ids = tops.groupBy("node").agg(F.min("least").alias("component_id"))
+    tops = tops.drop("least").join(ids, "node")
+    whole = signed.select("id", "text_hash", "n", "s1", "s2").join(tops, ["s1", "s2", "n"], "left")
+    return settled(whole.select("id", "text_hash", "n", "node", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one with the smallest id; all columns stay."""
-    lost = groups(docs, id_col, text_col, **how).filter("not kept").select(F.col("id").alias("__lost"))
-    return docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """One row per row of docs: (id, n_shingles, component_id, kept); component_id is the smallest id reachable by links."""
+    found = _decided(docs, id_col, text_col, shingle, percent, rows, miss)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
+    return found.select("id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one with the smallest id; all columns stay.
+
+    Rows are told by id and text, so that rows of one id and other texts are not touched; of repeated rows one stays.
+    Only the rows that go, and those that repeat, are joined with docs.
+    """
+    found = _decided(docs, id_col, text_col, shingle, percent, rows, miss).filter("n > 0").select(F.coalesce("id", F.lit(int(NO_ID))).alias("__id"), F.col("text_hash").alias("__hash"), "node")
+    first = found.groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("first"))
+    each = found.groupBy("__id", "__hash", "node").agg(F.count("*").alias("k")).join(first, "node").withColumn("stays", F.struct("__id", "__hash") == F.col("first"))
+    lost, twice = each.filter("not stays or k > 1").select("__id", "__hash"), each.filter("stays and k > 1").select("__id", "__hash")
+    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))), "__hash": F.xxhash64(text_col)})
+    out = keyed.join(lost, ["__id", "__hash"], "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return out
+    rank = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
+    again = keyed.join(twice, ["__id", "__hash"], "left_semi").withColumn("__rank", rank).filter("__rank = 1")
+    return out.unionByName(again.select(*docs.columns))

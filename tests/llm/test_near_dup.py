@@ -66,6 +66,40 @@ def test_cases(spark):
     assert near_dup.groups(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "x y z"), (1, "x y z"), (2, "x y z")], "doc_id long, text string")
     assert sorted(r.component_id for r in near_dup.groups(twice).collect()) == [1, 1, 1]
+    assert [r.doc_id for r in near_dup.deduplicate(twice).collect()] == [1]
+
+
+def test_ids_that_clash(spark):
+    """Rows of one id and different texts do not touch each other; repeated rows leave one; null ids give way."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b c d e f"), (1, long), (2, long + " end"), (2, "g h i j k l"), (3, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q"), (None, "m n o p q"), (4, None), (4, None), (None, ""), (5, "r s t u v"), (5, "r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__n", F.lit("clash")).repartition(3)
+    kept = near_dup.deduplicate(df)
+    want = [(1, "a b c d e f"), (1, long), (2, "g h i j k l"), (None, "m n o p q"), (4, None), (4, None), (None, ""), (5, "r s t u v")]
+    assert kept.columns == df.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in near_dup.groups(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 56, 1, True), (2, 57, 1, False), (2, 2, 2, True), (3, 2, 1, False), (None, 2, 2, False), *[(None, 1, None, True)] * 2, *[(4, 0, 4, True)] * 2, (None, 0, None, True), *[(5, 1, 5, True)] * 2], key=str)
+
+
+def test_parts(spark, monkeypatch):
+    """Stars and lists dealt in parts of two rows find what whole ones find."""
+    monkeypatch.setattr(near_dup, "PART", 2)
+    rows = random_rows(7, groups=6, copies=30)
+    got = near_dup.groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 3, 85)
+
+
+def test_shared_passages(spark):
+    """Texts that share a long passage but are not near each other, in many components of several sizes."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = []
+    for k in range(60):
+        own = " ".join(f"q{rng.randrange(9999)}" for _ in range(rng.choice([4, 6, 8, 12, 40])))
+        rows += [passage + " " + own, passage + " " + own + " x"][: 1 + k % 2]
+    rows = list(enumerate(rows))
+    got = near_dup.groups(spark.createDataFrame(rows + rows[::2], "doc_id long, text string"), shingle=3, percent=85).collect()
+    assert len(got) == 1.5 * len(rows) and sorted(set(map(tuple, got))) == brute(rows, 3, 85)
 
 
 def test_whole_table(spark):
