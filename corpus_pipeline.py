@@ -8,12 +8,15 @@ its operator decides against:
 2. exact: of equal texts the smallest id stays.
 3. near: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest id stays.
 4. benchmark: contaminated documents go.
-5. tokens: byte-level BPE ids with offsets, decoded again and compared.
+5. tokens: byte-level BPE ids with offsets, and digests of the ids and of what they decode to.
+
+Every stage decides row by row: repeated rows leave one in the dedup stages, rows of one id and other texts do not
+touch each other, a row without an id goes only before one that has an id. Null texts go with the first stage. Columns
+beside those of documents are carried to the last stage, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import byte_bpe, compress_langid, decontaminate, exact_dedup, near_dup
 from quarry.llm.queries import fold
-from quarry.llm.runtime import table
+from quarry.llm.runtime import shared_folder, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -66,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the tables between them go to the shared checkpoint folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    base = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         at = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
