@@ -15,8 +15,10 @@ coefficient, the first and the name. A window that lies to a half or more in a s
 licence, or of at least its coefficient, is not listed again. Full texts of long licences are told by their titles
 and by the notices within them.
 
-Cases: null and empty texts match nothing, like segments of one word. Repeated lines count each. Nothing is
-shuffled; templates are a fixed list of known size. Whole texts are read.
+Cases: null and empty texts match nothing, like segments of one word. Repeated lines count each, and so do repeated
+rows; ids are passed on as they are, null or not; other columns, whatever their names, are not read; an empty table
+gives an empty result. Nothing is shuffled; templates are a fixed list, or a table whose size is counted. Whole texts
+are read.
 """
 
 from __future__ import annotations
@@ -263,8 +265,24 @@ def _likely(pairs: np.ndarray, near: np.ndarray, segment: np.ndarray, least: flo
     return list(zip(np.searchsorted(segment, pick).tolist(), np.searchsorted(segment, pick, "right").tolist()))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs: (id, n_words, matches array<struct<start, end, licence, dice>>); start and end count words."""
+TEMPLATE_CHARS = 64 << 20
+
+
+def templates_from(table: DataFrame, name_col: str = "name", text_col: str = "text") -> tuple[tuple[str, str], ...]:
+    """Templates from a table (name, text), in order; rows that lack either are passed over. All tasks get them, so their size is counted first."""
+    rows = table.select(F.col(name_col).alias("name"), F.col(text_col).alias("text")).filter("name is not null and text is not null")
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars > TEMPLATE_CHARS:
+        raise ValueError(f"templates of {chars} characters, more than {TEMPLATE_CHARS}")
+    return tuple((r["name"], r["text"]) for r in rows.orderBy("name", "text").collect())
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] | DataFrame = TEMPLATES, percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: (id, n_words, matches array<struct<start, end, licence, dice>>); start and end count words.
+
+    templates are pairs of name and text, or a table of them: full texts of licences, notices, in any number.
+    """
+    templates = templates_from(templates) if isinstance(templates, DataFrame) else templates
     cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = cols.schema["id"].dataType.simpleString()
     return cols.mapInArrow(_scan(templates, percent), f"id {kind}, n_words long, matches array<struct<start:long,end:long,licence:string,dice:double>>")

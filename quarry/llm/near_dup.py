@@ -43,6 +43,7 @@ PERCENT = 80
 ROWS = 2
 MISS = 2e-4
 PART = 256
+FEW = 500_000  # rows of two numbers: 8 MB
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -103,19 +104,25 @@ def _parts(n) -> F.Column:
     return F.coalesce(F.ceil(n / PART), F.lit(1)).cast("int")
 
 
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """pairs with the size and the set of one side; the set of a unit of many pairs goes once to each part of them."""
-    other = "b" if side == "a" else "a"
-    often = pairs.groupBy(side).agg(F.count("*").alias("often")).filter(F.col("often") > PART)
-    dealt = pairs.join(often, side, "left").withColumn("part", F.pmod(F.xxhash64(other), _parts(F.col("often")))).drop("often")
-    held = sets.select(F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("set").alias(f"{side}set")).join(often, side, "left")
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), _parts(F.col("often")) - 1))).drop("often")
-    return dealt.join(held, [side, "part"]).drop("part")
+def _often(pairs: DataFrame, side: str) -> DataFrame:
+    """(side, often) of the units that stand on one side of more than PART pairs; sent to all tasks if they are counted to be few."""
+    often = settled(pairs.groupBy(side).agg(F.count("*").alias("often")).filter(F.col("often") > PART))
+    return F.broadcast(often) if often.count() <= FEW else often
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have a similarity of percent or more."""
-    both = _with_set(_with_set(pairs, sets, "a"), sets, "b").filter(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
+    """The pairs (a, b), a table, whose full sets have a similarity of percent or more.
+
+    The set of a unit of many pairs goes once to each part of them.
+    """
+    both = pairs
+    for side, other in ("ab", "ba"):
+        often = _often(pairs, side)
+        both = both.join(often, side, "left").withColumn(f"{side}part", F.pmod(F.xxhash64(other), _parts(F.col("often")))).drop("often")
+        held = sets.select(F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("set").alias(f"{side}set")).join(often, side, "left")
+        held = held.withColumn(f"{side}part", F.explode(F.sequence(F.lit(0), _parts(F.col("often")) - 1))).drop("often")
+        both = both.join(held, [side, f"{side}part"])
+    both = both.filter(100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
     common = F.size(F.array_intersect("aset", "bset"))
     return both.filter((100 + percent) * common >= percent * (F.col("an") + F.col("bn"))).select("a", "b")
 

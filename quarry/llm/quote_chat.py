@@ -11,8 +11,9 @@ a row the earliest counts as above. A message replies to the original of its fir
 one it replies to none and keeps its place in its conversation. Threads are what reply links connect,
 found by pointer doubling; messages are ordered by thread, depth of reply, conversation and turn.
 
-Originals are reduced to one row a hash before the join, so a passage that everyone quotes never meets all
-its holders, and no conversation is collected: a message is a row, in range-partitioned order.
+Hashes are SHA-256, with the length beside them. Holders of a passage become one row a hash and conversation in each
+task before they are joined, so a passage that everyone quotes or holds never meets all its holders. ``conversations``
+has a row a message, in range-partitioned order; ``transcripts`` puts each conversation together, a long one in parts.
 
 Cases: a null text is empty; an empty own text cannot be an original. Null roles are formatted as
 ``unknown``. Messages whose conversation or turn is null neither link nor are linked. Several messages
@@ -21,7 +22,7 @@ with the same conversation and turn stay rows of their own and share their links
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import settled
@@ -66,7 +67,7 @@ def _units(text: Column) -> list[Column]:
 
 def _run(units: Column) -> tuple[Column, Column]:
     whole = F.array_join(units, "\n")
-    return F.xxhash64(whole).alias("h"), F.length(whole).alias("n")
+    return F.sha2(whole, 256).alias("h"), F.length(whole).alias("n")
 
 
 def _earliest(quotes: DataFrame, held: DataFrame) -> DataFrame:
@@ -105,14 +106,14 @@ def linked(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, place, level, to_conv, to_turn) of every linked passage of parsed messages."""
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     quotes = rows.filter(known & (F.size("passages") > 0)).select("conv_id", "turn", F.posexplode("passages").alias("place", "p"))
-    quotes = settled(quotes.select("conv_id", "turn", "place", "p.level", "p.text", F.xxhash64(_normal(F.col("p.text"))).alias("h"), F.length(_normal(F.col("p.text"))).alias("n")))
+    quotes = settled(quotes.select("conv_id", "turn", "place", "p.level", "p.text", F.sha2(_normal(F.col("p.text")), 256).alias("h"), F.length(_normal(F.col("p.text"))).alias("n")))
     owners = rows.filter(known & (F.col("own") != "")).select("conv_id", "turn", "own")
     units = F.array_distinct(F.transform(F.concat(F.array("own"), F.split("own", r"\n[ \t]*\n"), F.split("own", "\n")), _normal))
     parts = owners.select("conv_id", "turn", F.explode(units).alias("unit")).filter("unit <> ''")
-    parts = parts.select("conv_id", "turn", F.xxhash64("unit").alias("h"), F.length("unit").alias("n"))
+    parts = parts.select("conv_id", "turn", F.sha2("unit", 256).alias("h"), F.length("unit").alias("n"))
     wanted = quotes.select("h", "n").distinct()
     names = ["conv_id", "turn", "place", "level", F.col("to.conv_id").alias("to_conv"), F.col("to.turn").alias("to_turn")]
-    found = _earliest(quotes.drop("text"), parts.join(wanted, ["h", "n"], "left_semi"))
+    found = _earliest(quotes.drop("text"), parts.groupBy("conv_id", "h", "n").agg(F.min("turn").alias("turn")).join(wanted, ["h", "n"], "left_semi"))
     links = settled(found.select(*names).distinct())
     rest = settled(quotes.join(links, ["conv_id", "turn", "place", "level"], "left_anti"))
     if not rest.limit(1).count():
@@ -139,8 +140,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     """One row per message, in order of thread and reply, without quotes.
 
     conv_id, turn, role, text, formatted, n_quotes, max_level, n_linked, reply_conv, reply_turn (null: none),
-    thread_conv, thread_turn (the message at the thread's root; its own conversation's first place if it has no
-    link) and depth (replies from the root).
+    thread_conv, thread_turn (the message at the thread's root: the message itself if it replies to none) and depth
+    (replies from the root).
     """
     rows = parsed(messages)
     links = linked(rows)
@@ -161,6 +162,23 @@ def conversations(messages: DataFrame) -> DataFrame:
         "reply_conv",
         "reply_turn",
         F.coalesce("root_conv", "conv_id").alias("thread_conv"),
-        F.col("root_turn").alias("thread_turn"),
+        F.coalesce("root_turn", "turn").alias("thread_turn"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
-    ).orderBy("thread_conv", F.coalesce("thread_turn", "turn"), "depth", "conv_id", "turn")
+    ).orderBy(*ORDER)
+
+
+ORDER = ("thread_conv", "thread_turn", "depth", "conv_id", "turn")
+
+
+def transcripts(messages: DataFrame) -> DataFrame:
+    """(thread_conv, part, n_messages, text): the formatted messages of each conversation and of those that reply into it,
+    thread by thread, replies after what they answer, without quotes.
+
+    A part is what one range of the order holds of a conversation, so one of very many messages is never put together
+    in one task; parts are numbered from 0 in order.
+    """
+    rows = conversations(messages).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    placed = settled(rows.select("thread_conv", "formatted", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")))
+    parts = placed.groupBy("thread_conv", "range").agg(F.count("*").alias("n_messages"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "formatted"))), lambda x: x["formatted"]), "").alias("text"))
+    number = F.row_number().over(Window.partitionBy("thread_conv").orderBy("range")) - 1
+    return parts.select("thread_conv", number.cast("long").alias("part"), "n_messages", "text")

@@ -2,9 +2,9 @@
 
 A pre-token is a run of other than ASCII white space, with a mark in front that stands for the space. Its
 best segmentation into vocabulary pieces has the largest sum of scores; the forward score at a character
-depends only on the characters before it. So the distinct pre-tokens of a slice of rows are put in order,
-which is the depth-first order of their trie: what two neighbours share is computed once, and each end of a
-pre-token (a terminal) stores its count of tokens. Terminals met before are kept, in bounded number.
+depends only on the characters before it. So the distinct pre-tokens of a task go into a trie: a node holds the forward
+score of its prefix, which is computed once whatever pre-tokens share it, and the node where a pre-token ends (a
+terminal) tells its count of tokens. A task's trie has NODES nodes at most; then a new one is begun, which changes no count.
 
 A character that no piece covers is spelled in its UTF-8 bytes, each one token, at BYTE_SCORE a byte. Of
 segmentations with equal scores the one with fewer tokens counts.
@@ -12,7 +12,12 @@ segmentations with equal scores the one with fewer tokens counts.
 Nothing is shuffled: every task counts its own rows, whose distinct pre-tokens are far fewer than their
 tokens, and a global table of pre-tokens would have to be joined back with every token.
 
-Cases: null and empty texts have no pre-tokens and no tokens. A pre-token of any length is counted whole.
+Cases: null and empty texts have no pre-tokens and no tokens. A pre-token of any length is counted whole. Rows are
+independent: repeated rows, rows of one id and rows without an id each have their result; other columns, whatever their
+names, are not read; an empty table gives an empty result.
+
+The vocabulary is a given one, as tokenizers are not trained here, and its file ranks pieces without scores of a unigram
+model; so the scores follow Zipf's law on the rank.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from .words import slices
 MARK = "▁"
 BYTE_SCORE = -16.0
 KEEP = 100_000
+NODES = 300_000
 
 
 @cache
@@ -47,46 +53,45 @@ def vocabulary(path: str) -> tuple[dict[str, float], int]:
     return scores, max(map(len, scores))
 
 
-def count_sorted(words: list[str], scores: dict[str, float], longest: int) -> list[int]:
-    """Token counts of distinct pre-tokens in order. Forward scores of the prefix shared with the word before are reused."""
-    out, before = [], ""
-    best: list[tuple[float, int]] = [(0.0, 0)]  # at each character: (score, minus tokens)
-    get = scores.get
-    for word in words:
-        shared, top = 0, min(len(word), len(before))
-        while shared < top and word[shared] == before[shared]:
-            shared += 1
-        del best[shared + 1 :]
-        for j in range(shared + 1, len(word) + 1):
-            n = len(word[j - 1].encode())
-            s, t = best[j - 1]
-            top_s, top_t = s + BYTE_SCORE * n, t - n
-            for i in range(max(0, j - longest), j):
-                if (x := get(word[i:j])) is not None:
-                    s, t = best[i]
-                    s += x
-                    if s > top_s or s == top_s and t - 1 > top_t:
-                        top_s, top_t = s, t - 1
-            best.append((top_s, top_t))
-        out.append(-best[-1][1])
-        before = word
-    return out
+class Trie:
+    """Prefixes of pre-tokens with their forward scores: a node is [score, minus tokens, children by character]."""
+
+    def __init__(self, scores: dict[str, float], longest: int):
+        self.scores, self.longest, self.root, self.size = scores, longest, [0.0, 0, {}], 0
+
+    def count(self, word: str) -> int:
+        """Tokens of a pre-token; only the nodes that its prefixes lack are computed."""
+        node, path, get, longest = self.root, [self.root], self.scores.get, self.longest
+        for j, char in enumerate(word, 1):
+            below = node[2].get(char)
+            if below is None:
+                n = len(char.encode())
+                top_s, top_t = node[0] + BYTE_SCORE * n, node[1] - n
+                for i in range(max(0, j - longest), j):
+                    if (x := get(word[i:j])) is not None:
+                        s, t = path[i][0] + x, path[i][1] - 1
+                        if s > top_s or s == top_s and t > top_t:
+                            top_s, top_t = s, t
+                below = node[2][char] = [top_s, top_t, {}]
+                self.size += 1
+            node = below
+            path.append(node)
+        return -node[1]
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, longest = vocabulary(path)
-        terminals: dict[str, int] = {}
+        trie, terminals = Trie(scores, longest), {}
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = [(x.encode() if x else b"").split() for x in part.column("text").to_pylist()]
                 fresh = {w for row in rows for w in row}.difference(terminals)
-                words = sorted(MARK + w.decode() for w in fresh)
-                if len(terminals) + len(words) > KEEP:
-                    known = {w: terminals[w] for row in rows for w in row if w in terminals}
-                    terminals.clear()
-                    terminals.update(known)
-                terminals.update(zip((w[1:].encode() for w in words), count_sorted(words, scores, longest)))
+                if trie.size > NODES or len(terminals) + len(fresh) > KEEP:
+                    trie, known = Trie(scores, longest), {w: terminals[w] for row in rows for w in row if w in terminals}
+                    terminals = known
+                for w in fresh:
+                    terminals[w] = trie.count(MARK + w.decode())
                 tokens = [sum(map(terminals.__getitem__, row)) for row in rows]
                 cols = [part.column("id"), pa.array([len(r) for r in rows], pa.int64()), pa.array([len(set(r)) for r in rows], pa.int64()), pa.array(np.array(tokens, np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_pretokens", "n_distinct", "n_tokens"])

@@ -50,3 +50,29 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.filter(F.col("n_tokens") == 0).count() == 0
     assert 0.8 * 200 < out.count() <= 200
+
+
+def test_odd_tables(spark, tmp_path):
+    """Repeated rows, clashing and null ids, null and empty texts, a very long text, columns of clashing names; and an empty table."""
+    base = spark.read.parquet(f"{DIR}/documents.parquet").filter("lang is not null").orderBy("doc_id").limit(40)
+    first = base.first()
+    # (id, text): the stages leave one of repeated rows, and rows of one id and other texts alone
+    texts = [r.text for r in base.collect()]
+    odd = [tuple(first), (first.doc_id, texts[5] + " " + texts[6] + " " + texts[7], "en", "s", 0), (None, texts[1], "en", "s", 0), (None, texts[8] + " " + texts[9] + " " + texts[10], "en", "s", 0), (None, None, "en", "s", 0), (-5, "", None, None, None)]
+    odd.append((-6, " ".join(texts[11:20]) * 20, "en", "s", 0))
+    docs = base.unionByName(spark.createDataFrame(odd, base.schema)).withColumns({c: F.lit("clash") for c in ("id", "norm", "items", "ids", "__norm", "row")})
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.collect()
+        stage(spark, docs, DIR).write.parquet(str(tmp_path / name))
+        assert stage(spark, empty, DIR).count() == 0
+        after = spark.read.parquet(str(tmp_path / name))
+        if name == "tokens":
+            assert after.count() == len(before)
+            continue
+        assert after.columns == docs.columns
+        rows = after.collect()
+        assert len({(r.doc_id, r.text) for r in rows}) == (len(rows) if name != "language" else len(rows) - 1)
+        docs, empty = after, after.limit(0)
+    kept = {(r.doc_id, r.text) for r in rows}
+    assert (first.doc_id, odd[1][1]) in kept and (None, texts[1]) not in kept and (None, odd[3][1]) in kept and (-6, odd[6][1]) in kept

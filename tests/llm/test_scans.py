@@ -176,14 +176,26 @@ def test_unigram(spark):
 
     rows = [*texts(spark).items(), (-1, None), (-2, ""), (-3, "a" * 3000 + "日本 語 🙂"), (-4, " \t\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
-    got = {r.id: tuple(r)[1:] for r in unigram_count.counts(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
-    memo = {}
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = unigram_count.counts(df, path).collect()
+    got, memo = {r.id: tuple(r)[1:] for r in found}, {}
+    assert len(found) == len(rows) and unigram_count.counts(df.limit(0), path).count() == 0
     for i, t in rows:
         words = (t or "").encode().split()
         total = sum(memo[w] if w in memo else memo.setdefault(w, plain(unigram_count.MARK + w.decode())) for w in words)
         assert got[i] == (len(words), len(set(words)), total)
 
 
+def test_trie():
+    """A prefix is computed once, whatever the order of words; a new trie in between changes no count."""
+    scores, longest = unigram_count.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    words = ["▁the", "▁then", "▁them", "▁other", "▁the", "▁тест", "▁" + "ab" * 50]
+    trie = unigram_count.Trie(scores, longest)
+    got = [trie.count(w) for w in words]
+    assert trie.size == len({w[:k] for w in words for k in range(1, len(w) + 1)})
+    assert got == [unigram_count.Trie(scores, longest).count(w) for w in words] and sorted(map(trie.count, words)) == sorted(got)
+
+
 # --- licences
 
 
@@ -260,6 +272,21 @@ def test_licence_windows(spark):
     assert sum(b - a > 40 for a, b, _, _ in got[103]) == 2 and {m[2] for m in got[106]} == {"CC-BY-NC-SA-4.0"}
 
 
+def test_licence_table(spark):
+    """Templates of a table, here a long full text, found in a longer text; rows without a name or text are passed over."""
+    rng = random.Random(2)
+    full = " ".join(rng.choice("alpha beta gamma delta rights notice terms grant copy work".split()) + str(rng.randrange(40)) for _ in range(900))
+    table = spark.createDataFrame([("Own-1.0", full), (None, "x y"), ("None", None), ("Short", "granted under terms of ours")], "name string, text string")
+    rows = [(1, "code before " * 5 + full + " code after" * 5), (2, " ".join(full.split()[:300])), (3, "it is granted under terms of ours, all of it"), (3, "it is granted under terms of ours, all of it"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.id or 0, [(m.licence, m.end - m.start) for m in r.matches]) for r in license_scan.scan(df, templates=table).collect()), key=str)
+    assert [i for i, _ in got] == [0, 1, 2, 3, 3] and got[0][1] == got[2][1] == []
+    assert {n for n, _ in got[1][1]} == {"Own-1.0"} and max(k for _, k in got[1][1]) >= 880 and {n for n, _ in got[3][1]} == {"Short"}
+    assert license_scan.scan(df.limit(0), templates=table).count() == 0
+    with pytest.raises(ValueError, match="templates of"):
+        license_scan.templates_from(spark.range(70).selectExpr("'n' AS name", "repeat('x', 1000000) AS text"))
+
+
 def test_licence_window_is_best():
     """The windows that stay are those of a plain search over all starts and ends."""
     rng = random.Random(5)
@@ -384,6 +411,93 @@ def test_quotes_in_part(spark):
     assert got == want
 
 
+def brute_quotes(rows):
+    """(n_quotes, n_linked, reply, root, depth) of each message by loops over all earlier ones; (conversation, turn) are unique."""
+    normal = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t).lower().strip(" ")
+    cut = re.compile("(?<=[.!?\u2026]) |(?<=[\u3002\uff01\uff1f]) ?")
+
+    def units(text):
+        lines = [normal(x) for x in text.split("\n")]
+        sentences = [x for p in re.split(r"\n[ \t]*\n", text) for x in cut.split(normal(p))]
+        return [[x for x in kind if x] for kind in (lines, sentences)]
+
+    msgs = {}
+    for c, t, text in rows:
+        own, quotes, last = [], [], 0
+        for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            mark = re.match(r"[ \t]*(>[ \t]*)+", line)
+            level, rest = (mark[0].count(">"), line[mark.end() :]) if mark else (0, line)
+            if not level:
+                own.append(line)
+            elif level == last:
+                quotes[-1][1].append(rest)
+            else:
+                quotes.append((level, [rest]))
+            last = level
+        own = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip()
+        msgs[c, t] = own, [(k, "\n".join(x)) for k, x in quotes if normal("\n".join(x))]
+    parts = {m: {normal(x) for x in [own, *re.split(r"\n[ \t]*\n", own), *own.split("\n")]} - {""} for m, (own, _) in msgs.items()}
+
+    def source(me, holds):
+        found = sorted(m for m in msgs if m < me and holds(m))
+        return next((m for m in found if m[0] == me[0]), found[0] if found else None)
+
+    out, reply = {}, {}
+    for me, (_, quotes) in msgs.items():
+        links = []
+        for place, (level, text) in enumerate(quotes):
+            to = source(me, lambda m: normal(text) in parts[m])
+            if to is None:
+                runs = [u for u in units(text) if u]
+                to = source(me, lambda m: any(u == have[k : k + len(u)] for u in runs for have in units(msgs[m][0]) for k in range(len(have))))
+            if to is not None:
+                links.append((level, place, to))
+        reply[me] = min(links)[2] if links else None
+        out[me] = len(quotes), len(links)
+    for me in sorted(msgs):
+        root, depth = me, 0
+        while reply[root] is not None:
+            root, depth = reply[root], depth + 1
+        out[me] += (reply[me], root, depth)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_threads(spark, seed):
+    """Threads whose messages quote lines, paragraphs, sentences, runs and other messages' quotes, within and over conversations."""
+    rng = random.Random(seed)
+    sentence = lambda: " ".join(rng.choice("red blue sun moon tree bird stone road".split()) for _ in range(rng.randint(1, 3))).capitalize() + rng.choice(".!?")
+    rows, before = [], []
+    for c in range(12):
+        for t in range(rng.randint(1, 9)):
+            own = "\n\n".join("\n".join(" ".join(sentence() for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 2)))
+            text = own
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                if before:
+                    lines = rng.choice(before).split("\n")
+                    a = rng.randrange(len(lines))
+                    some = [x.upper() if rng.random() < 0.2 else "  ".join(x.split(" ")) for x in lines[a : a + rng.randint(1, 4)]]
+                    text = "\n".join(rng.choice(["> ", ">"]) + x for x in some) + "\n" + text
+            before.append(text)
+            rows.append((c, t, text))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, None if r.reply_conv is None else (r.reply_conv, r.reply_turn), (r.thread_conv, r.thread_turn), r.depth) for r in quote_chat.conversations(df).collect()}
+    want = brute_quotes(rows)
+    assert got == want and sum(x[1] for x in want.values()) > 15 and max(x[4] for x in want.values()) > 1
+
+
+def test_transcripts(spark):
+    """A conversation in reply order without quotes; one of many messages comes in parts that follow each other."""
+    rows = [(1, k, "user", f"text {k}") for k in range(400)] + [(2, 0, "a", "Root line."), (2, 2, "c", "later"), (2, 1, "b", "> Root line.\nanswer"), (3, 0, None, "> answer\nfar"), (4, 0, "x", None), (5, 0, "x", "y" * 500_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash")).repartition(7)
+    got = quote_chat.transcripts(df).orderBy("thread_conv", "part").collect()
+    text = {c: "".join(r.text for r in got if r.thread_conv == c) for c in (1, 2, 4, 5)}
+    line = lambda role, x: f"<|{role}|>\n{x}\n<|end|>\n"
+    assert text[1] == "".join(line("user", f"text {k}") for k in range(400)) and text[4] == line("x", "") and text[5] == line("x", "y" * 500_000)
+    assert text[2] == line("a", "Root line.") + line("b", "answer") + line("unknown", "far") + line("c", "later") and sum(r.n_messages for r in got) == len(rows)
+    assert quote_chat.transcripts(df.limit(0)).count() == 0
+
+
 def test_quote_table(spark):
     plain = spark.read.parquet(f"{DIR}/conversations.parquet")
     got = queries.op8_quote_chat(spark, DIR)
