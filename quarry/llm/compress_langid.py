@@ -39,13 +39,17 @@ LEVEL = 6
 LEAD_IN = 256
 MIN_SHARE = 0.03
 UND = "und"
-#: What is no letter: of word characters, digits and all other numbers.
-_OTHER = re.compile(r"[\W\d_" + "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]+")
+_OTHER = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: fractions, Roman numerals, numbers in circles.
+_NUMBERS = re.compile("[ " + "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]+")
 
 
 def letters(text: str) -> str:
     """What is encoded: lower-case letter runs joined by one space; marks, digits and symbols tell no language."""
-    return _OTHER.sub(" ", text).lower().strip()
+    out = _OTHER.sub(" ", text)
+    if not out.replace(" ", "").isalpha():  # rarely: the class of these numbers is slow to match
+        out = _NUMBERS.sub(" ", out)
+    return out.lower().strip()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, size: int = DICT_BYTES) -> dict[str, bytes]:
