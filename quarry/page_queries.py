@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import extract
+from .session import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +35,11 @@ def _fill(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
+def _spread(pages: DataFrame) -> DataFrame:
+    """pages in as many parts as shuffles have: small ones, coalesced by size, would all be parsed by one task."""
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet")
 
@@ -66,7 +72,7 @@ def results_page_rows(spark, sf_dir):
     )
     pages = _orders(spark, sf_dir).select("o_custkey", "o_orderkey", entry.alias("entry")).groupBy(F.col("o_custkey").alias("page_idx")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "entry"))).alias("e"))
     html = F.concat(F.lit('<div class="results-all"><div class="results-sublist"><div class="result-con"><a class="a-reset" href="/matches/1/big"></a></div></div></div><div class="results-all">'), F.array_join("e.entry", "\n"), F.lit("</div>"))
-    rows = extract.result_rows(extract.results_pages(pages.select("page_idx", html.alias("html"))))
+    rows = extract.result_rows(extract.results_pages(_spread(pages.select("page_idx", html.alias("html")))))
     return rows.drop("ordinal", "event_id")
 
 
@@ -86,7 +92,7 @@ def match_page_meta(spark, sf_dir):
     )
     rows = _orders(spark, sf_dir).withColumn("match_id", k.cast("string"))
     raw = rows.select("match_id", F.col("o_orderdate").cast("date").alias("match_date"), F.lit("raw event").alias("event_name"), *[F.lit("").alias(c) for c in ("team1", "team2", "winner", "source_url")])
-    meta = extract.match_meta(extract.match_pages(rows.select("match_id", html.alias("html"))), raw)
+    meta = extract.match_meta(extract.match_pages(_spread(rows.select("match_id", html.alias("html")))), raw)
     return meta.drop("team1", "team2", "winner_raw", "source_url")
 
 
@@ -116,7 +122,7 @@ def match_page_maps(spark, sf_dir):
 
     rows = _per_order(spark, sf_dir, vetoes=veto, maps=played)
     html = F.concat(F.lit('<div class="veto-box"><div class="padding"><div>1. X picked M1</div></div></div><div class="veto-box"><div class="padding">'), "vetoes", F.lit("</div></div>"), "maps")
-    pages = extract.match_pages(rows.select("match_id", html.alias("html")))
+    pages = settled(extract.match_pages(_spread(rows.select("match_id", html.alias("html")))))
     return extract.match_maps(pages, extract.veto_steps(pages)).drop("optional", "is_default_forfeit_map", "stats_href")
 
 
@@ -130,7 +136,7 @@ def match_page_lineups(spark, sf_dir):
     rows = _per_order(spark, sf_dir, one=cell(1), two=cell(0))
     box = lambda c, k: [F.lit(f'<div class="lineup standard-box"><a href="/team/99/x"></a><div class="box-headline"><a href="/team/{k}/x">T</a></div><table><tr>'), F.col(c), F.lit("</tr></table></div>")]
     html = F.concat(F.lit('<div class="lineup standard-box"><b data-player-id="5"></b></div><div class="lineups">'), *box("one", 1), *box("two", 2), *box("one", 3), F.lit("</div>"))
-    lineups = extract.match_lineups(extract.match_pages(rows.select("match_id", html.alias("html"))))
+    lineups = extract.match_lineups(settled(extract.match_pages(_spread(rows.select("match_id", html.alias("html"))))))
     numbers = lineups.groupBy("match_id").agg(F.count("*").alias("players"), F.count(F.when(F.col("team_id") == "2", 1)).alias("of_team2"))
     return extract.rosters(lineups).join(numbers, "match_id")
 
@@ -151,7 +157,7 @@ def stats_page_players(spark, sf_dir):
     team = lambda side, k: _fill('<div class="team-{s}"><a href="/stats/teams/{k}/x">T</a></div>', s=F.lit(side), k=F.col("match_id") + k)
     table = lambda c: [F.lit('<table class="stats-table totalstats"><thead><tr><td class="st-player"><a href="/stats/players/2/x">head</a></td></tr></thead><tbody>'), F.col(c), F.lit("</tbody></table>")]
     html = F.concat(team("left", 1), team("right", 2), *table("one"), *table("two"), *table("one"))
-    players = extract.player_stats(extract.stats_pages(rows.select(F.col("match_id").alias("mapstatsid"), html.alias("html"))))
+    players = extract.player_stats(extract.stats_pages(_spread(rows.select(F.col("match_id").alias("mapstatsid"), html.alias("html")))))
     return players.select("mapstatsid", "team_id", "player_id", "player_name", "kills", "hs_kills", "deaths", "traded_deaths", "adr", "kast", "opening_kills", "opening_deaths")
 
 
