@@ -207,7 +207,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _decided(docs, id_col, text_col, shingle, percent, rows, miss).filter("n > 0").select(F.coalesce("id", F.lit(int(NO_ID))).alias("__id"), F.col("text_hash").alias("__hash"), "node")
     first = found.groupBy("node").agg(F.min(F.struct("__id", "__hash")).alias("first"))
     each = found.groupBy("__id", "__hash", "node").agg(F.count("*").alias("k")).join(first, "node").withColumn("stays", F.struct("__id", "__hash") == F.col("first"))
-    lost, twice = each.filter("not stays or k > 1").select("__id", "__hash"), each.filter("stays and k > 1").select("__id", "__hash")
+    marked = settled(each.filter("not stays or k > 1").select("__id", "__hash", "stays"))
+    # counted first: where they are few the texts need no shuffle
+    lost, twice = marked.select("__id", "__hash"), marked.filter("stays").select("__id", "__hash")
+    lost = F.broadcast(lost) if marked.count() <= FEW else lost
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))), "__hash": F.xxhash64(text_col)})
     out = keyed.join(lost, ["__id", "__hash"], "left_anti").select(*docs.columns)
     if twice.isEmpty():
