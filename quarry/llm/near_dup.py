@@ -5,7 +5,8 @@ all M x M pairs of one from each collection. That is M x M tables of 2 x ROWS mi
 only 2 x M x ROWS of them. M follows from the threshold and the wanted chance of a miss.
 
 1. Texts with the same shingle set are one unit from the start, so copies never meet in a table.
-2. Within each table key every unit is paired with the smallest id there (a star, not all pairs); the
+2. Bands that one unit alone has are left out, as no table key with such a band is shared; the keys are made of the
+   others. Within each table key every unit is paired with the smallest id there (a star, not all pairs); the
    pairs are confirmed on full sets, and links make components.
 3. Units whose star crosses components may still be linked to others. For all of them an exact prefix join
    follows: shingles are ordered by rarity, the necessary prefix of each set is indexed, and only units of
@@ -99,6 +100,20 @@ def _shingle_sets(shingle: int):
     return run
 
 
+def shared_bands(units: DataFrame, m: int) -> DataFrame:
+    """(id, left, right), a table, of units (id, left, right): lists of (i, x), the bands that another unit has too.
+
+    Units share a table key only if they share both of its bands, so bands of one unit alone are left out before
+    the m x m keys are made.
+    """
+    each = units.select("id", F.posexplode(F.concat("left", "right")).alias("i", "x"))
+    met = each.groupBy("x").agg(F.count("*").alias("k")).filter("k > 1").select("x")
+    # 2 x m bands of a unit at most
+    side = lambda on: F.collect_list(F.when(on, F.struct("i", "x")))
+    lists = each.join(met, "x").groupBy("id").agg(side(F.col("i") < m).alias("left"), side(F.col("i") >= m).alias("right"))
+    return settled(lists.filter((F.size("left") > 0) & (F.size("right") > 0)))
+
+
 def _parts(n) -> F.Column:
     """Into how many parts n rows are dealt; one where n is null."""
     return F.coalesce(F.ceil(n / PART), F.lit(1)).cast("int")
@@ -165,8 +180,8 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     units = signed.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.first("left").alias("left"), F.first("right").alias("right"))
     named = units.join(clash, units["least"].eqNullSafe(clash["clash"]), "left").withColumn("own", F.col("clash").isNull() & F.col("least").isNotNull())
     units = settled(named.select("s1", "s2", "n", "least", "left", "right", F.when(F.col("own"), F.col("least")).otherwise(F.xxhash64("s1", "s2", "n", F.lit(1))).alias("id")))
-    left = units.select("id", "right", F.posexplode("left").alias("i", "x"))
-    keys = left.select("id", "i", "x", F.posexplode("right").alias("j", "y")).select("id", F.xxhash64("x", "y", "i", "j").alias("key"))
+    shared = shared_bands(units, m)
+    keys = shared.select("id", "right", F.explode("left").alias("l")).select("id", "l", F.explode("right").alias("r")).select("id", F.xxhash64("l.x", "r.x", "l.i", "r.i").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("k")).filter("k > 1").select("key", "hub")
     stars = settled(keys.join(hubs, "key").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     # one text of each unit that is in a star gives its set

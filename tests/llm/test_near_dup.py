@@ -118,3 +118,16 @@ def test_bands():
     for percent in (80, 85, 95):
         m = near_dup.bands(percent)
         assert 1 - (1 - (1 - (percent / 100) ** 2) ** m) ** 2 <= near_dup.MISS
+
+
+def test_shared_bands(spark):
+    """Bands that only one unit has go; keys that two units share stay, all of them."""
+    rng = random.Random(9)
+    rows = [(k, [rng.randrange(12) for _ in range(4)], [100 + rng.randrange(12) for _ in range(4)]) for k in range(20)]
+    df = spark.createDataFrame(rows, "id long, left array<long>, right array<long>")
+    got = {r.id: {(x.x, y.x) for x in r.left for y in r.right} for r in near_dup.shared_bands(df, 4).collect()}
+    keys = {i: {(x, y) for x in a for y in b} for i, a, b in rows}
+    for i in keys:
+        assert {key for key in keys[i] if any(key in keys[j] for j in keys if j != i)} <= got.get(i, set()) <= keys[i]
+    alone = spark.createDataFrame([(1, [1, 2], [3, 4]), (2, [1, 5], [6, 7]), (3, [8, 9], [10, 11])], df.schema)
+    assert near_dup.shared_bands(alone, 2).count() == 0
