@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .words import slices
 
-CACHE = 100_000  # entries of each of two generations
+CACHE = 25_000  # entries of each of two generations
+SLICE = 1 << 19  # bytes of text at a time
 _L, _N, _P, _S, _SP, _Q, _A, _B, _E, _K = range(10)
 START, L, N, P, S, SP, Q, QB, QK, C = range(10)
 
@@ -335,7 +336,7 @@ def _run(path: str, encode: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _Codec(path)
         for batch in batches:
-            for part in slices(batch, "text") if encode else [batch]:
+            for part in slices(batch, "text", SLICE) if encode else [batch]:
                 part = codec.encode(part) if encode else part
                 yield codec.decode(part) if decode else part
 
