@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, katz, license_scan, near_dup, oracles, quote_chat, secret_scan, unigram_count
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, fill_middle, katz, license_scan, near_dup, oracles, quote_chat, secret_scan, unigram_count
 from .runtime import table
 
 
@@ -102,6 +102,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.transform(table(spark, sf_dir, "documents"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
     "op2_near_dup": op2_near_dup,
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quote_chat": op8_quote_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op12_fill_middle": op12_fill_middle,
 }
 SQL: dict[str, str] = {
     "op1_katz": oracles.KATZ,
@@ -120,4 +127,5 @@ SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op9_decontaminate": oracles.DECONTAMINATE,
     "op10_secret_scan": oracles.SECRET_SCAN,
+    "op12_fill_middle": oracles.FILL_MIDDLE,
 }
