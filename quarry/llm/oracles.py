@@ -67,6 +67,21 @@ SELECT doc_id, cast(n AS bigint) AS n, form, CASE WHEN form <> 'plain' THEN leng
 FROM p
 """
 
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g, count(*) AS f FROM w, unnest([1, 2, 3, 4]) AS s(m), unnest(range(1, len(w) - m + 2)) AS t(i) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, g, m, f AS a, string_split(g, ' ') AS w FROM g WHERE m > 1 AND f >= 30),
+k AS (SELECT c.lang, c.g, c.m, a, k, x.f AS l, y.f AS r, cast(2000000 AS hugeint) * a // (x.f + y.f) AS score FROM c, unnest(range(1, c.m)) AS t(k)
+  JOIN g x ON x.lang = c.lang AND x.m = k AND x.g = array_to_string(c.w[:k], ' ') JOIN g y ON y.lang = c.lang AND y.m = c.m - k AND y.g = array_to_string(c.w[k + 1:], ' ')),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS g, max(a) AS around FROM c, unnest(range(2, m)) AS u(s), unnest(range(1, m - s + 2)) AS t(i) GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN inner_ i ON i.lang = b.lang AND i.g = b.g WHERE around IS NULL OR 100 * cast(around AS hugeint) < 80 * a),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT r.lang, rank, g AS phrase, a, l, r, cast(n AS bigint) AS n, cast(score AS bigint) AS score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000
+"""
+
 #: Katz of order 2 with the discounts of a line through the logarithms of the counts of counts, as a join of plain tables.
 #: ' ' stands for the end of a text and '  ' for its beginning: no word has a space.
 KATZ = rf"""

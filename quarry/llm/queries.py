@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, fill_middle, katz, license_scan, near_dup, oracles, quote_chat, secret_scan, unigram_count
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, fill_middle, katz, license_scan, near_dup, oracles, phrases, quote_chat, secret_scan, unigram_count
 from .runtime import table
 
 
@@ -108,6 +108,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
     "op2_near_dup": op2_near_dup,
@@ -120,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
     "op12_fill_middle": op12_fill_middle,
+    "op13_phrases": op13_phrases,
 }
 SQL: dict[str, str] = {
     "op1_katz": oracles.KATZ,
@@ -128,4 +133,5 @@ SQL: dict[str, str] = {
     "op9_decontaminate": oracles.DECONTAMINATE,
     "op10_secret_scan": oracles.SECRET_SCAN,
     "op12_fill_middle": oracles.FILL_MIDDLE,
+    "op13_phrases": oracles.PHRASES,
 }

@@ -82,7 +82,11 @@ def offsets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split(col: pa.Array, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, word starts, word ends, words per row) of a text column."""
-    offs, data = offsets(col)
+    return split_bytes(*offsets(col), word_bytes)
+
+
+def split_bytes(offs: np.ndarray, data: np.ndarray, word_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """split() of texts from offs[i] to offs[i + 1] of data."""
     low = LOWER[data]
     inside = np.zeros(len(low) + 2, bool)
     inside[1:-1] = word_bytes[low]
