@@ -2,16 +2,18 @@
 
 Texts are lower-cased (A-Z), split into pieces at ``.,;:!?`` and line ends, and these into words at blanks and tabs.
 
-1. Parsing. A piece is cut where a window of LONGEST - 1 words has a hash that the trigger divides, so equal passages are cut at
+1. Pairs. Neighbouring words are counted by hashes; a phrase that occurs ``LEAST`` times has only pairs that do. Bits of these hashes,
+   32 MB at most, go to all tasks. Texts with more such pairs than bits are cut less often in the next step; counts stay the same.
+2. Parsing. A piece ends between words that are no frequent pair, as no phrase goes over it. It is also cut where a window of LONGEST - 1 words has a hash that the trigger divides, so equal passages are cut at
    equal places wherever they stand. Each chunk goes on over the window that begins the next one; no n-gram is lost at
    a cut, and one that begins in the window belongs to the next chunk alone. A chunk without a trigger ends after
    ``LONG`` words. The dictionary is the distinct chunks, with the words at their end that belong to the next and their
    frequency in the parse; copies are counted there and read no more.
-2. Counting. For each word of a dictionary chunk that it owns, the window of LONGEST words that begins there (shorter
+3. Counting. For each word of a dictionary chunk that it owns, the window of LONGEST words that begins there (shorter
    at a piece's end) has the chunk's frequency. Sums of windows give the phrases of LONGEST words, sums of those
    by their leading words the phrases one word shorter, and so on: each level is made of the one before, aggregated
    before every shuffle.
-3. Scores. A phrase is looked up by both parts of every cut; keys that many phrases share ("the") are found by counting
+4. Scores. A phrase is looked up by both parts of every cut; keys that many phrases share ("the") are found by counting
    and sent to all tasks, with a bound on their number (skew.py). Arithmetic is in decimals. The first rows of each
    language come from a tree of row numbers, so no task sees all phrases of a language.
 
@@ -22,15 +24,17 @@ long text is read in blocks that end at a piece's end. An empty table, or one wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import settled
+from .runtime import settled, settled_texts
 from .skew import dealt
-from .words import grams, hashes, offsets, slices, split_bytes
+from .words import grams, hashes, mix, offsets, slices, split_bytes
 
 LONGEST = 4
 LEAST = 30
@@ -38,7 +42,8 @@ COVER = 80
 TOP = 2000
 TRIGGER = 16
 LONG = 256
-SLICE = 4 << 20
+SLICE = 1 << 20
+MOST_BITS = 1 << 28
 UNKNOWN = "und"
 _TREE = (256, 32, 4, 1)
 
@@ -94,32 +99,49 @@ def _summed(lang: pa.Array, cols: dict[str, pa.Array], k: np.ndarray) -> pa.Reco
     return rows.rename_columns([*keys, "k"]).combine_chunks().to_batches()[0]
 
 
-def _chunks(longest: int, trigger: int, long: int):
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(languages, lower-cased bytes, starts and ends of words, row of each, whether it begins a piece, its hash, hash of it with the next and the language)."""
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            langs = np.array([int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") for x in part.column("lang").to_pylist()], np.uint64)
+            for rows, offs, data in _blocks(part):
+                low, starts, ends, per = split_bytes(offs, data, _WORD)
+                if not len(starts):
+                    continue
+                row = np.repeat(rows, per)
+                seps = np.concatenate(([0], np.cumsum(_END[low])))
+                first = np.ones(len(starts), bool)
+                first[1:] = seps[starts[1:]] != seps[ends[:-1]]
+                heads = np.cumsum(per) - per
+                first[heads[per > 0]] = True
+                words = hashes(low, starts, ends)
+                yield part.column("lang"), low, starts, ends, row, first, words, mix(grams(words, 2) ^ langs[row[:-1]])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, k) of the pairs of neighbouring words."""
+    for *_, first, _, pair in _parsed(batches):
+        h, k = np.unique(pair[~first[1:]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k)], ["h", "k"])
+
+
+def _chunks(longest: int, trigger: int, long: int, bits: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                for rows, offs, data in _blocks(part):
-                    low, starts, ends, per = split_bytes(offs, data, _WORD)
-                    if not len(starts):
-                        continue
-                    row = np.repeat(rows, per)
-                    seps = np.concatenate(([0], np.cumsum(_END[low])))
-                    first = np.ones(len(starts), bool)
-                    first[1:] = seps[starts[1:]] != seps[ends[:-1]]
-                    heads = np.cumsum(per) - per
-                    first[heads[per > 0]] = True
-                    piece = np.append(np.flatnonzero(first), len(starts))
-                    at = _cuts(first, grams(hashes(low, starts, ends), longest - 1), trigger, long)
-                    nxt = np.append(at[1:], len(starts))
-                    stop = np.minimum(nxt + longest - 1, piece[np.searchsorted(piece, at, "right")])
-                    # words in a row, each with one space after it
-                    size = ends - starts
-                    begin = np.concatenate(([0], np.cumsum(size + 1)))
-                    words = np.full(begin[-1], 0x20, np.uint8)
-                    words[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = low[_WORD[low]]
-                    text = _slice_strings(words, begin[at], begin[stop] - 1)
-                    lang = part.column("lang").take(pa.array(row[at]))
-                    yield _summed(lang, {"chunk": text, "tail": pa.array((stop - nxt).clip(0))}, np.ones(len(at), np.int64))
+        known = bits.value
+        for langs, low, starts, ends, row, first, words, pair in _parsed(batches):
+            place = pair % np.uint64(64 * len(known))
+            first[1:] |= (known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 0
+            piece = np.append(np.flatnonzero(first), len(starts))
+            at = _cuts(first, grams(words, longest - 1), trigger, long)
+            nxt = np.append(at[1:], len(starts))
+            stop = np.minimum(nxt + longest - 1, piece[np.searchsorted(piece, at, "right")])
+            # words in a row, each with one space after it
+            size = ends - starts
+            begin = np.concatenate(([0], np.cumsum(size + 1)))
+            text = np.full(begin[-1], 0x20, np.uint8)
+            text[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = low[_WORD[low]]
+            chunk = _slice_strings(text, begin[at], begin[stop] - 1)
+            yield _summed(langs.take(pa.array(row[at])), {"chunk": chunk, "tail": pa.array((stop - nxt).clip(0))}, np.ones(len(at), np.int64))
 
     return run
 
@@ -145,10 +167,24 @@ def _windows(longest: int):
     return run
 
 
-def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, trigger: int = TRIGGER, long: int = LONG) -> DataFrame:
+def frequent_pairs(rows: DataFrame, least: int) -> np.ndarray:
+    """Bits of the hashes of word pairs of (lang, text) that occur ``least`` times or more: 16 a pair, 32 MB at most."""
+    pairs = settled_texts(rows.mapInArrow(_pairs, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).filter(F.col("k") >= least).select("h"))
+    size = 64
+    while size < min(16 * pairs.count(), MOST_BITS):
+        size *= 2
+    place = F.col("h").bitwiseAND(F.lit(size - 1))  # the rest by size, a power of two
+    words = pairs.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, trigger: int = TRIGGER, long: int = LONG, least: int = LEAST) -> DataFrame:
     """(lang, chunk, tail, k): distinct chunks, how many words at their end belong to the next chunk, and how often each is in the parse."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).alias("text")).filter("text is not null")
-    parsed = rows.mapInArrow(_chunks(longest, trigger, long), "lang string, chunk string, tail long, k long")
+    bits = docs.sparkSession.sparkContext.broadcast(frequent_pairs(rows, least))
+    parsed = rows.mapInArrow(_chunks(longest, trigger, long, bits), "lang string, chunk string, tail long, k long")
     return parsed.groupBy("lang", "chunk", "tail").agg(F.sum("k").alias("k"))
 
 
@@ -166,7 +202,7 @@ def frequencies(chunks: DataFrame, longest: int = LONGEST, least: int = LEAST) -
         found = found.union(more)
     # a window cut short by a piece's end is no phrase of its level's size
     words = F.length("gram") - F.length(F.replace("gram", F.lit(" "))) + 1
-    return settled(found).filter((F.col("size") == 0) | (words == F.col("size")))
+    return settled_texts(found).filter((F.col("size") == 0) | (words == F.col("size")))
 
 
 def _exact(c: str) -> str:
@@ -208,7 +244,7 @@ def collocations(
 
     a, l and r are the counts of the phrase and of the parts of its lowest cut, n the language's words.
     """
-    found = frequencies(dictionary(docs, text_col, lang_col, longest, trigger, long), longest, least)
+    found = frequencies(dictionary(docs, text_col, lang_col, longest, trigger, long, least), longest, least)
     best = first(uncovered(scored(found), found, cover), top)
     words = found.filter("size = 0").select("lang", F.col("f").alias("n"))
     return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
