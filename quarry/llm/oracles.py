@@ -6,18 +6,25 @@ from .secret_scan import BASE, RULES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-NEAR_DUP = rf"""
+
+def _linked(words: int, percent: int, columns: str) -> str:
+    """Components of the documents whose sets of shingles are similar, by all pairs that share one."""
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 1, 2))) AS t(i) WHERE len(w) > 0),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS t(i) WHERE len(w) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+links AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
 both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT doc_id AS id, doc_id AS other FROM w UNION SELECT reach.id, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.other),
 top AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN top ON top.id = w.doc_id
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, {columns} FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN top ON top.id = w.doc_id
 """
 
+
+NEAR_DUP = _linked(3, 85, "component_id, w.doc_id = component_id AS kept")
+OVERLAP_JOIN = _linked(5, 80, "component_id")
+
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 DECONTAMINATE = rf"""

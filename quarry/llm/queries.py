@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compress_langid, decontaminate, exact_dedup, fill_middle, katz, license_scan, near_dup, oracles, phrases, quote_chat, secret_scan, unigram_count
+from . import byte_bpe, compress_langid, decontaminate, exact_dedup, fill_middle, katz, license_scan, near_dup, oracles, overlap_join, phrases, quote_chat, secret_scan, unigram_count
 from .runtime import table
 
 
@@ -102,6 +102,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("found")).alias("spans"))
 
 
+def op11_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fill_middle.transform(table(spark, sf_dir, "documents"))
     back = fill_middle.restore(F.col("output"), F.col("form"))
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quote_chat": op8_quote_chat,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op11_overlap_join": op11_overlap_join,
     "op12_fill_middle": op12_fill_middle,
     "op13_phrases": op13_phrases,
 }
@@ -132,6 +137,7 @@ SQL: dict[str, str] = {
     "op3_exact_dedup": OP3_SQL,
     "op9_decontaminate": oracles.DECONTAMINATE,
     "op10_secret_scan": oracles.SECRET_SCAN,
+    "op11_overlap_join": oracles.OVERLAP_JOIN,
     "op12_fill_middle": oracles.FILL_MIDDLE,
     "op13_phrases": oracles.PHRASES,
 }
