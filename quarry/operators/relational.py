@@ -48,6 +48,14 @@ def normalize_text(df: DataFrame, columns: Sequence[str] | None = None, compat:
     return df.withColumns(out) if out else df
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, longer by underscores until no frame has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     present = [k for k in keys if k in df.columns]
     if not present:
@@ -55,7 +63,8 @@ def _one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
     if not order:
         raise ValueError("an order is needed to say which row stays")
     rank = F.row_number().over(Window.partitionBy(*present).orderBy(*order))
-    return df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
+    name = free_name("rank", df)
+    return df.withColumn(name, rank).filter(F.col(name) == 1).drop(name)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -110,14 +119,11 @@ def coalesce_join(left: DataFrame, right: DataFrame, key: str, pairs: Sequence[s
 
 def overwrite(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join where values of other that are neither null nor empty replace those of df; zero and false do replace."""
-    fresh = other.select(*on, *[F.col(c).alias(f"__{c}") for c in other.columns if c not in on])
-    out = df.join(fresh, list(on), "left")
-    kinds = dict(other.dtypes)
-    for c in other.columns:
-        if c not in on:
-            new = F.nullif(F.col(f"__{c}"), F.lit("")) if kinds[c] == "string" else F.col(f"__{c}")
-            out = out.withColumn(c, F.coalesce(new, F.col(c)) if c in df.columns else F.col(f"__{c}")).drop(f"__{c}")
-    return out
+    values, kinds, fresh = [c for c in other.columns if c not in on], dict(other.dtypes), free_name("fresh", df, other)
+    new = F.struct(*[(F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c)).alias(c) for c in values]) if values else F.lit(None)
+    out = df.join(other.select(*on, new.alias(fresh)), list(on), "left")
+    got = {c: F.col(fresh).getField(c) for c in values}
+    return out.withColumns({c: F.coalesce(v, F.col(c)) if c in df.columns else v for c, v in got.items()}).drop(fresh)
 
 
 def last_wins(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
@@ -127,8 +133,8 @@ def last_wins(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[st
 
 def joined_text(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], sep: str, name: str) -> DataFrame:
     """Values of each key as one text, in order. The groups are those of one document or match."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("string").alias("__v"))))
-    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["__v"]), sep).alias(name))
+    rows = F.sort_array(F.collect_list(F.struct(F.struct(*order).alias("order"), F.col(value).cast("string").alias("text"))))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["text"]), sep).alias(name))
 
 
 #: Names that stand for a team that is not known.
@@ -151,8 +157,9 @@ def valid_matches(df: DataFrame, start, end) -> DataFrame:
 
 def until_stop(df: DataFrame, order: str, stop: Column) -> DataFrame:
     """Rows up to the first for which stop holds, that one included: a minimum found first, so no row passes one task."""
-    first = df.filter(stop).agg(F.min(order).alias("__stop"))
-    return df.join(F.broadcast(first), F.col("__stop").isNull() | (F.col(order) <= F.col("__stop"))).drop("__stop")
+    name = free_name("stop", df)
+    first = df.filter(stop).agg(F.min(order).alias(name))
+    return df.join(F.broadcast(first), F.col(name).isNull() | (F.col(order) <= F.col(name))).drop(name)
 
 
 def page_slice(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int = 0) -> DataFrame:

@@ -83,3 +83,16 @@ def test_filters_and_order(spark):
     assert rows(R.counts(a=seq, b=seq.limit(0))) == [("a", 6), ("b", 0)]
     assert rows(R.last_wins(seq.withColumn("k", F.lit(1)), ["k"], "s", ["i"])) == [(1, False)]
     assert rows(R.joined_text(seq.withColumn("k", F.lit(1)), ["k"], "i", ["i"], "|", "t")) == [(1, "0|1|2|3|4|5")]
+
+
+def test_helper_columns_meet_no_column_of_the_frame(spark):
+    """Every name that the operators use for themselves, as columns of the frame: they come back as they were."""
+    names = ["rank", "rank_", "stop", "fresh", "text", "order", "__rank", "__stop", "__v"]
+    df = spark.createDataFrame([(k % 2, k, *[f"{n}{k}" for n in names]) for k in range(6)], ["key", "n", *names])
+    whole = {r["n"]: r for r in df.collect()}
+    assert [whole[r["n"]] for r in R.keep_first(df, ["key"], [F.col("n")]).collect()] == [whole[k] for k in (0, 1)]
+    assert sorted(whole[r["n"]] == r for r in R.until_stop(df, "n", F.col("n") >= 3).collect()) == [True] * 4
+    other = spark.createDataFrame([(0, "new", "", None)], "n long, rank string, stop string, fresh string")
+    got = {r["n"]: r for r in R.overwrite(df, other, ["n"]).select(df.columns).collect()}
+    assert got[0].rank == "new" and (got[0].stop, got[0].fresh) == ("stop0", "fresh0") and all(got[k] == whole[k] for k in range(1, 6))
+    assert R.joined_text(df, ["key"], "text", ["order"], "+", "__v").filter("key = 0").first()[1] == "text0+text2+text4"
