@@ -13,7 +13,7 @@ T = percent * (n + m) / (100 + percent) in common, so a partner of a set occurs
    alone counted first: partners meet in one of them. In each list all units go with the smallest one there, not in pairs;
    links so found make components.
 4. Then only units outside a list's largest component look for partners, and only in other components: a component
-   in a list is one row, however many units of it are there.
+   in a list is one row, however many units of it are there, and lists of the same components are one.
 5. Every search is of sets in a group (partners of one unit, or a part of one component), brought together by a shuffle. The task
    builds the inverted lists of the group, and a query divides its lists: the L longest are left, the short ones are
    merged by a heap, which skips by bisection what cannot occur T - L times, and the long ones are probed by bisection for what
@@ -48,8 +48,8 @@ from .words import SPACED, hashes, mix, shingles, slices, split
 
 SHINGLE = 5
 PERCENT = 80
-CHUNK = 1 << 21  # n-grams packed at once
-RANGE = 1 << 22  # n-grams of a range of hashes
+CHUNK = 1 << 19  # n-grams packed at once
+RANGE = 1 << 20  # n-grams of a range of hashes
 SHARE = 1 << 18
 COMMON = 1024  # shorter lists are never called frequent
 GROUP = 1 << 18  # n-grams of a group in one task
@@ -301,14 +301,20 @@ def _across(prefix: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -
     # sets that can match differ by this factor at most, so they are of one step of sizes or of neighbouring ones
     step = F.floor(F.log("n") / (math.log(100 / min(percent, 99)) * 1.0001))
     rows = settled(prefix.join(own.drop("n"), "unit").withColumn("step", step))
+    rows = rows.withColumn("group", F.concat_ws(":", "component", "part"))
     per = rows.groupBy("s", "component").agg(F.count("*").alias("k"))
-    lists = per.groupBy("s").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1").select("s", F.col("top.component").alias("main"))
-    rows = settled(dealt(rows, settled(lists), ["s"]).withColumn("group", F.concat_ws(":", "component", "part")))
-    rows = settled(parted(rows, ["s"], "group", "deal"))
-    ask = rows.filter("component <> main").select("s", "unit", F.col("component").alias("own"), F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"), "deals")
-    ask = ask.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
-    held = rows.select("s", "step", "deal", "group", "component", "main").distinct()
-    routes = ask.join(held, ["s", "step", "deal"]).filter((F.col("own") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("own") < F.col("component"))))
+    tops = per.groupBy("s").agg(F.max(F.struct("k", "component")).alias("top"), F.count("*").alias("kinds")).filter("kinds > 1")
+    # lists with the same groups are of one class, which is searched once
+    marks = [F.bit_xor(F.xxhash64("step", "group", F.lit(k))) for k in (1, 2)]
+    held = rows.select("s", "step", "group").distinct().groupBy("s").agg(F.xxhash64(*marks, F.count("*")).alias("held"))
+    lists = tops.join(held, "s").select("s", F.col("top.component").alias("main"), F.xxhash64("top.component", "held").alias("class"))
+    rows = settled(dealt(rows, settled(lists), ["s"]).select("unit", "step", "component", "group", "main", "class"))
+    classes = settled(rows.select("class", "step", "group", "component", "main").distinct())
+    classes = settled(parted(classes, ["class"], "group", "deal"))
+    ask = settled(rows.filter("component <> main").select("class", "unit", "step", F.col("component").alias("own")).distinct())
+    ask = dealt(ask, classes.groupBy("class").agg(F.max("deals").alias("deals")), ["class"])
+    ask = ask.withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)]))).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    routes = ask.join(classes.drop("deals"), ["class", "step", "deal"]).filter((F.col("own") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("own") < F.col("component"))))
     routes = settled(routes.select("unit", "group").distinct())
     routes = settled(parted(routes.join(own.select("unit", "n"), "unit"), ["group"], "unit", "turn", "n", GROUP))
     # a group with many queries is searched in several tasks, each with its lists
