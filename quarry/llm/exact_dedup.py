@@ -127,36 +127,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return whole.select("id", keep.alias("keep_id"), F.coalesce("all_size", "run_size").alias("group_size"), F.coalesce(F.col("id") == keep, F.lit(False)).alias("kept"), "text_sha256")
 
 
-def _firsts(names: list[str]):
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run of one sorted range the first row, whole; head and tail mark those of the first and the last run."""
+    part, last, held, at_head = _part(), None, None, True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, held, at_head = _part(), None, None, True
-
-        def out(rows: pa.RecordBatch, tail: bool) -> pa.RecordBatch:
-            nonlocal at_head
-            n = rows.num_rows
-            head = np.zeros(n, bool)
-            head[0], at_head = at_head, False
-            marks = [pa.array(np.full(n, part, np.int32)), pa.array(head), pa.array(np.full(n, tail))]
-            return pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *marks], [*names, "__part", "__head", "__tail"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            text = batch.column("__norm")
-            heads = np.flatnonzero(~_same(text, last))
-            if len(heads):
-                if held is not None:
-                    yield out(held, False)
-                firsts = batch.take(pa.array(heads))
-                if len(heads) > 1:
-                    yield out(firsts.slice(0, len(heads) - 1), False)
-                held, last = firsts.slice(len(heads) - 1), text[int(heads[-1])].as_py()
-        if held is not None:
-            yield out(held, True)
-
-    return run
+    def out(rows: pa.RecordBatch, tail: bool) -> pa.RecordBatch:
+        nonlocal at_head
+        n = rows.num_rows
+        head = np.zeros(n, bool)
+        head[0], at_head = at_head, False
+        marks = [pa.array(np.full(n, part, np.int32)), pa.array(head), pa.array(np.full(n, tail))]
+        return pa.RecordBatch.from_arrays([rows.column("row"), *marks], ["row", "part", "head", "tail"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        text = batch.column("norm")
+        heads = np.flatnonzero(~_same(text, last))
+        if len(heads):
+            if held is not None:
+                yield out(held, False)
+            firsts = batch.take(pa.array(heads))
+            if len(heads) > 1:
+                yield out(firsts.slice(0, len(heads) - 1), False)
+            held, last = firsts.slice(len(heads) - 1), text[int(heads[-1])].as_py()
+    if held is not None:
+        yield out(held, True)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,13 +161,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told by their place in the sort, not by their ids: of rows of one id and text one stays, rows of one id
     and different texts do not touch each other, and a row without an id stays only if no row of its group has one.
     """
-    names = docs.columns
-    keyed = _ranged(docs.withColumns({"__norm": normalised(F.col(text_col)), "__place": _number(id_col)}), "__norm", "__place").drop("__place")
-    schema = docs.limit(0).withColumns({"__part": F.lit(0), "__head": F.lit(True), "__tail": F.lit(True)}).schema
-    firsts = settled_texts(keyed.mapInArrow(_firsts(names), schema))
+    # a row goes in one column, so that no name of its columns meets one of these
+    rows = docs.select(F.struct(*docs.columns).alias("row"), normalised(F.col(text_col)).alias("norm"), _number(id_col).alias("place"))
+    schema = rows.limit(0).select("row", F.lit(0).alias("part"), F.lit(True).alias("head"), F.lit(True).alias("tail")).schema
+    firsts = settled_texts(_ranged(rows, "norm", "place").drop("place").mapInArrow(_firsts, schema))
     # the first run of a range is dropped where its text has begun in an earlier one
-    edges = firsts.filter("__head or __tail").select("__part", "__head", normalised(F.col(text_col)).alias("edge"))
-    began = edges.groupBy("edge").agg(F.min("__part").alias("began"), F.max("__part").alias("ended")).filter("began < ended")
-    again = edges.filter("__head").join(began, "edge").filter("__part > began").select("__part")
-    heads = firsts.filter("__head").join(again, "__part", "left_anti")
-    return firsts.filter("not __head").unionByName(heads).select(*names)
+    edges = firsts.filter("head or tail").select("part", "head", normalised(F.col("row").getField(text_col)).alias("edge"))
+    began = edges.groupBy("edge").agg(F.min("part").alias("began"), F.max("part").alias("ended")).filter("began < ended")
+    again = edges.filter("head").join(began, "edge").filter("part > began").select("part")
+    heads = firsts.filter("head").join(again, "part", "left_anti")
+    return firsts.filter("not head").unionByName(heads).select("row.*")

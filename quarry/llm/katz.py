@@ -453,14 +453,25 @@ def fit(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text",
     return Model(counts, parts, known, order, ranges)
 
 
-def sizes(counts: DataFrame) -> Sizes:
-    """Counts of counts of all tables, a few numbers for each range."""
+def _totals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(m, k, n): counts of counts of a partition's tables, number k of order m; of order 0 the largest places of chunks."""
     total: dict[int, np.ndarray] = {}
-    places = np.zeros(2, np.int64)
-    for r in counts.filter("kind = 'table'").select("m", "c", "d" if "d" in counts.columns else F.lit(None).alias("d")).collect():
-        total[r["m"]] = total.get(r["m"], 0) + unpack(r["c"])
-        places = np.maximum(places, unpack(r["d"])) if r["d"] is not None else places
-    return Sizes({m: tuple(x[: FIT + 1].tolist()) for m, x in total.items()}, {m: int(x[:-1].sum()) for m, x in total.items()}, int(total[1][-1]) if 1 in total else 0, *(int(x) + 1 for x in places))
+    for frame in frames:
+        for m, c, d in frame[["m", "c", "d"]].itertuples(index=False):
+            total[m] = total.get(m, 0) + unpack(c).astype(np.int64)
+            if d is not None:
+                total[0] = np.maximum(total.get(0, 0), unpack(d).astype(np.int64))
+    for m, x in total.items():
+        yield pd.DataFrame({"m": np.full(len(x), m, np.int32), "k": np.arange(len(x), dtype=np.int32), "n": x})
+
+
+def sizes(counts: DataFrame) -> Sizes:
+    """Counts of counts of all tables, summed in Spark: a few numbers for each order come to the driver."""
+    tables = counts.filter("kind = 'table'").select("m", "c", "d" if "d" in counts.columns else F.lit(None).cast("binary").alias("d"))
+    told = tables.mapInPandas(_totals, "m int, k int, n long").groupBy("m", "k").agg(F.sum("n").alias("sum"), F.max("n").alias("most")).collect()
+    total = {m: [r["sum"] for r in sorted(told, key=lambda r: r["k"]) if r["m"] == m] for m in {r["m"] for r in told if r["m"]}}
+    places = [r["most"] for r in sorted(told, key=lambda r: r["k"]) if r["m"] == 0] or [0, 0]
+    return Sizes({m: tuple(x[: FIT + 1]) for m, x in total.items()}, {m: int(sum(x[:-1])) for m, x in total.items()}, total[1][-1] if 1 in total else 0, *(int(x) + 1 for x in places))
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, chunk: int = CHUNK, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -480,18 +491,28 @@ def _named(out: DataFrame, known: Sizes, order: int) -> DataFrame:
 
 
 def save(model: Model, path: str) -> None:
-    """Write the model's tables as Parquet, partitioned by kind, order and range of hashes."""
-    model.tables().write.partitionBy("kind", "m", "bucket").parquet(path)
+    """Write the model's tables as Parquet, partitioned by kind, order and range of hashes, and a row ``model`` of how they were made."""
+    made = f"{model.order} {model.ranges} {K} {FIT}".encode()
+    told = [("model", 0, 0, made, None, None)]
+    row = model.counts.sparkSession.createDataFrame(told, "kind string, m int, bucket int, a binary, b binary, c binary")
+    model.tables().unionByName(row).write.partitionBy("kind", "m", "bucket").parquet(path)
 
 
 def evaluate(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """The columns of ``score`` but train for any docs, by the saved model at path, whose tables are read and not changed.
 
-    Each chunk asks the tables for its n-grams and their histories, a range at a time, and backs off token by token.
+    Each chunk asks the tables for its n-grams and their histories, a range at a time, and backs off token by token. A model
+    that was saved without what tells how it was made, or with other discounts than this library's, is an error.
     """
-    saved = docs.sparkSession.read.parquet(path)
+    every = docs.sparkSession.read.parquet(path)
+    made = every.filter("kind = 'model'").select("a").collect()
+    if len(made) != 1:
+        raise ValueError(f"{path} does not tell how the model was made: save it again")
+    order, ranges, *discounts = map(int, bytes(made[0]["a"]).split())
+    if discounts != [K, FIT]:
+        raise ValueError(f"{path} was made with other discounts: {discounts}, not {[K, FIT]}")
+    saved = every.filter("kind <> 'model'")
     known = sizes(saved)
-    order, ranges = max(known.seen), saved.agg(F.max("bucket")).first()[0] + 1
     rows = _input(docs, F.lit(False), id_col, text_col)
     asks = rows.mapInArrow(_ask_saved(order, ranges, chunk), _ROW)
     tables = saved.select("kind", "m", "bucket", F.lit(-1).cast("long").alias("chunk"), "a", "b", "c", *[F.lit(None).cast("binary").alias(x) for x in "def"])

@@ -216,7 +216,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """docs with one row of each group of near duplicates, the one with the smallest id; all columns stay.
 
-    Rows are told by id and text, so that rows of one id and other texts are not touched; of repeated rows one stays.
+    Rows are told by id and text, so that rows of one id and other texts are not touched; of repeated rows one stays, but
+    rows without a set, which are linked with nothing, all stay.
     Only the rows that go, and those that repeat, are joined with docs.
     """
     found = _decided(docs, id_col, text_col, shingle, percent, rows, miss).filter("n > 0").select(F.coalesce("id", F.lit(int(NO_ID))).alias("__id"), F.col("text_hash").alias("__hash"), "node")
@@ -226,10 +227,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # counted first: where they are few the texts need no shuffle
     lost, twice = marked.select("__id", "__hash"), marked.filter("stays").select("__id", "__hash")
     lost = F.broadcast(lost) if marked.count() <= FEW else lost
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))), "__hash": F.xxhash64(text_col)})
-    out = keyed.join(lost, ["__id", "__hash"], "left_anti").select(*docs.columns)
+    # a row goes in one column, so that no name of its columns meets one of these
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("__id"), F.xxhash64(text_col).alias("__hash"))
+    out = keyed.join(lost, ["__id", "__hash"], "left_anti").select("row.*")
     if twice.isEmpty():
         return out
     rank = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__id"))
     again = keyed.join(twice, ["__id", "__hash"], "left_semi").withColumn("__rank", rank).filter("__rank = 1")
-    return out.unionByName(again.select(*docs.columns))
+    return out.unionByName(again.select("row.*"))

@@ -131,3 +131,17 @@ def test_shared_bands(spark):
         assert {key for key in keys[i] if any(key in keys[j] for j in keys if j != i)} <= got.get(i, set()) <= keys[i]
     alone = spark.createDataFrame([(1, [1, 2], [3, 4]), (2, [1, 5], [6, 7]), (3, [8, 9], [10, 11])], df.schema)
     assert near_dup.shared_bands(alone, 2).count() == 0
+
+
+def test_no_name_of_a_column_is_taken(spark):
+    """Each helper name of the dedup operators as a column: values of the rows that stay are as they were."""
+    from quarry.llm import exact_dedup
+
+    names = ["row", "norm", "place", "part", "head", "tail", "edge", "id", "stays", "__id", "__hash", "__rank", "__norm", "__place", "__lead", "__whole", "__part", "__head", "__tail"]
+    text = " ".join(f"w{k}" for k in range(40))
+    texts = [text, text + " ", text + " more", "other words " * 9, "other words " * 9, None, None, text]
+    df = spark.createDataFrame([(k, t, *[f"{n}-{k}" for n in names]) for k, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    want = {r.doc_id: r for r in df.collect()}
+    for call, stay in ((exact_dedup.deduplicate, [0, 1, 2, 3, 5]), (near_dup.deduplicate, [0, 3, 5, 6])):
+        got = {r.doc_id: r for r in call(df).collect()}
+        assert sorted(got) == stay and all(got[k] == want[k] for k in stay), call
