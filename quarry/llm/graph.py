@@ -16,12 +16,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in links: component is the smallest id reachable.
 
     Each round takes the smallest label of all neighbours, aggregated before the shuffle, and then the
-    label of that label, so chains halve; labels are written out after each round. The links of an id with many, counted
-    once, are dealt in parts, to each of which its label goes; so are the members of a label.
+    label of that label, so chains halve; labels are written out after each round. Where no neighbour has a lower label, all labels
+    of a component are the same and the rounds end. The links of an id with many, counted once, are dealt in parts, to each of which
+    its label goes; so are the members of a label.
     """
     ways = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
     both = settled(links.filter(F.col(a) != F.col(b)).select(F.inline(ways)).distinct())
-    both = settled(parted(both, ["y"], "x", "part"))
+    both = parted(both, ["y"], "x", "part")
     first = both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m"))
     parts = both.groupBy(F.col("y").alias("id")).agg(F.max("parts").alias("parts"))
     labels = settled(first.join(parts, "id").select("id", F.least("id", "m").alias("c"), "parts"))
@@ -30,11 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         told = labels.select(F.col("id").alias("y"), "c", every(F.col("parts")).alias("part"))
         near = both.select("x", "y", "part").join(told, ["y", "part"]).groupBy(F.col("x").alias("id")).agg(F.min("c").alias("near"))
         lower = settled(labels.join(near, "id").select("id", "parts", F.col("c").alias("was"), F.least("c", "near").alias("c")))
+        if lower.filter("c <> was").isEmpty():
+            return lower.select("id", F.col("c").alias("component"))
         used = lower.select(F.col("c").alias("id")).distinct()
         tops = lower.join(used, "id").select(F.col("id").alias("c"), F.col("c").alias("top"), every(F.lit(SPREAD)).alias("deal"))
         dealt = lower.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(SPREAD)).cast("int"))
-        labels_now = settled(dealt.join(tops, ["c", "deal"]).select("id", "parts", "was", F.least("c", "top").alias("c")))
-        moved = labels_now.filter("c <> was").limit(1).count()
-        labels = labels_now.select("id", "c", "parts")
-        if not moved:
-            return labels.select("id", F.col("c").alias("component"))
+        labels = settled(dealt.join(tops, ["c", "deal"]).select("id", F.least("c", "top").alias("c"), "parts"))

@@ -248,34 +248,34 @@ class Lists:
 
 
 def _searched(percent: int, one: bool):
-    """(a, b): query and match, of rows (grp, query, unit, set) in the order of group, what is searched before the queries."""
+    """(a, b): names of query and match, of rows (grp, query, name, set) in the order of group, what is searched before the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, units, sets, lists = None, [], [], None
+        now, names, sets, lists = None, [], [], None
         for batch in batches:
             a, b = [], []
             for k in range(batch.num_rows):
-                grp, query, unit = (batch.column(c)[k].as_py() for c in ("grp", "query", "unit"))
+                grp, query, name = (batch.column(c)[k].as_py() for c in ("grp", "query", "name"))
                 row = batch.column("set")[k].values.to_numpy()
                 if grp != now:
-                    now, units, sets, lists = grp, [], [], None
+                    now, names, sets, lists = grp, [], [], None
                 if not query:
-                    units.append(unit)
+                    names.append(name)
                     sets.append(row.view(np.uint64).copy())
-                elif units:
+                elif names:
                     lists = Lists(sets, percent) if lists is None else lists
                     for x in lists.search(row.view(np.uint64), one):
-                        a.append(unit)
-                        b.append(units[x])
+                        a.append(name)
+                        b.append(names[x])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
 def found(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, one: bool) -> DataFrame:
-    """Links (a, b), a table, of queries (grp, unit) with members (grp, unit) of the same group."""
-    rows = members.select("grp", "unit", F.lit(False).alias("query")).union(queries.select("grp", "unit", F.lit(True).alias("query"))).join(sets, "unit")
-    rows = rows.select("grp", "query", "unit", "set").repartition(partitions(sets.sparkSession), "grp").sortWithinPartitions("grp", "query")
+    """Links (a, b), a table, of the names of queries (grp, unit, name) with those of members (grp, unit, name) of the same group."""
+    rows = members.select("grp", "unit", "name", F.lit(False).alias("query")).union(queries.select("grp", "unit", "name", F.lit(True).alias("query"))).join(sets, "unit")
+    rows = rows.select("grp", "query", "name", "set").repartition(partitions(sets.sparkSession), "grp").sortWithinPartitions("grp", "query")
     return settled_texts(rows.mapInArrow(_searched(percent, one), "a long, b long"))
 
 
@@ -290,14 +290,15 @@ def _stars(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     stars = dealt(prefix, hubs.select("s", F.col("hub.unit").alias("hub"), F.col("hub.n").alias("hub_n")), ["s"])
     fits = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     stars = settled(stars.filter((F.col("unit") != F.col("hub")) & fits).select("hub", "unit", "n").distinct())
-    stars = settled(parted(stars, ["hub"], "unit", "part", "n", GROUP).withColumn("grp", F.concat_ws(":", "hub", "part")))
-    return found(stars, stars.select("grp", F.col("hub").alias("unit")).distinct(), sets, percent, False)
+    stars = parted(stars, ["hub"], "unit", "part", "n", GROUP).withColumn("grp", F.concat_ws(":", "hub", "part"))
+    hub = F.col("hub")
+    return found(stars.withColumn("name", F.col("unit")), stars.select("grp", hub.alias("unit"), hub.alias("name")).distinct(), sets, percent, False)
 
 
 def _across(prefix: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components of near: for each unit and each part of another component that share a list, one if there is any."""
+    """Links (a, b) of components of near: for each unit and each part of another component that share a list, one if there is any."""
     own = prefix.select("unit", "n").distinct().join(near.withColumnRenamed("id", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    own = settled(parted(settled(own), ["component"], "unit", "part", "n", GROUP))
+    own = parted(settled(own), ["component"], "unit", "part", "n", GROUP)
     # sets that can match differ by this factor at most, so they are of one step of sizes or of neighbouring ones
     step = F.floor(F.log("n") / (math.log(100 / min(percent, 99)) * 1.0001))
     rows = settled(prefix.join(own.drop("n"), "unit").withColumn("step", step))
@@ -310,19 +311,19 @@ def _across(prefix: DataFrame, near: DataFrame, sets: DataFrame, percent: int) -
     lists = tops.join(held, "s").select("s", F.col("top.component").alias("main"), F.xxhash64("top.component", "held").alias("class"))
     rows = settled(dealt(rows, settled(lists), ["s"]).select("unit", "step", "component", "group", "main", "class"))
     classes = settled(rows.select("class", "step", "group", "component", "main").distinct())
-    classes = settled(parted(classes, ["class"], "group", "deal"))
+    classes = parted(classes, ["class"], "group", "deal")
     ask = settled(rows.filter("component <> main").select("class", "unit", "step", F.col("component").alias("own")).distinct())
     ask = dealt(ask, classes.groupBy("class").agg(F.max("deals").alias("deals")), ["class"])
     ask = ask.withColumn("step", F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)]))).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
     routes = ask.join(classes.drop("deals"), ["class", "step", "deal"]).filter((F.col("own") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("own") < F.col("component"))))
-    routes = settled(routes.select("unit", "group").distinct())
-    routes = settled(parted(routes.join(own.select("unit", "n"), "unit"), ["group"], "unit", "turn", "n", GROUP))
+    routes = settled(routes.select("unit", "group").distinct().join(own.select("unit", "n", F.col("component").alias("name")), "unit"))
+    routes = parted(routes, ["group"], "unit", "turn", "n", GROUP)
     # a group with many queries is searched in several tasks, each with its lists
     asked = routes.groupBy("group").agg(F.max("turns").alias("turns"))
-    members = own.select("unit", F.concat_ws(":", "component", "part").alias("group")).join(asked, "group")
+    members = own.select("unit", F.col("component").alias("name"), F.concat_ws(":", "component", "part").alias("group")).join(asked, "group")
     members = members.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     grp = F.concat_ws(":", "group", "turn").alias("grp")
-    return found(members.select(grp, "unit"), routes.select(grp, "unit"), sets, percent, True)
+    return found(members.select(grp, "unit", "name"), routes.select(grp, "unit", "name"), sets, percent, True)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, share: int = SHARE, common: int = COMMON) -> DataFrame:
@@ -357,9 +358,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     sets = settled_texts(keyed.join(wanted, "unit", "left_semi").mapInArrow(_unit_sets(shingle), "unit long, set array<long>")).dropDuplicates(["unit"])
     near = components(_stars(prefix, sets, percent))
     more = _across(prefix, near, sets, percent)
-    final = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)).withColumnRenamed("id", "unit")
-    tops = settled(units.select("unit", "least").join(final, "unit", "left").select("unit", "least", F.coalesce("component", "unit").alias("node")))
+    tops = settled(units.select("unit", "least").join(near.withColumnRenamed("id", "unit"), "unit", "left").select("unit", "least", F.coalesce("component", "unit").alias("node")))
     ids = tops.groupBy("node").agg(F.min("least").alias("component_id"))
+    if not more.isEmpty():
+        joined = components(more).withColumnRenamed("id", "node")
+        ids = settled(ids.join(joined, "node", "left").select("node", F.col("component_id").alias("least"), F.coalesce("component", "node").alias("top")))
+        ids = dealt(ids.select("node", "top"), ids.groupBy("top").agg(F.min("least").alias("component_id")), ["top"]).select("node", "component_id")
     named = dealt(tops.drop("least"), ids, ["node"]).select("unit", "component_id")
     out = dealt(whole.select("row", "n", "unit"), named, ["unit"]).select("row", "n", "component_id")
     out = out.union(signed.filter("n = 0").select("row", "n", F.col("row.id").alias("component_id")))

@@ -157,3 +157,23 @@ def test_components(spark, monkeypatch, part):
     del top[5]
     got = graph.components(spark.createDataFrame(links, "a long, b long"))
     assert {r["id"]: r["component"] for r in got.collect()} == top
+
+
+def test_few_tables(spark, monkeypatch):
+    """Components without a hot id, whose labels do not change, write no table that is the one before, and sum no rows."""
+    written = []
+    for module in (graph, skew):
+        monkeypatch.setattr(module, "settled", lambda df, keep=module.settled: written.append(df.columns) or keep(df))
+    links = spark.createDataFrame([(1, k) for k in range(2, 9)] + [(20, 21)], "a long, b long")
+    got = {r["id"]: r["component"] for r in graph.components(links).collect()}
+    assert got == {k: 1 for k in range(1, 9)} | {20: 20, 21: 20}
+    assert written == [["x", "y"], ["y", "k"], ["id", "c", "parts"], ["id", "parts", "was", "c"]]
+
+
+def test_many_hot_keys(spark, monkeypatch):
+    """With more hot keys than may be sent only those with a part in that many of the rows are told."""
+    monkeypatch.setattr(skew, "FEW", 3)
+    monkeypatch.setattr(skew, "PART", 2)
+    rows = spark.createDataFrame([(k, j) for k, n in enumerate([3, 3, 3, 3, 20]) for j in range(n)], "key int, v int")
+    assert [tuple(r) for r in skew.often(rows, ["key"]).collect()] == [(4, 20)]
+    assert skew.often(rows.filter("v < 2"), ["key"]) is None
