@@ -196,6 +196,31 @@ def test_trie():
     assert got == [unigram_count.Trie(scores, longest).count(w) for w in words] and sorted(map(trie.count, words)) == sorted(got)
 
 
+def test_pieces():
+    """Only pieces that end at a character are tried, all of them, and no other substring is looked up."""
+
+    class Scores(dict):
+        asked = 0
+
+        def get(self, *key):
+            Scores.asked += 1
+            return super().get(*key)
+
+    rng = random.Random(8)
+    scores = Scores({"".join(rng.choice("abé") for _ in range(rng.randint(1, 5))): -rng.randint(1, 9) / 2 for _ in range(60)})
+    pieces, trie = unigram_count.Pieces(scores, 4), unigram_count.Trie(scores, 4)
+    for _ in range(300):
+        word, state, best = "".join(rng.choice("abéx") for _ in range(rng.randint(1, 20))), 0, [(0.0, 0)]
+        for j, char in enumerate(word, 1):
+            state = pieces.step(state, char)
+            held = {(j - i, scores[word[i:j]]) for i in range(max(0, j - 4), j) if word[i:j] in scores}
+            assert set(pieces.ends[state]) == held and len(pieces.ends[state]) == len(held)
+            n = len(char.encode())
+            best.append(max([(best[j - 1][0] + unigram_count.BYTE_SCORE * n, best[j - 1][1] - n), *((best[j - k][0] + x, best[j - k][1] - 1) for k, x in held)]))
+        assert trie.count(word) == -best[-1][1]
+    assert Scores.asked == 0
+
+
 # --- licences
 
 
