@@ -162,6 +162,11 @@ def half_scores(spans: Column) -> Column:
     side of the first span decides; sides swap in the second half, and overtime is ignored.
     """
     good = F.filter(spans, lambda s: s["side"].isin("CT", "T") & s["rounds"].isNotNull())
+    # a lambda's argument is worked out once, a column in an expression as often as it is named
+    return F.get(F.transform(F.array(good), _halves), F.lit(0))
+
+
+def _halves(good: Column) -> Column:
     at = lambda k: F.get(good, F.lit(k - 1))["rounds"]
     enough, ct = F.size(good) >= 4, F.get(good, F.lit(0))["side"] == "CT"
     pick = lambda a, b: F.when(enough, F.when(ct, at(a)).otherwise(at(b)))

@@ -3,8 +3,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import schemas
+from quarry import page_queries, schemas
 from quarry.config import JobConfig
+from quarry.operators import extract
 from quarry.plans import build, enrich, load
 from quarry.sources import readers, writers
 from quarry.streaming import upsert
@@ -232,3 +233,24 @@ def test_streaming_upsert(spark, tmp_path):
         q.awaitTermination()
         spark.createDataFrame([(1, 2, "c"), (2, 0, "old")], "k int, o int, v string").write.mode("ignore").parquet(str(tmp_path / "in/two"))
     assert sorted((r.k, r.v) for r in state["now"].filter(F.col("o") > 0).collect()) == [(1, "c"), (2, "b")]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_maps_by_the_vetoes_of_their_page(spark):
+    """As by a join with all veto steps, and no row moves."""
+    pages = spark.createDataFrame([("1", MATCH), ("2", MATCH.replace("picked mirage", "picked Nuke")), ("3", ""), ("4", None)], "match_id string, html string")
+    read = extract.match_pages(pages, relations=["vetoes", "maps"])
+    assert read.columns == ["match_id", "vetoes", "maps", "error"]
+    got = extract.match_maps(read)
+    assert rows_of(got, "match_id", "map_no") == rows_of(extract.match_maps(read, extract.veto_steps(read)), "match_id", "map_no")
+    assert got.count() == 6 and shuffles(got) == 0
+
+
+@pytest.mark.parametrize("name, most", [("match_page_maps", 1)])
+def test_pages_are_not_shuffled(spark, name, most):
+    """What pages are written from moves, and what is read from them."""
+    got = page_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert shuffles(got) <= most
