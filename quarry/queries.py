@@ -290,7 +290,7 @@ _PLAIN = r"trim(regexp_replace(replace(replace(replace(replace(replace({}, '&lt;
 
 @_query("SELECT page_id, " + _PLAIN.format(r"regexp_extract(html, '<title>([^<]*)</title>', 1)") + " AS title FROM pages")
 def html_title(spark, sf_dir):
-    return extract.titles(_t(spark, sf_dir, "pages")).select("page_id", "title")
+    return extract.plain_titles(_t(spark, sf_dir, "pages"))
 
 
 @_query(r"""

@@ -1,9 +1,10 @@
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import page_queries, schemas
+from quarry import page_queries, queries, schemas
 from quarry.config import JobConfig
 from quarry.operators import extract
 from quarry.plans import build, enrich, load
@@ -254,3 +255,14 @@ def test_pages_are_not_shuffled(spark, name, most):
     """What pages are written from moves, and what is read from them."""
     got = page_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert shuffles(got) <= most
+
+
+def test_titles_equal_the_sql_and_those_of_a_browser(spark, tmp_path):
+    """References without a semicolon, quotes, markup and odd spaces in titles: the query as its SQL, titles() as HTML has it."""
+    titles = ["a &amp", "&quot;b&quot; &lt;c&gt; &#x27;d&#x27;", "&amp;lt; &amp;amp;lt;", " e\t\n\x0b f\xa0\u2003g ", "h<b>i</b></title><title>j", "&nbsp;k&eacute;&", ""]
+    pages = [f"<html><title>{t}</title><h1>x</h1>" for t in titles] + ["<TITLE>l</TITLE>", "<title lang=en>m</title>", "<p>", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = duckdb.sql(queries.SQL["html_title"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in queries.QUERIES["html_title"](spark, str(tmp_path)).select("page_id", "title").collect()) == sorted(want)
+    read = {r.page_id: r.title for r in extract.titles(spark.read.parquet(str(tmp_path / "pages.parquet"))).collect()}
+    assert read[0] == "a &" and read[1] == '"b" <c> \'d\'' and read[7] == "l" and read[8] == "m"
