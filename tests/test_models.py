@@ -222,3 +222,27 @@ def test_audit(spark):
     assert abs(top["y"] - sum(r[1] == "y" for r in rows)) <= len(rows) / 1000 * 4
     assert audit.repeated_keys(df, ["d"]).count() == 40
     assert audit.broken_references(df, "name", spark.createDataFrame([("x",), ("y",)], "n string"), "n").count() == sum(r[1] not in (None, "x", "y") for r in rows)
+
+
+def test_elo_in_parts_equals_a_loop(spark):
+    """Rounds that send ratings between parts rate as a loop does, to the last bit, wherever teams are, and also by blocks."""
+    rows = season(7, 45, 13)
+    frame = spark.createDataFrame(rows + [("null", rows[0][1], "T1", "T2", None)], SCHEMA).filter("score is not null")
+    want, wave = loop(rows)
+    for parts, block in ((1, None), (3, None), (5, "quarter")):
+        got = {r.match_id: r for r in elo.rate(frame, block=block, parts=parts).collect()}
+        assert {i: (r.a_before, r.b_before, r.expected, r.a_after) for i, r in got.items()} == {i: w[:4] for i, w in want.items()}
+        assert {i: r.when for i, r in got.items()} == {m[0]: m[1] for m in rows}
+        if block is None:
+            assert {i: r.wave for i, r in got.items()} == wave
+
+
+def test_elo_rounds_are_few_where_teams_meet_their_like(spark, monkeypatch):
+    """A round for each time that a chain of matches changes part, not one for each match of a team."""
+    rounds = []
+    monkeypatch.setattr(elo, "_round", lambda *x, f=elo._round: rounds.append(1) or f(*x))
+    day = [dt.datetime(2020, 1, 1) + dt.timedelta(days=k) for k in range(41)]
+    near = [(f"{t}{k}", day[k], f"{t}{k % 3}", f"{t}{(k + 1) % 3}", 1.0) for t in "AZ" for k in range(40)] + [("x", day[40], "A1", "Z1", 0.0)]
+    got = elo.rate(spark.createDataFrame(near, SCHEMA), block=None, parts=2)
+    assert {r.match_id: r.a_after for r in got.collect()} == {i: w[3] for i, w in loop(near)[0].items()}
+    assert got.agg(F.max("wave")).first()[0] > 30 and len(rounds) <= 3
