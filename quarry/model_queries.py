@@ -76,9 +76,9 @@ FROM later, loss, w GROUP BY 1
 """)
 def win_model(spark, sf_dir):
     """Fitted on ratings before matches up to 1998, judged on later ones."""
-    matches = _matches(spark, sf_dir)
-    rows = elo.rate(matches, block=None).join(matches.select("match_id", "when"), "match_id").select("when", "score", ((F.col("a_before") - F.col("b_before")) / 400).alias("gap"))
-    rows = settled(rows.withColumn("late", F.col("when") >= F.lit("1999-01-01").cast("timestamp_ntz")))
+    # a table that rate has written, so each step reads the columns it needs
+    rows = elo.rate(_matches(spark, sf_dir), block=None).select("when", "score", ((F.col("a_before") - F.col("b_before")) / 400).alias("gap"))
+    rows = rows.withColumn("late", F.col("when") >= F.lit("1999-01-01").cast("timestamp_ntz"))
     model = winmodel.fit(rows.filter("not late"), ["gap"], "score")
     late = rows.filter("late")
     loss = late.agg(F.round(winmodel.log_loss(model.probability(), F.col("score")), 6).alias("log_loss"))

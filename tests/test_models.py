@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import model_queries
 from quarry.models import asof, audit, elo, mappool, rosters, winmodel
 
 D0 = dt.date(2020, 1, 1)
@@ -246,3 +247,11 @@ def test_elo_rounds_are_few_where_teams_meet_their_like(spark, monkeypatch):
     got = elo.rate(spark.createDataFrame(near, SCHEMA), block=None, parts=2)
     assert {r.match_id: r.a_after for r in got.collect()} == {i: w[3] for i, w in loop(near)[0].items()}
     assert got.agg(F.max("wave")).first()[0] > 30 and len(rounds) <= 3
+
+
+def test_win_model_reads_what_the_ratings_wrote(spark, monkeypatch):
+    """A step of the fit scans a table: no join of matches with their ratings, no copy of rows."""
+    plans = []
+    monkeypatch.setattr(winmodel, "fit", lambda rows, *x, f=winmodel.fit: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or f(rows, *x))
+    assert model_queries.QUERIES["win_model"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 1 and "FileScan parquet" in plans[0] and not any(x in plans[0] for x in ("Join", "Exchange", "ExistingRDD"))
