@@ -137,11 +137,11 @@ SELECT l.team, l.player, r.player AS mate, count(*) AS n_overlaps, cast(sum(leas
 FROM t l JOIN t r ON l.team = r.team AND l.player < r.player AND l.start <= r.stop AND r.start <= l.stop GROUP BY ALL
 """)
 def tenure_overlaps(spark, sf_dir):
-    """Who played beside whom: pairs of tenures of one team that have a day in common."""
-    runs = settled(_tenures(spark, sf_dir))
+    """Who played beside whom: pairs of tenures of one team that have a day in common. Tenures of the same days go as one with their number."""
+    runs = settled(_tenures(spark, sf_dir).groupBy("team", "player", "start", "stop").agg(F.count("*").alias("n")))
     pairs = rosters.overlaps(runs, runs, ["team"], F.col("l.player") < F.col("r.player"))
-    days = F.least("l.stop", "r.stop") - F.greatest("l.start", "r.start") + 1
-    return pairs.groupBy("l.team", "l.player", F.col("r.player").alias("mate")).agg(F.count("*").alias("n_overlaps"), F.sum(days).alias("days"))
+    days, n = F.least("l.stop", "r.stop") - F.greatest("l.start", "r.start") + 1, F.col("l.n") * F.col("r.n")
+    return pairs.groupBy("l.team", "l.player", F.col("r.player").alias("mate")).agg(F.sum(n).alias("n_overlaps"), F.sum(n * days).alias("days"))
 
 
 @_query("""

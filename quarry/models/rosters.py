@@ -1,8 +1,8 @@
 """Rosters over time: who stood in a team from when to when, and whose tenures overlap.
 
-A tenure is a run of a team's matches in a row with the same player. Matches are numbered within a team and a block of time and
-then moved by what the blocks before hold, so a team with very many matches is worked on in parts; runs are found within blocks
-first and joined at block edges after that, when one row a run is left.
+A tenure is a run of a team's matches in a row with the same player. Matches are numbered within a team and a block of time, so
+a team with very many matches is worked on in parts, and runs are found in the same parts; only runs that touch an edge of
+their block are numbered through the blocks and joined after that.
 """
 
 from __future__ import annotations
@@ -13,21 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import settled
 from .asof import BLOCK, _block, day
 
 
-
-def numbered(matches: DataFrame, team: str, when: str, match: str, block: str = BLOCK) -> DataFrame:
-    """(team, day, match, block, seq): each team's matches in order of day and match, numbered from 1."""
-    rows = matches.select(F.col(team).alias("team"), day(when).alias("day"), F.col(match).alias("match")).dropna().distinct()
-    rows = rows.withColumn("block", _block(F.col("day"), block))
-    sizes = rows.groupBy("team", "block").agg(F.count("*").alias("k"))
-    earlier = Window.partitionBy("team").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("team", "block", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("team", "block").orderBy("day", "match"))
-    return rows.withColumn("within", within).join(before, ["team", "block"]).select("team", "day", "match", "block", (F.col("within") + F.col("before")).alias("seq"))
-
-
 def _runs(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (keys, first, last, start, stop) in which what follows one another without a gap is one row."""
     order = Window.partitionBy(*keys).orderBy("first")
@@ -42,12 +31,23 @@ def tenures(lineups: DataFrame, team: str = "team", when: str = "when", match: s
 
     A match's day is one of its team's; rows without a team, day, match or player are left out; a player twice in a lineup counts once.
     """
-    order = numbered(lineups, team, when, match, block)
-    there = lineups.select(F.col(team).alias("team"), day(when).alias("day"), F.col(match).alias("match"), F.col(player).alias("player")).dropna().distinct()
-    rows = there.join(order, ["team", "day", "match"])
-    rows = rows.select("team", "player", "block", F.col("seq").alias("first"), F.col("seq").alias("last"), F.col("day").alias("start"), F.col("day").alias("stop"))
-    runs = _runs(_runs(rows, ["team", "player", "block"]).drop("block"), ["team", "player"])
-    return runs.select("team", "player", "start", "stop", (F.col("last") - F.col("first") + 1).alias("n_matches"))
+    rows = lineups.select(F.col(team).alias("team"), day(when).alias("day"), F.col(match).alias("match"), F.col(player).alias("player")).dropna(subset=["team", "day", "match"]).distinct()
+    # a match without a known player has a number too
+    of = Window.partitionBy("team", "block")
+    rows = rows.withColumn("block", _block(F.col("day"), block)).withColumn("number", F.dense_rank().over(of.orderBy("day", "match"))).withColumn("size", F.max("number").over(of))
+    # in a run numbers grow as rows do
+    run = F.col("number") - F.row_number().over(Window.partitionBy("team", "block", "player").orderBy("number"))
+    ends = [f(c).alias(n) for n, f, c in (("first", F.min, "number"), ("last", F.max, "number"), ("start", F.min, "day"), ("stop", F.max, "day"), ("size", F.max, "size"))]
+    runs = settled(rows.withColumn("run", run).groupBy("team", "block", "player", "run").agg(*ends))
+    edge = (F.col("first") == 1) | (F.col("last") == F.col("size"))
+    edges, inner = runs.filter(edge), runs.filter(~edge)
+    sizes = edges.groupBy("team", "block").agg(F.max("size").alias("size"))
+    earlier = Window.partitionBy("team").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("team", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    moved = {c: F.col(c) + F.col("before") for c in ("first", "last")}
+    edges = _runs(edges.join(before, ["team", "block"]).withColumns(moved), ["team", "player"])
+    runs = inner.select(*edges.columns).unionByName(edges).filter("player is not null")
+    return runs.select("team", "player", "start", "stop", (F.col("last") - F.col("first") + 1).cast("long").alias("n_matches"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Column) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,30 @@ def test_win_model_reads_what_the_ratings_wrote(spark, monkeypatch):
     monkeypatch.setattr(winmodel, "fit", lambda rows, *x, f=winmodel.fit: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or f(rows, *x))
     assert model_queries.QUERIES["win_model"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(plans) == 1 and "FileScan parquet" in plans[0] and not any(x in plans[0] for x in ("Join", "Exchange", "ExistingRDD"))
+
+
+def test_tenures_of_the_same_days_are_one_row_of_the_join(spark, tmp_path, monkeypatch):
+    """A player in and out of a team within a day has many tenures of that day, whose pairs are counted and not made."""
+    day = [dt.datetime(1996, 1, 31), dt.datetime(1996, 2, 1)]
+    orders = [(k, 20 * (k % 3), day[k >= 12]) for k in range(24)]  # one team
+    lines = [(k, p) for k in range(24) for p in (1, 2, 3) if k % (p + 1) or k in (0, 23)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    met = []
+    monkeypatch.setattr(rosters, "overlaps", lambda left, *x, f=rosters.overlaps: met.append(left) or f(left, *x))
+    sql = model_queries.SQL["tenure_overlaps"]
+    for t in ("orders", "lineitem"):
+        sql = sql.replace(f"FROM {t} ", f"FROM '{tmp_path}/{t}.parquet/*.parquet' ").replace(f"JOIN {t} ", f"JOIN '{tmp_path}/{t}.parquet/*.parquet' ")
+    want = duckdb.sql(sql).fetchall()
+    got = model_queries.QUERIES["tenure_overlaps"](spark, str(tmp_path)).select("team", "player", "mate", "n_overlaps", "days").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 3
+    keys = [tuple(r[c] for c in ("team", "player", "start", "stop")) for r in met[0].collect()]
+    assert len(keys) == len(set(keys)) < model_queries._tenures(spark, str(tmp_path)).count()
+
+
+def test_tenures_count_matches_without_known_players(spark):
+    """At the end of a block, too: they end a run, and the next block's numbers go on after them."""
+    rows = [("a", date(30), 1, "x"), ("a", date(30), 2, None), ("a", date(31), 3, "x"), ("a", date(32), 4, "x"), ("a", date(70), 5, "x"), ("a", date(70), 6, "y"), ("a", date(95), 7, None), ("a", date(100), 8, "y")]
+    got = rosters.tenures(spark.createDataFrame(rows, "team string, when date, match long, player string"))
+    day = lambda k: (date(k) - dt.date(1970, 1, 1)).days
+    assert sorted(map(tuple, got.collect())) == sorted([("a", "x", day(30), day(30), 1), ("a", "x", day(31), day(70), 3), ("a", "y", day(70), day(70), 1), ("a", "y", day(100), day(100), 1)])
