@@ -6,7 +6,7 @@ do the matches that they are in. A match of teams of two parts is in both, each
 the team has come to the match; when both are sent, the next round plays it. Every second round deals by other bounds, half a part
 further, so that teams near a bound are well inside of a part in the next round. So each match is rated once, by the rule of
 a plain loop, and a round reads only what waits. Where teams with keys near each other meet, rounds are few; at most there is one more
-than a chain of matches is long. A task holds the ratings of its teams.
+than a chain of matches is long, which keys that tell nothing come near to. A task holds the ratings of its teams.
 
 ``wave`` of a match is one more than that of the matches that its sides played last: how long the chain of matches before it is.
 
@@ -33,7 +33,7 @@ BASE = 1500.0
 SCALE = 400.0
 BLOCK = "year"
 #: Matches that are worth a part of their own, and teams asked for a bound between parts.
-PART_MATCHES = 20_000
+PART_MATCHES = 50_000
 PART_ASKED = 200
 #: Kinds of rows: ratings of teams that wait, what is sent at a match, matches, in the order in which a part reads them; matches
 #: that are rated, and the ratings of teams that have played all their matches of a block.
@@ -60,8 +60,9 @@ def rate(matches: DataFrame, k: float = K, base: float = BASE, scale: float = SC
     every = spark.read.schema(good.schema).parquet(f"{folder}/matches")
     sizes = {r[0]: r[1] for r in every.groupBy("block").agg(F.count("*")).collect()}  # of the calendar
     n = sum(sizes.values())
-    parts = parts or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART_MATCHES))
-    bounds = _bounds(every, n, parts)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    in_parts = lambda waits: parts or max(1, min(most, waits // PART_MATCHES))
+    asked = _asked(every, n, in_parts(n))
     row = [*_MATCH, *[F.lit(None).cast(kind).alias(name) for name, (kind, _) in _OTHER.items()]]
     schema = every.select(*row).schema
     told, state, wave = [], None, 0
@@ -70,13 +71,15 @@ def rate(matches: DataFrame, k: float = K, base: float = BASE, scale: float = SC
         todo = every.filter(F.col("block") == F.lit(name)).select(*row).withColumn("kind", F.lit(MATCH))
         if state is not None:
             todo = todo.unionByName(state.withColumn("kind", F.lit(STATE)))
-        turn, paths = 0, []
+        turn, paths, waits = 0, [], sizes[name]
         while True:
+            p = in_parts(waits)  # less that waits goes to fewer parts, in which more can be rated
             paths.append(f"{folder}/rounds/{number}-{turn}")
-            dealt = todo.mapInArrow(_dealt(bounds[turn % 2]), schema).repartitionById(parts + 1, "part").sortWithinPartitions("when", "match_id", "n", "kind")
+            dealt = todo.mapInArrow(_dealt(_bounds(asked, p, turn % 2)), schema).repartitionById(p + 1, "part").sortWithinPartitions("when", "match_id", "n", "kind")
             dealt.mapInArrow(_round(k, base, scale, wave, last), schema).write.parquet(paths[-1])
             todo = spark.read.schema(schema).parquet(paths[-1]).filter(F.col("kind") < RATED)
-            if todo.isEmpty():  # no team waits
+            waits = todo.filter(F.col("kind") == MATCH).count()
+            if waits == 0:
                 break
             turn += 1
         told += paths
@@ -101,16 +104,18 @@ _OTHER = {"part": ("int", pa.int32()), "kind": ("int", pa.int32()), "side": ("in
 }
 
 
-def _bounds(matches: DataFrame, n: int, parts: int) -> tuple[list, list]:
-    """The last team of each part but the last, and so for parts that begin in the middle of these.
-
-    They say only where a match is rated, so a few teams are asked, as a sort does.
-    """
+def _asked(matches: DataFrame, n: int, parts: int) -> list:
+    """Some teams in order, to set bounds by, as a sort does: they say only where a match is rated."""
     if parts == 1 or not n:
-        return [], []
-    asked = sorted(r[0] for r in matches.select(F.explode(F.array("a", "b"))).sample(min(1.0, PART_ASKED * parts / n), 1).collect())
-    cut = lambda halves: sorted({asked[max(len(asked) * h // (2 * parts) - 1, 0)] for h in halves}) if asked else []
-    return cut(range(2, 2 * parts, 2)), cut(range(1, 2 * parts, 2))
+        return []
+    return sorted(r[0] for r in matches.select(F.explode(F.array("a", "b"))).sample(min(1.0, PART_ASKED * parts / n), 1).collect())
+
+
+def _bounds(asked: list, parts: int, shifted: int) -> list:
+    """The last team of each part but the last; shifted: of parts that begin in the middle of these."""
+    if parts == 1 or not asked:
+        return []
+    return sorted({asked[max(len(asked) * h // (2 * parts) - 1, 0)] for h in range(2 - shifted, 2 * parts, 2)})
 
 
 def _rows(of: pa.RecordBatch, at: list[int], **other: list) -> pa.RecordBatch:
